@@ -60,7 +60,12 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
     ``df`` should be a materialized narrow table: it is counted here.
     """
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``limit`` rows; reads no more than that."""
+    return df.limit(limit + 1).count() <= limit
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
