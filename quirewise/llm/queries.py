@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewise.llm import decontaminate, host_rules, simhash, substring, tokencount
+from quirewise.llm import decontaminate, host_rules, mixing, sharding, simhash, substring, tokencount, warc
 from quirewise.llm.common import table
 
 
+def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_quality(table(spark, sf_dir, "documents"))
 
@@ -31,8 +43,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cube_mix": op1_cube_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op4_warc": op4_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
     "op8_host_rules": op8_host_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
@@ -40,4 +55,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
