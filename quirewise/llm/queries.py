@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewise.llm import decontaminate, host_rules, mixing, sharding, simhash, substring, tokencount, warc
+from quirewise.llm import decontaminate, host_rules, mixing, pii, quality_pu, sharding, simhash, substring, tokencount, warc
 from quirewise.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_md5")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
+    "op5_personal_data": op5_personal_data,
     "op6_token_counts": op6_token_counts,
     "op7_sharding": op7_sharding,
     "op8_host_rules": op8_host_rules,
