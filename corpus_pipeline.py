@@ -1,23 +1,56 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
+
+Every stage takes (spark, docs, sf_dir) and gives a DataFrame; a stage's result is stored as Parquet and read again
+before the next one. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirewise.llm import host_rules
+from quirewise.llm import decontaminate, host_rules, mixing, sharding, simhash
 from quirewise.llm.common import materialize, table
 
+#: The mix draws lots and the shards follow hashes, which SQL can't express.
 ORACLE_SQL = None
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the rules, or break a soft rule in a host that mostly fails, go."""
     return host_rules.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the least doc_id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: none, once or twice."""
+    return mixing.mix(docs)
+
+
+def balanced_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing_to_weights),
+    ("sharding", balanced_shards),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)

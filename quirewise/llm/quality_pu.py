@@ -84,7 +84,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with logistic loss. Inputs: indices of ``Steps``."""
     size = int(max(positive.max(), unlabelled.max())) + 1
     w, b = np.zeros(size), math.log(prior / (1 - prior))
