@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,7 +95,7 @@ def safe_name(text: Column) -> Column:
 
 def parse_ranges(text: Column) -> Column:
     """'1-50, 60' as an array of (lo, hi), or null if any part is no range."""
-    parts = F.filter(F.transform(F.split(text, "[,;]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
     lo = lambda x: F.regexp_extract(x, r"^([0-9]+)\s*(?:[-–—]\s*([0-9]+))?$", 1)
     hi = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^([0-9]+)\s*(?:[-–—]\s*([0-9]+))?$", 2), F.lit("")), lo(x))
     read = F.transform(parts, lambda x: F.struct(lo(x).try_cast("long").alias("lo"), hi(x).try_cast("long").alias("hi")))
@@ -156,7 +160,7 @@ def early_modern(word: Column) -> Column:
 
     def one(b: Column) -> Column:
         end = lambda p, r, cond=None: F.when(b.rlike(p) if cond is None else b.rlike(p) & cond, F.regexp_replace(b, p, r))
-        swap = lambda *pairs: __import__("functools").reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, b)
+        swap = lambda *pairs: functools.reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, b)
         return F.array(
             end("e$", "", F.length(b) >= 3), end("ie$", "y"), end("es$", "s"), end("ke$", "c"), end("ke$", "k"), end("cke$", "c"), end(r"^(.+)([^aeiou])\2e$", "$1$2"), end(r"^(.+)([^aeiou])\2$", "$1$2"), end("ee$", "e", F.length(b) <= 4),
             swap(("ay", "ai")), swap(("ayd", "aid"), ("aide", "aid")), swap(("eere", "ear")), swap(("oore", "oor")), swap(("aine", "ain")), swap(("aigne", "eign")), swap(("eeue", "ieve"), ("eiue", "eive")), swap(("ould", "ol")), swap(("ersw", "ersu")),
@@ -224,10 +228,6 @@ def fold_transcription(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """NFKC, then long s to s. Spark has no such function: an Arrow batch at a time."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).replace("ſ", "s"))
