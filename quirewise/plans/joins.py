@@ -41,10 +41,10 @@ def jn_span_proposals(v):
     return live.join(v.spans.select("span_id"), "span_id", "left_semi")
 
 
-@query("jn_span_region_kind", "SELECT s.span_id, r.region_id FROM spans s JOIN regions r ON s.page_index = r.page_index AND s.region_kind = r.kind WHERE s.page_index % 5 = 0")
+@query("jn_span_region_kind", "SELECT s.span_id, r.region_id FROM spans s JOIN regions r ON s.page_index = r.page_index AND s.region_kind = r.kind")
 def jn_span_region_kind(v):
     r = v.regions.select("page_index", F.col("kind").alias("region_kind"), "region_id")
-    return v.spans.where("page_index % 5 = 0").join(r, ["page_index", "region_kind"]).select("span_id", "region_id")
+    return v.spans.join(r, ["page_index", "region_kind"]).select("span_id", "region_id")
 
 
 @query("jn_issue_flags", "SELECT s.span_id, i.kind AS flag FROM spans s JOIN (SELECT span_id, max_by(kind, created_at) AS kind FROM issues WHERE status IN ('open', 'deferred') GROUP BY 1) i ON s.span_id = i.span_id")
@@ -143,9 +143,9 @@ def jn_uncovered_ink(v):
 _FRACTION = "greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y)) / (k.w * k.h)"
 
 
-@query("jn_uncovered_words", f"SELECT page_index, seq FROM words k WHERE seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM regions r WHERE r.page_index = k.page_index AND r.kind = 'body' AND {_FRACTION} >= 0.5)")
+@query("jn_uncovered_words", f"SELECT page_index, seq FROM words k WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.page_index = k.page_index AND r.kind = 'body' AND {_FRACTION} >= 0.5)")
 def jn_uncovered_words(v):
-    k, r = v.words.where("seq % 3 = 0").alias("k"), v.regions.where("kind = 'body'").alias("r")
+    k, r = v.words.alias("k"), v.regions.where("kind = 'body'").alias("r")
     return k.join(r, (F.col("k.page_index") == F.col("r.page_index")) & (G.overlap_fraction(layout.box("k"), layout.box("r")) >= 0.5), "left_anti").select("page_index", "seq")
 
 

@@ -62,19 +62,19 @@ def src_current_ocr(v):
     return state.latest(v.runs.where("stage = 'ocr' AND status = 'ok'"), ["page_index"], ["started_at", "run_id"]).select("page_index", "run_id", "settings")
 
 
-@query("src_spans", "SELECT page_index, seq, text, revision FROM spans WHERE page_index % 10 = 3")
+@query("src_spans", "SELECT page_index, seq, text, revision FROM spans")
 def src_spans(v):
-    return v.spans.where("page_index % 10 = 3").select("page_index", "seq", "text", "revision").orderBy("page_index", "seq")
+    return v.spans.select("page_index", "seq", "text", "revision").orderBy("page_index", "seq")
 
 
-@query("src_proposals", "SELECT page_index, proposal_id, kind, score, status FROM proposals WHERE page_index % 10 = 3")
+@query("src_proposals", "SELECT page_index, proposal_id, kind, score, status FROM proposals")
 def src_proposals(v):
-    return v.proposals.where("page_index % 10 = 3").select("page_index", "proposal_id", "kind", "score", "status").orderBy("page_index", "proposal_id")
+    return v.proposals.select("page_index", "proposal_id", "kind", "score", "status").orderBy("page_index", "proposal_id")
 
 
-@query("src_issues", "SELECT page_index, issue_id, kind, score, status FROM issues WHERE page_index % 10 = 3")
+@query("src_issues", "SELECT page_index, issue_id, kind, score, status FROM issues")
 def src_issues(v):
-    return v.issues.where("page_index % 10 = 3").select("page_index", "issue_id", "kind", "score", "status").orderBy("page_index", "issue_id")
+    return v.issues.select("page_index", "issue_id", "kind", "score", "status").orderBy("page_index", "issue_id")
 
 
 @query("src_runs", "SELECT page_index, run_id, stage, started_at, status FROM runs WHERE page_index = 17")

@@ -85,9 +85,9 @@ def win_row_split(v):
 _CTX = "concat_ws(' ', lag(text, 4) OVER o, lag(text, 3) OVER o, lag(text, 2) OVER o, lag(text) OVER o, '[' || text || ']', lead(text) OVER o, lead(text, 2) OVER o, lead(text, 3) OVER o, lead(text, 4) OVER o)"
 
 
-@query("win_context", f"SELECT page_index, seq, context FROM (SELECT page_index, seq, {_CTX} AS context FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq)) WHERE seq % 20 = 0")
+@query("win_context", f"SELECT page_index, seq, context FROM (SELECT page_index, seq, {_CTX} AS context FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq))")
 def win_context(v):
-    return v.words.select("page_index", "seq", sequences.context(v.words).alias("context")).where("seq % 20 = 0")
+    return v.words.select("page_index", "seq", sequences.context(v.words).alias("context"))
 
 
 @query("win_next_issue", "SELECT page_index, issue_id, lead(issue_id) OVER o AS next_id, lag(issue_id) OVER o AS previous_id FROM issues WHERE status = 'open' WINDOW o AS (PARTITION BY page_index ORDER BY seq, created_at, issue_id)")
