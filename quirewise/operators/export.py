@@ -19,3 +19,41 @@ def page_xml(spans: DataFrame, regions: DataFrame) -> DataFrame:
     pixel = lambda c: (F.col(c) * 300 / 72).cast("long").cast("string")
     element = F.concat(F.lit('<TextRegion order="'), F.col("region_order").cast("string"), F.lit('"><Coords points="'), pixel("x"), F.lit(","), pixel("y"), F.lit('"/>'), "_text", F.lit("</TextRegion>"))
     return regions.join(texts, ["page_index", "kind"]).select("page_index", element.alias("xml"))
+
+
+#: Where a class of region goes by default, and in which order on its page.
+POLICY = (("header", "head", 0), ("page_number", "head", 0), ("heading", "body", 1), ("body", "body", 1), ("marginalia", "side_note", 1), ("footnote", "footnote", 2), ("footer", "footer", 3))
+
+
+def compose(spans: DataFrame, regions: DataFrame) -> DataFrame:
+    """The plan: a row for each paragraph (page_index, section, region_order, paragraph), with its text and words, in order."""
+    from pyspark.sql import Window
+
+    placement, rank = F.lit("body"), F.lit(1)
+    for kind, place, n in POLICY:
+        placement = F.when(F.col("region_kind") == kind, F.lit(place)).otherwise(placement)
+        rank = F.when(F.col("region_kind") == kind, F.lit(n)).otherwise(rank)
+    orders = regions.select("page_index", F.col("kind").alias("region_kind"), "region_order")
+    words = spans.where("text <> ''").join(orders, ["page_index", "region_kind"])
+    number = F.sum(F.col("paragraph_start").cast("long")).over(Window.partitionBy("page_index", "region_kind").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    b = words.withColumn("paragraph", number).withColumn("placement", placement).withColumn("section", rank.cast("long"))
+    return b.groupBy("page_index", "section", "region_order", "paragraph", "placement").agg(ordered_text(F.col("text")).alias("text"), F.count("*").alias("words"))
+
+
+def snapshot(pages: DataFrame, spans: DataFrame, regions: DataFrame) -> DataFrame:
+    """A nested document for each page: regions in order, words in order."""
+    listed = F.array_sort(F.collect_list(F.struct("region_order", "region_id", "kind")))
+    words = F.array_sort(F.collect_list(F.struct("seq", "span_id", "text")))
+    r = regions.groupBy("page_index").agg(listed.alias("regions"))
+    s = spans.where("text <> ''").groupBy("page_index").agg(words.alias("spans"))
+    return pages.select("page_index", "status").join(r, "page_index", "left").join(s, "page_index", "left")
+
+
+def checks(spans: DataFrame, plan: DataFrame) -> DataFrame:
+    """check, ok, detail: the plan has every word once, the words in order, and no empty paragraph."""
+    text = spans.where("text <> ''").agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
+    planned = plan.agg(F.lit(0).cast("long").alias("a"), F.sum("words").alias("b"), F.count_if(F.col("text") == "").alias("c"))
+    sums = text.union(planned).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+    row = lambda name, ok, detail: F.struct(F.lit(name).alias("check"), ok.alias("ok"), detail.alias("detail"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return sums.select(F.inline(F.array(row("coverage", a == b, F.concat(b.cast("string"), F.lit(" of "), a.cast("string"), F.lit(" words"))), row("paragraphs", c == 0, F.concat(c.cast("string"), F.lit(" empty"))))))
