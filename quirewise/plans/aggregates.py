@@ -202,9 +202,9 @@ def agg_cer(v):
     return sets.error_rates(_recognised(v)).select("item_id", "cer")
 
 
-@query("agg_wer")
-def agg_wer(v):
-    return sets.error_rates(_recognised(v)).select("item_id", "wer")
+@query("agg_cer_wer")
+def agg_cer_wer(v):
+    return sets.error_rates(_recognised(v)).select("item_id", "cer", "wer")
 
 
 def _recognised(v):

@@ -125,6 +125,12 @@ def src_pdf_inspect(v):
     return v.table("pages").select("page_id", F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("checksum"))
 
 
+@query("src_render", "SELECT page_index, CAST(floor(612 * s + 0.5) AS BIGINT) AS width, CAST(floor(792 * s + 0.5) AS BIGINT) AS height FROM (SELECT page_index, least(1.0::DOUBLE + page_index % 8, sqrt(4000000.0::DOUBLE / (612 * 792))) AS s FROM book_pages)")
+def src_render(v):
+    """The device draws; here are the pixels that it is asked for: the scale, cut so that an image stays below four million."""
+    return readers.render_size(v.pages.select("page_index", (1.0 + F.col("page_index") % 8).alias("scale")), 612.0, 792.0, 4_000_000.0)
+
+
 @query("src_ocr", "SELECT page_index, count(*) AS words, CAST(sum(confidence) AS BIGINT) * 1.0::DOUBLE / count(*) AS mean_confidence FROM spans WHERE text <> '' GROUP BY page_index")
 def src_ocr(v):
     return v.spans.where("text <> ''").groupBy("page_index").agg(F.count("*").alias("words"), (F.sum("confidence") / F.count("*")).alias("mean_confidence"))

@@ -78,3 +78,10 @@ def read_affix_rules(text: str) -> list[Affix]:
         if len(f) >= 5 and f[0] in ("PFX", "SFX"):
             rules.append(Affix(f[1], f[0] == "SFX", "" if f[2] == "0" else f[2], "" if f[3] == "0" else f[3].split("/")[0], f[4]))
     return rules
+
+
+def render_size(requests: DataFrame, page_w: float, page_h: float, most: float) -> DataFrame:
+    """Pixels of each request (page_index, scale), with the scale cut to at most ``most`` pixels."""
+    scale = F.least(F.col("scale"), F.sqrt(F.lit(most / (page_w * page_h))))
+    whole = lambda x: F.floor(x * scale + 0.5).cast("long")
+    return requests.select("page_index", whole(page_w).alias("width"), whole(page_h).alias("height"))

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_W, PAGE_H = 612.0, 792.0
-_page = Window.partitionBy("page_index")
+
+
+def _page() -> Window:
+    return Window.partitionBy("page_index")
 
 
 def pick(n: Column, *values: str | None) -> Column:
@@ -63,7 +66,7 @@ class Views:
         words = self.lines.select("page_index", "line_no", F.posexplode(split).alias("word_no", "text")).withColumn("word_no", F.col("word_no").cast("long"))
         line = Window.partitionBy("page_index", "line_no").orderBy("word_no")
         before = F.coalesce(F.sum(F.length("text") + 1).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        seq = F.row_number().over(_page.orderBy("line_no", "word_no")) - 1
+        seq = F.row_number().over(_page().orderBy("line_no", "word_no")) - 1
         return words.select(
             "page_index", "line_no", "word_no", seq.cast("long").alias("seq"), "text", (36.0 + 6.0 * before).alias("x"), (36.0 + 14.0 * F.col("line_no")).alias("y"), (6.0 * F.length("text")).alias("w"), F.lit(10.0).alias("h"),
             ((F.col("page_index") * 31 + F.col("line_no") * 17 + F.col("word_no") * 7) % 101).alias("confidence"),
@@ -72,7 +75,7 @@ class Views:
     @functools.cached_property
     def regions(self) -> DataFrame:
         """Header, body and footer from the words' boxes; on some pages a side note over the body and an ignored box."""
-        edge = self.words.withColumn("first", F.min("line_no").over(_page)).withColumn("last", F.max("line_no").over(_page))
+        edge = self.words.withColumn("first", F.min("line_no").over(_page())).withColumn("last", F.max("line_no").over(_page()))
         kind = F.when(F.col("line_no") == F.col("first"), "header").when(F.col("line_no") == F.col("last"), "footer").otherwise("body")
         boxes = edge.groupBy("page_index", kind.alias("kind")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b"), F.countDistinct("line_no").alias("line_count"))
         boxes = boxes.select("page_index", "kind", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"), "line_count")
@@ -86,8 +89,8 @@ class Views:
     @functools.cached_property
     def spans(self) -> DataFrame:
         s, p = F.col("seq"), F.col("page_index")
-        last_line = F.max("line_no").over(_page)
-        first_line = F.min("line_no").over(_page)
+        last_line = F.max("line_no").over(_page())
+        first_line = F.min("line_no").over(_page())
         last_word = F.max("word_no").over(Window.partitionBy("page_index", "line_no"))
         kind = F.when(F.col("line_no") == first_line, "header").when(F.col("line_no") == last_line, "footer").otherwise("body")
         return self.words.select(
