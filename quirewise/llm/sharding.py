@@ -26,6 +26,8 @@ from quirewise.llm.common import checked_broadcast, materialize
 SHARDS, OVERHEAD, ROUNDS = 24, 8, 3
 #: Rows that one sorted run of a prefix sum holds about, and documents above 1/GIANT of a shard are placed singly.
 RUN_ROWS, GIANT = 20_000, 256
+#: Up to so many runs, they may be shorter, so that all cores share them.
+MANY_RUNS, FEW_ROWS = 400, 500
 
 
 def _unit(*of: Column) -> Column:
@@ -90,7 +92,7 @@ def running(df: DataFrame, by: list[str], value: Column, name: str, rows: int) -
 
     Two levels: sums of runs dealt by the hash, and a window inside each run, so no group meets in one task.
     """
-    runs = max(1, math.ceil(rows / RUN_ROWS))
+    runs = max(1, math.ceil(rows / RUN_ROWS), min(MANY_RUNS, rows // FEW_ROWS))
     df = df.withColumn("run", F.pmod(F.xxhash64("doc_id", "hub", F.lit("run")), F.lit(runs)).cast("int"))
     sums = df.groupBy(*by, "run").agg(F.sum(value).alias("own"))
     before = Window.partitionBy(*by).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
