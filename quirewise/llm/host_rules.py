@@ -123,3 +123,28 @@ def keep_good(docs: DataFrame, host_col: str = "source", host_limit: float = 0.5
     bad = checked_broadcast(materialize(host_verdicts(narrow, "host", "failed", host_limit).where("host_bad").select(F.col("host").alias("bad_host")), "bad-hosts"))
     good = stored.where(~base_failed(m))
     return good.join(bad, soft_failed(m) & F.col(tag)["host"].eqNullSafe(bad["bad_host"]), "left_anti").drop(tag)
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, source, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (
+  SELECT r, s, array_to_string(words[s:s + 2], ' ') AS h FROM (SELECT r, words, unnest(generate_series(1, len(words) - 2)) AS s FROM w WHERE len(words) >= 3)),
+again AS (SELECT r, h FROM g GROUP BY r, h HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([s, s + 1, s + 2]) AS p FROM g JOIN again USING (r, h)) GROUP BY r),
+m AS (
+  SELECT w.r, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w) w LEFT JOIN rep ON w.r = rep.r),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    100 * n_symbols > 10 * word_chars OR 4 * n_dup_lines > n_words OR word_chars < 2 * greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) AS soft_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM f GROUP BY source),
+p AS (SELECT sum(bad)::DOUBLE / sum(n) AS mean, var_samp(bad::DOUBLE / n) AS var FROM h),
+q AS (SELECT mean, CASE WHEN var IS NULL OR var <= 0 OR var >= mean * (1 - mean) THEN 1 ELSE mean * (1 - mean) / var - 1 END AS weight FROM p),
+v AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, round(rate, 6) AS host_rate, rate > 0.5 AS host_bad,
+  NOT base_failed AND NOT (soft_failed AND rate > 0.5) AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""

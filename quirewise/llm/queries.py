@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirewise.llm import decontaminate, host_rules, mixing, pii, quality_pu, sharding, simhash, substring, tokencount, warc
 from quirewise.llm.common import table
@@ -39,7 +40,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.host_quality(table(spark, sf_dir, "documents"))
+    return host_rules.host_quality(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op8_host_rules": host_rules.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
 }

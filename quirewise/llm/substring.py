@@ -159,3 +159,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text_out: bool = False
     told = sent.groupBy("range").applyInArrow(answers, "chunk int, hashes binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<lo:long,hi:long>>" * text_out
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, schema)
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (
+  SELECT r, doc_id, s, array_to_string(words[s:s + 12], ' ') AS h
+  FROM (SELECT *, unnest(generate_series(1, len(words) - 12)) AS s FROM w WHERE len(words) >= 13 AND doc_id IS NOT NULL)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(generate_series(s, s + 12)) AS p FROM g JOIN m USING (h) WHERE doc_id > least),
+each AS (SELECT r, unnest(words) AS word, unnest(generate_series(1, len(words))) AS p FROM w),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
