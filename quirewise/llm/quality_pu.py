@@ -85,7 +85,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 1500, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk with logistic loss. Inputs: indices of ``Steps``."""
+    """Weights and bias that minimise the non-negative risk with logistic loss. Inputs: indices of ``Steps``.
+
+    The defaults are among the best of ten settings when folds 2 to 4 train and fold 1 validates.
+    """
     size = int(max(positive.max(), unlabelled.max())) + 1
     w, b = np.zeros(size), math.log(prior / (1 - prior))
     moments = [np.zeros(size + 1), np.zeros(size + 1)]
