@@ -113,25 +113,31 @@ def context_sentences(words: DataFrame, sentences: int = 2, most: int = 120) ->
     return b.where((F.col("_n") <= most) & (F.col("_ends") < sentences)).drop("_n", "_ends")
 
 
-def nearest_unreviewed(pages: DataFrame, unreviewed: Column) -> DataFrame:
-    """Every page with the nearest unreviewed page after and before it.
+def neighbours(pages: DataFrame, wanted: Column, size: int = 1000) -> DataFrame:
+    """``pages`` with next_page and previous_page: the nearest ones after and before each for which ``wanted`` holds.
 
-    Pages are few per book and the book is the partition.
+    Found inside stretches of ``size`` page numbers, else taken over from the nearest stretch that has one; only the
+    stretches, a row each, are ordered as a whole.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("page_index")
-    open_ = F.when(unreviewed, F.col("page_index"))
-    after = F.first(open_, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    before = F.last(open_, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return pages.select("page_index", after.alias("next_page"), before.alias("previous_page"))
+    b = pages.withColumn("_b", F.floor(F.col("page_index") / size)).withColumn("_w", F.when(wanted, F.col("page_index")))
+    inside = Window.partitionBy("_b").orderBy("page_index")
+    after, before = (1, Window.unboundedFollowing), (Window.unboundedPreceding, -1)
+    b = b.withColumn("_after", F.first("_w", ignorenulls=True).over(inside.rowsBetween(*after))).withColumn("_before", F.last("_w", ignorenulls=True).over(inside.rowsBetween(*before)))
+    stretches, order = b.groupBy("_b").agg(F.min("_w").alias("_lo"), F.max("_w").alias("_hi")), Window.orderBy("_b")
+    ends = stretches.select("_b", F.first("_lo", ignorenulls=True).over(order.rowsBetween(*after)).alias("_lo"), F.last("_hi", ignorenulls=True).over(order.rowsBetween(*before)).alias("_hi"))
+    return b.join(ends, "_b").withColumn("next_page", F.coalesce("_after", "_lo")).withColumn("previous_page", F.coalesce("_before", "_hi")).drop("_b", "_w", "_after", "_before", "_lo", "_hi")
+
+
+def nearest_unreviewed(pages: DataFrame, unreviewed: Column) -> DataFrame:
+    """Every page with the nearest unreviewed page after and before it."""
+    return neighbours(pages, unreviewed).select("page_index", "next_page", "previous_page")
 
 
 def page_breaks(pages: DataFrame) -> DataFrame:
-    """Consecutive text pages of a run, over blank ones: (page_index, to_page). Pages have kind: text, blank, or stop."""
-    order = Window.partitionBy(F.lit(0)).orderBy("page_index")
-    island = F.sum((F.col("kind") == "stop").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    text = pages.withColumn("_island", island).where("kind = 'text'")
-    nxt = F.lead("page_index").over(Window.partitionBy("_island").orderBy("page_index"))
-    return text.select("page_index", nxt.alias("to_page")).where("to_page IS NOT NULL")
+    """Consecutive text pages, over blank ones but not over a stop: (page_index, to_page). Pages have kind: text, blank, or stop."""
+    following = neighbours(pages, F.col("kind") != "blank").where("kind = 'text'").select("page_index", F.col("next_page").alias("to_page"))
+    texts = pages.where("kind = 'text'").select(F.col("page_index").alias("to_page"))
+    return following.join(texts, "to_page", "left_semi").select("page_index", "to_page")
 
 
 def latest_undoable(history: DataFrame) -> DataFrame:

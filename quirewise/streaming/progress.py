@@ -65,11 +65,17 @@ def stale_locks(beats: DataFrame, now: str, key: str = "user_id") -> DataFrame:
 
 
 def run_once(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over all that is there into a memory table, and give that table (for tests and batch queries)."""
+    """Run a stream over all that is there and give its result (for tests and batch queries).
+
+    Appended rows go to Parquet files in the shared folder; keyed states (update, complete), a row a key and batch, to a memory table.
+    """
     name = f"stream_{uuid.uuid4().hex}"
     spark = stream.sparkSession
-    where = checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    where = (checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
+    if mode == "append":
+        append_to(stream, f"{where}/{name}-rows", f"{where}/{name}").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{where}/{name}-rows")
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{where}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
