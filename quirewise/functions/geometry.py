@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def rect(x, y, w, h) -> Column:
-    return F.struct(*(F.lit(v).alias(n) if not isinstance(v, (Column, str)) else (F.col(v) if isinstance(v, str) else v).alias(n) for n, v in zip("xywh", (x, y, w, h), strict=True)))
+    """A rectangle of columns, column names or numbers."""
+    column = lambda v: F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)
+    return F.struct(*(column(v).alias(n) for n, v in zip("xywh", (x, y, w, h), strict=True)))
 
 
 def right(r: Column) -> Column:
