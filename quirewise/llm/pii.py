@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +42,14 @@ AGAINST = "version|isbn|issn|order|token|serial|invoice|build"
 
 @dataclass(frozen=True)
 class Labeler:
-    """A pattern for one kind. ``needs``: a cheap test of the text before the pattern is tried."""
+    """A pattern for one kind. ``needs``: a text with none of these holds no match, so the pattern isn't tried; empty: always tried."""
 
     kind: str
     strict: bool
     pattern: str
     holds: Callable[[Column], Column]
     gazetteer: Callable[[Column], Column]
-    needs: str
+    needs: tuple[str, ...]
 
 
 def _digits(x: Column) -> Column:
@@ -73,13 +75,13 @@ def _vote(good: Column) -> Column:
 _yes = lambda x: F.lit(True)
 
 LABELERS = (
-    Labeler("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)\.(?:{TOP_DOMAINS})$")), "@"),
-    Labeler("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), lambda x: _vote(~x.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\.")), "."),
-    Labeler("card", True, r"[0-9](?:[\x20-]?[0-9])++", _card, lambda x: _vote(_digits(x).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)")), ""),
-    Labeler("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(10, 15), lambda x: _vote(x.rlike(r"^\+[1-9]")), "+"),
-    Labeler("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)(?:{TOP_DOMAINS})$")), "("),
-    Labeler("ip", False, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", _yes, lambda x: _vote(x.rlike("(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):")), ":"),
-    Labeler("phone", False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, lambda x: _vote(x.rlike(r"^\(?[2-9][0-9]{2}")), "-"),
+    Labeler("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)\.(?:{TOP_DOMAINS})$")), ("@",)),
+    Labeler("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), lambda x: _vote(~x.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\.")), (".",)),
+    Labeler("card", True, r"[0-9](?:[\x20-]?[0-9])++", _card, lambda x: _vote(_digits(x).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)")), ()),
+    Labeler("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(10, 15), lambda x: _vote(x.rlike(r"^\+[1-9]")), ("+",)),
+    Labeler("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)(?:{TOP_DOMAINS})$")), ("(", "[")),
+    Labeler("ip", False, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", _yes, lambda x: _vote(x.rlike("(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):")), (":",)),
+    Labeler("phone", False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, lambda x: _vote(x.rlike(r"^\(?[2-9][0-9]{2}")), ()),
 )
 
 
@@ -117,7 +119,9 @@ def spans(text: Column, labeler: Labeler) -> Column:
 
     matches = F.regexp_extract_all(text, F.lit(labeler.pattern), 0)
     found = let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, labeler.pattern, -1), lambda pieces: located(m, pieces))))
-    return F.when(F.contains(text, F.lit(labeler.needs)), found).otherwise(none) if labeler.needs else found
+    if not labeler.needs:
+        return found
+    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in labeler.needs)), found).otherwise(none)
 
 
 def candidates(docs: DataFrame) -> DataFrame:

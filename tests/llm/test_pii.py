@@ -63,6 +63,17 @@ def test_votes_add_spans(spark):
     assert got[60].n_added == 0 and got[61].n_added == 0 and got[62].n_added == 0
 
 
+def test_every_loose_form_is_a_candidate(spark):
+    forms = ["(212) 555 0101", "(212)555.0101", "212.555.0101", "212 555 0101", "212-555-0101", "jo [at] mail [dot] com", "jo [at] mail.com", "jo (at) mail (dot) com", "jo[AT]mail[DOT]com"]
+    kinds = ["phone" if x[-1] == "1" else "email" for x in forms]
+    texts = [f"Please {'call' if k == 'phone' else 'mail'} {x} today" for x, k in zip(forms, kinds)]
+    got = {r.doc_id: r for r in pii.candidates(frame(spark, rows_of(texts))).collect()}
+    assert all([(c.lo, c.hi, c.kind) for c in got[i].loose] == [(12, 12 + len(x), pii.KINDS.index(k))] for i, (x, k) in enumerate(zip(forms, kinds)))
+    known = [f"contact me{i}@mail.com or phone +1 212 555 01{i:02d}" for i in range(40)]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows_of(texts + known))).collect()}
+    assert all(got[i].n_added == 1 and got[i].spans == f"{k}:12:{12 + len(x)}" for i, (x, k) in enumerate(zip(forms, kinds)))
+
+
 def test_em_finds_the_reliable_labeler():
     counts = {(0, 1, 1, 1): 300, (0, 1, 1, 0): 400, (0, 0, 1, 1): 60, (0, 0, -1, -1): 300, (0, 0, -1, 0): 200, (0, 1, -1, 0): 5}
     posterior, table = pii.reliabilities(counts)
