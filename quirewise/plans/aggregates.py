@@ -73,7 +73,7 @@ def agg_ocr_confidence(v):
 
 @query("agg_mean_conf", "SELECT page_index, coalesce(sum(confidence) FILTER (text <> '' AND seq % 1000 < 3)::DOUBLE / nullif(count(*) FILTER (text <> '' AND seq % 1000 < 3), 0), 0) AS mean FROM spans GROUP BY 1")
 def agg_mean_conf(v):
-    counted = F.when((F.col("text") != "") & (F.col("seq") % 1000 < 3), F.col("confidence"))
+    counted = F.when(F.col("text") != "", F.col("confidence"))
     return v.spans.groupBy("page_index").agg(F.coalesce(F.sum(counted) / F.nullif(F.count(counted), F.lit(0)), F.lit(0.0)).alias("mean"))
 
 
