@@ -30,7 +30,7 @@ _OVER = "greatest(0, least(a.x + a.w, s.x + s.w) - greatest(a.x, s.x)) * greates
     {"shifted": _SHIFT},
 )
 def jn_best_overlap(v):
-    shifted = v.words.where("seq % 4 = 0").select("page_index", "seq", (F.col("x") + 3).alias("x"), (F.col("y") + 2).alias("y"), "w", "h")
+    shifted = v.words.select("page_index", "seq", (F.col("x") + 3).alias("x"), (F.col("y") + 2).alias("y"), "w", "h")
     return layout.best_overlap(shifted, v.spans.select("page_index", "seq", "span_id", *"xywh")).select("page_index", "seq", "span_id")
 
 

@@ -107,7 +107,7 @@ _HALVES = "SELECT DISTINCT page_index, seq, lower(substr(text, 1, length(text) /
 @query("fn_join_score", "SELECT page_index, seq, CAST(CASE WHEN head || tail IN (SELECT token FROM lexicon) THEN 96 WHEN head IN (SELECT token FROM lexicon) AND tail IN (SELECT token FROM lexicon) THEN 88 ELSE 70 END AS BIGINT) AS score FROM halves", {"halves": _HALVES})
 def fn_join_score(v):
     half = F.floor(F.length("text") / 2).cast("int")
-    halves = v.words.where("length(text) >= 6 AND seq % 5 = 0").select("page_index", "seq", F.lower(F.substring("text", F.lit(1), half)).alias("head"), F.lower(F.substring("text", half + 1, F.length("text"))).alias("tail"))
+    halves = v.words.where("length(text) >= 6").select("page_index", "seq", F.lower(F.substring("text", F.lit(1), half)).alias("head"), F.lower(F.substring("text", half + 1, F.length("text"))).alias("tail"))
     return spelling.join_score(halves, v.lexicon).select("page_index", "seq", "score")
 
 

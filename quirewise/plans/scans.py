@@ -52,7 +52,7 @@ _JSON = "SELECT page_index, '[' || string_agg('{\"t\":\"w' || seq || '\",\"c\":'
 
 @query("src_json_cells", "SELECT page_index, 'w' || seq AS t, confidence AS c FROM words WHERE seq < 20 AND page_index % 5 <> 0")
 def src_json_cells(v):
-    cells = v.words.where("seq < 20").groupBy("page_index").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("w"), F.col("seq").cast("string")).alias("t"), F.col("confidence").alias("c")))).alias("cell"))
+    cells = v.words.groupBy("page_index").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("w"), F.col("seq").cast("string")).alias("t"), F.col("confidence").alias("c")))).alias("cell"))
     broken = cells.withColumn("cell", F.when(F.col("page_index") % 5 == 0, F.lit("not json")).otherwise(F.col("cell")))
     return readers.explode_json_cells(broken, "cell", "array<struct<t:string,c:bigint>>", "page_index").select("page_index", "t", "c")
 
@@ -105,7 +105,7 @@ _CORE = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}''’]+|[^\p{{L}}\p{{N}}''’]+$'
 
 @query("src_vocab", f"SELECT word, CASE WHEN min(CASE WHEN protected THEN 0 ELSE 1 END) = 0 THEN 'protected' ELSE 'vocab' END AS kind, count(*) AS uses FROM (SELECT lower({_CORE.format('text')}) AS word, protected FROM spans WHERE seq % 40 = 0) WHERE word <> '' GROUP BY word")
 def src_vocab(v):
-    words = v.spans.where("seq % 40 = 0").select(F.lower(T.strip(F.col("text"))).alias("word"), "protected").where("word <> ''")
+    words = v.spans.select(F.lower(T.strip(F.col("text"))).alias("word"), "protected").where("word <> ''")
     return words.groupBy("word").agg(F.when(F.bool_or("protected"), "protected").otherwise("vocab").alias("kind"), F.count("*").alias("uses"))
 
 

@@ -3,10 +3,13 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 import quirewise.plans
 from quirewise.operators import edits
-from quirewise.plans.registry import QUERIES
+from quirewise.plans.registry import ORACLE, QUERIES
 from quirewise.sources.views import Views
+from tests.harness import compare
 
 SF = "/root/testdata/sf0.001"
 quirewise.plans.load()
@@ -82,3 +85,8 @@ def test_long_texts_are_split_at_common_words():
     new = ["lead", *old[:100], "put", "in", *old[100:150], "w150x", *old[152:]]
     out = edits.fit(old, new)
     assert out == ["lead w0", *old[1:99], "w99 put in", *old[100:150], "w150x", "", *old[152:]]
+
+
+@pytest.mark.parametrize("name, cut", [("src_vocab", "seq % 40 = 0"), ("src_json_cells", "seq < 20"), ("fn_join_score", "seq % 5 = 0"), ("jn_best_overlap", "seq % 4 = 0")])
+def test_takes_the_whole_table(spark, name, cut):
+    assert compare(QUERIES[name](spark, SF), ORACLE[name].replace(cut, "true"), SF) is None
