@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after its rows have been counted and are at most this many.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only after its rows and bytes have been counted and are at most these.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: A key with over this share of all rows is a hot one: there are at most 1/HOT of them, so they're broadcast.
+HOT = 1 / 1024
 
 #: Bytes of text that one vectorised step works on at a time.
 CHUNK_BYTES = 4 << 20
@@ -21,13 +23,17 @@ _scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else a folder of our own (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets a folder of its own; a cluster gets an error, as no folder of
+    one machine will do.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quirewise-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        where = f"file://{tempfile.mkdtemp(prefix='quirewise-')}"
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -64,9 +70,27 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, limit) else df
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df``, of flat columns, has at most ``limit`` rows and ``most_bytes``; reads no more than that."""
+    size = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+    rows, held = df.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return rows <= limit and (held or 0) <= most_bytes
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with equal rows numbered from 0 as ``name``, so that all rows differ.
+
+    Equal rows are summed before the shuffle and unfolded after it in two steps, so no array is long.
+    """
+    n, step = free_name(df, f"{name}_n"), 1 << 16
+    base = free_name(df, f"{name}_base")
+    counted = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias(n))
+    parts = counted.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col(n) / step))).alias(base))
+    each = F.sequence(F.col(base) * step, F.least(F.col(n), F.col(base) * step + (step - 1)))
+    return parts.select(*df.columns, F.explode(each).alias(name))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
