@@ -1,17 +1,22 @@
 """Host-level quality rules: rule failures by host, shrunk with an empirical beta prior.
 
-Every document is measured by built-in expressions in one pass. A host's failure rate is the
-posterior mean under a beta prior fitted to all hosts by the method of moments, so a host of
-a few documents is pulled to the common rate. Host verdicts are joined back to the documents:
-in a host whose shrunk rate exceeds ``host_limit``, documents that fail any soft rule are
+Every document is measured by built-in expressions in one pass. Hosts' failure rates are taken to come from a beta
+prior, whose mean and spread are fitted to all hosts by the method of moments net of binomial noise: hosts weigh
+equally at first, then by what the first fit says their rates tell. A host's rate is the posterior mean, so a host of
+a few documents is pulled to the common rate. A host is bad if its shrunk rate lies more than ``host_z`` standard
+deviations of the prior above the prior's mean; if rates differ by no more than noise, the spread is zero and none is.
+Host verdicts are joined back to the documents: in a bad host, documents that fail any soft rule are
 rejected too. Documents that break no rule stay whatever their host.
 
 Null text has no words (and fails the length rule); a null host is a host of its own; equal rows
-get equal verdicts; an empty table gives an empty result.
+get equal verdicts; a rate at the limit isn't above it; an empty table gives an empty result. Other columns of
+``docs`` may have any names: ``keep_good`` keeps them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from quirewise.llm.common import checked_broadcast, free_name, let, materialize
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Standard deviations of the prior above its mean beyond which a host is bad: one host in twenty of a normal spread.
+HOST_Z = 1.645
 
 
 def _repeat_words(words: Column) -> Column:
@@ -76,31 +83,41 @@ def soft_failed(m: Column) -> Column:
     return (100 * m["n_symbols"] > 10 * m["word_chars"]) | (4 * m["n_dup_lines"] > m["n_words"]) | (mean < 2) | (mean > 15)
 
 
-def host_verdicts(measured: DataFrame, host: str, failed: str, host_limit: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, failed: str, host_z: float = HOST_Z) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate, host_bad: a row for each host. ``failed`` is a boolean column."""
     hosts = materialize(measured.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col(failed)).alias("n_failed")), "hosts")
-    rate = F.col("n_failed") / F.col("n_docs")
-    mean, var, hosts_seen = hosts.agg(F.sum("n_failed") / F.sum("n_docs"), F.var_samp(rate), F.count(F.lit(1))).first()
-    alpha, beta = beta_prior(mean, var, hosts_seen)
-    shrunk = (F.col("n_failed") + alpha) / (F.col("n_docs") + alpha + beta)
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_bad", F.col("shrunk_rate") > host_limit)
-
+    mean, spread = beta_prior(hosts)
+    pull = F.col("n_docs") * spread / (1 + (F.col("n_docs") - 1) * spread)  # n / (n + alpha + beta)
+    shrunk = mean + (F.col("n_failed") / F.col("n_docs") - mean) * pull
+    limit = mean + host_z * math.sqrt(mean * (1 - mean) * spread)
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_bad", (F.lit(spread) > 0) & (F.col("shrunk_rate") > limit))
 
-def beta_prior(mean: float | None, var: float | None, hosts: int) -> tuple[float, float]:
-    """Method of moments; a prior of weight one where the moments give none."""
-    if mean is None or not 0 < mean < 1:
-        return (0.5, 0.5) if mean is None else (max(mean, 1e-3), max(1 - mean, 1e-3))
-    if hosts < 2 or not var or var >= mean * (1 - mean):
-        return mean, 1 - mean
-    weight = mean * (1 - mean) / var - 1
-    return mean * weight, (1 - mean) * weight
 
+def beta_prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and spread of the prior for ``hosts`` (n_docs, n_failed); the spread is 1 / (alpha + beta + 1), 0 if rates differ by noise only.
 
-def host_quality(docs: DataFrame, host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
-    """One row a document: doc_id, the measures, base_failed, host_rate, host_bad, kept."""
+    Kleinman's moments: with weights w, the expected sum of w (p - mean)^2 is mean (1 - mean) times
+    (1 - spread) a + spread b, where a = sum w/n (1 - w/sum w) and b = sum w (1 - w/sum w).
+    """
+    mean = spread = 0.0
+    n, p = F.col("n_docs"), F.col("n_failed") / F.col("n_docs")
+    for weight in (lambda: F.lit(1.0), lambda: n / (1 + spread * (n - 1))):
+        w = weight()
+        sw, swp, swpp, swn, swwn, sww = hosts.agg(F.sum(w), F.sum(w * p), F.sum(w * p * p), F.sum(w / n), F.sum(w * w / n), F.sum(w * w)).first()
+        if not sw:
+            return 0.0, 0.0
+        mean, a, b = swp / sw, swn - swwn / sw, sw - sww / sw
+        if not 0 < mean < 1 or b - a <= 1e-9 * sw:
+            return mean, 0.0
+        spread = min(0.999, max(0.0, ((swpp - swp * swp / sw) / (mean * (1 - mean)) - a) / (b - a)))
+    return mean, spread
+
+
+def host_quality(docs: DataFrame, host_col: str = "source", host_z: float = HOST_Z) -> DataFrame:
+    """One row a document: doc_id, the measures, base_failed, soft_failed, host_rate, host_bad, kept."""
     m = materialize(docs.select(F.col("doc_id"), F.col(host_col).cast("string").alias("host"), measures(F.col("text")).alias("m")), "rules")
     m = m.select("doc_id", "host", "m", base_failed(F.col("m")).alias("base_failed"), soft_failed(F.col("m")).alias("soft_failed"))
-    verdicts = host_verdicts(m.withColumn("failed", F.col("base_failed") | F.col("soft_failed")), "host", "failed", host_limit)
+    verdicts = host_verdicts(m.withColumn("failed", F.col("base_failed") | F.col("soft_failed")), "host", "failed", host_z)
     verdicts = checked_broadcast(verdicts.select(F.col("host").alias("of"), F.col("shrunk_rate").alias("host_rate"), "host_bad"))
     joined = m.join(verdicts, m["host"].eqNullSafe(verdicts["of"]), "left")
     return joined.select("doc_id", "m.*", "base_failed", "soft_failed", "host_rate", "host_bad", kept(F.col("base_failed"), F.col("soft_failed"), F.col("host_bad")).alias("kept"))
@@ -110,7 +127,7 @@ def kept(base: Column, soft: Column, host_bad: Column) -> Column:
     return ~base & ~(soft & F.coalesce(host_bad, F.lit(False)))
 
 
-def keep_good(docs: DataFrame, host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, host_col: str = "source", host_z: float = HOST_Z) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
     Measured rows are stored once with their texts, so nothing is measured twice; the host verdicts that
@@ -120,7 +137,7 @@ def keep_good(docs: DataFrame, host_col: str = "source", host_limit: float = 0.5
     stored = materialize(docs.select("*", F.struct(F.col(host_col).cast("string").alias("host"), measures(F.col("text")).alias("m")).alias(tag)), "rules")
     m = F.col(tag)["m"]
     narrow = stored.select(F.col(tag)["host"].alias("host"), (base_failed(m) | soft_failed(m)).alias("failed"))
-    bad = checked_broadcast(materialize(host_verdicts(narrow, "host", "failed", host_limit).where("host_bad").select(F.col("host").alias("bad_host")), "bad-hosts"))
+    bad = checked_broadcast(materialize(host_verdicts(narrow, "host", "failed", host_z).where("host_bad").select(F.col("host").alias("bad_host")), "bad-hosts"))
     good = stored.where(~base_failed(m))
     return good.join(bad, soft_failed(m) & F.col(tag)["host"].eqNullSafe(bad["bad_host"]), "left_anti").drop(tag)
 
@@ -141,10 +158,16 @@ f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     100 * n_symbols > 10 * word_chars OR 4 * n_dup_lines > n_words OR word_chars < 2 * greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) AS soft_failed FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM f GROUP BY source),
-p AS (SELECT sum(bad)::DOUBLE / sum(n) AS mean, var_samp(bad::DOUBLE / n) AS var FROM h),
-q AS (SELECT mean, CASE WHEN var IS NULL OR var <= 0 OR var >= mean * (1 - mean) THEN 1 ELSE mean * (1 - mean) / var - 1 END AS weight FROM p),
-v AS (SELECT source, (bad + mean * weight) / (n + weight) AS rate FROM h, q)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, round(rate, 6) AS host_rate, rate > 0.5 AS host_bad,
-  NOT base_failed AND NOT (soft_failed AND rate > 0.5) AS kept
+e AS (SELECT source, n, bad::DOUBLE / n AS p FROM h),
+s1 AS (SELECT count(*)::DOUBLE AS sw, sum(p) AS swp, sum(p * p) AS swpp, sum(1.0::DOUBLE / n) AS swn, sum(1.0::DOUBLE / n) AS swwn, count(*)::DOUBLE AS sww FROM e),
+r1 AS (SELECT swp / sw AS mu, swpp - swp * swp / sw AS s, swn - swwn / sw AS a, sw - sww / sw AS b, sw FROM s1),
+q1 AS (SELECT CASE WHEN mu > 0 AND mu < 1 AND b - a > 1e-9 * sw THEN least(0.999, greatest(0.0, (s / (mu * (1 - mu)) - a) / (b - a))) ELSE 0 END AS rho FROM r1),
+x AS (SELECT n, p, n / (1 + rho * (n - 1)) AS w FROM e, q1),
+s2 AS (SELECT sum(w) AS sw, sum(w * p) AS swp, sum(w * p * p) AS swpp, sum(w / n) AS swn, sum(w * w / n) AS swwn, sum(w * w) AS sww FROM x),
+r2 AS (SELECT swp / sw AS mu, swpp - swp * swp / sw AS s, swn - swwn / sw AS a, sw - sww / sw AS b, sw FROM s2),
+q2 AS (SELECT mu, CASE WHEN mu > 0 AND mu < 1 AND b - a > 1e-9 * sw THEN least(0.999, greatest(0.0, (s / (mu * (1 - mu)) - a) / (b - a))) ELSE 0 END AS rho FROM r2),
+v AS (SELECT source, mu + (p - mu) * n * rho / (1 + (n - 1) * rho) AS rate, rho > 0 AND mu + (p - mu) * n * rho / (1 + (n - 1) * rho) > mu + 1.645 * sqrt(mu * (1 - mu) * rho) AS host_bad FROM e, q2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, round(rate, 6) AS host_rate, host_bad,
+  NOT base_failed AND NOT (soft_failed AND host_bad) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
