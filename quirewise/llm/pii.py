@@ -1,17 +1,22 @@
 """Personal data by weak supervision, in built-in expressions only.
 
-Strict patterns give the base spans, which always stay. Looser patterns give further candidates. Three
-labelers vote on every candidate, strict ones too: the strict pattern itself, a gazetteer (top-level domains,
-reserved address ranges, issuer prefixes, dialling shapes) and the words before it. Votes are counted
-by pattern, of which there are a bounded number; expectation-maximisation over the counts estimates each labeler's
-reliability and every pattern's posterior, and a logistic span classifier is trained on those soft labels.
-Loose candidates that it accepts and that overlap no other span are added.
-
-Positions are code points, ends exclusive. They come from the pieces between matches, so a text is scanned
-once a pattern, whatever its length; the patterns use possessive repeats, so long runs cost linear time.
-
-Null text counts as empty; rows are judged one by one, so repeated rows are equal; with no candidates at all the
-classifier is the prior and accepts nothing.
+Strict patterns give the base spans, which always stay. Looser patterns give further candidates, and opaque strings
+candidates for secrets. Five labelers vote for, against or not at all on every candidate, strict ones too: the
+regular expression (strict or only loose), a gazetteer (top-level domains, reserved address ranges, issuer prefixes,
+dialling codes, known key prefixes), the words before it, its form (checksum, group sizes, mix of characters) and its
+edges. Candidates are counted by votes and features, of which there are a bounded number of patterns;
+expectation-maximisation over the counts estimates each labeler's reliability by kind and every pattern's posterior,
+and a logistic span classifier is trained on those soft labels. It sees the votes and, beside them, features of the
+span and its surroundings that no labeler uses: length, share of digits, the characters next to it. Loose
+candidates that it accepts and that overlap no other span are added.
+
+Positions are code points, ends exclusive. They come from running sums over the pieces between matches, so a text is
+scanned once a pattern and takes n log n steps in its matches; the patterns use possessive repeats, so long runs cost
+linear time.
+
+Null text counts as empty; rows are judged one by one, so repeated rows are equal; of overlapping loose candidates
+the first stays, the one of the earlier kind if they start together. Without candidates the classifier is the prior and accepts
+nothing; an empty table gives an empty result. Other columns of ``docs`` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +33,40 @@ from pyspark.sql import functions as F
 from quirewise.llm.common import let, materialize
 
 KINDS = ("email", "ip", "card", "phone")
-_SPAN = "array<struct<lo:int,kind:int,hi:int,strict:int,gazetteer:int,context:int>>"
+SECRET = len(KINDS)
+#: The labelers, and how often each is right before any data speak, with the weight of that belief in candidates.
+VOTERS = {"regex": 0.8, "gazetteer": 0.7, "context": 0.85, "form": 0.85, "edges": 0.8}
+BELIEF = 10
+#: What the classifier sees beside the votes.
+FEATURES = ("length", "digits", "before", "after")
+_SPAN = "array<struct<lo:int,kind:int,hi:int,base:int," + ",".join(f"{x}:int" for x in (*VOTERS, *FEATURES)) + ">>"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TOP_DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|us|ch|at|it|nl|be|ca|mx|ar"
-BEFORE = {
-    "email": "mail|contact|write|reach|kontakt|courriel|correo",
-    "ip": "ip|host|server|address|client|login|adresse",
-    "card": "card|visa|master|amex|credit|payment|karte|carte|tarjeta",
-    "phone": "tel|phone|call|fax|mobile|whatsapp|telefon|appel",
-}
-AGAINST = "version|isbn|issn|order|token|serial|invoice|build"
+KEY_PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|sk-|pk_|rk_|xox[abps]-|AIza|eyJ|glpat-"
+BEFORE = (
+    r"e-?mail|mail|contact|write|reach|kontakt|courriel|correo",
+    r"ip|host|server|address|client|login|adresse",
+    r"card|visa|master|amex|credit|payment|karte|carte|tarjeta",
+    r"tel|phone|call|fax|mobile|whatsapp|telefon|appel",
+    r"token|key|secret|passw|pwd|auth|bearer|credential|schl.ssel|clave",
+)
+AGAINST = (*["version|isbn|issn|order|token|serial|invoice|build"] * 4, "sha|commit|digest|checksum|hash|uuid|etag")
+_ASSIGNED = r"""(?i)(?:token|key|secret|passw(?:or)?d|pwd|auth|bearer)["']?[\x20]{0,2}[=:]?[\x20]{0,2}["']?$"""
 
 
 @dataclass(frozen=True)
-class Labeler:
-    """A pattern for one kind. ``needs``: a text with none of these holds no match, so the pattern isn't tried; empty: always tried."""
+class Finder:
+    """A pattern for one kind. ``needs``: a text with none of these holds no match, so the pattern isn't tried; empty: always tried.
+
+    ``gazetteer`` and ``form`` give votes of 1, -1 or 0 on a match.
+    """
 
-    kind: str
+    kind: int
     strict: bool
     pattern: str
     holds: Callable[[Column], Column]
     gazetteer: Callable[[Column], Column]
+    form: Callable[[Column], Column]
     needs: tuple[str, ...]
 
 
@@ -73,134 +91,192 @@ def _vote(good: Column) -> Column:
 
 
 _yes = lambda x: F.lit(True)
+_none = lambda x: F.lit(0)
 
-LABELERS = (
-    Labeler("email", True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)\.(?:{TOP_DOMAINS})$")), ("@",)),
-    Labeler("ip", True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), lambda x: _vote(~x.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])\.")), (".",)),
-    Labeler("card", True, r"[0-9](?:[\x20-]?[0-9])++", _card, lambda x: _vote(_digits(x).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)")), ()),
-    Labeler("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(10, 15), lambda x: _vote(x.rlike(r"^\+[1-9]")), ("+",)),
-    Labeler("email", False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, lambda x: _vote(x.rlike(rf"(?i)(?:{TOP_DOMAINS})$")), ("(", "[")),
-    Labeler("ip", False, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", _yes, lambda x: _vote(x.rlike("(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):")), (":",)),
-    Labeler("phone", False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, lambda x: _vote(x.rlike(r"^\(?[2-9][0-9]{2}")), ()),
-)
+
+def _hit(pattern: str) -> Callable[[Column], Column]:
+    """A vote for what the pattern finds, against the rest."""
+    return lambda x: _vote(x.rlike(pattern))
+
+
+def _long(least: int, most: int) -> Callable[[Column], Column]:
+    return lambda x: _vote(F.length(_digits(x)).between(least, most))
+
+
+_local = _hit(r"^[\p{L}\p{N}._%+-]*\p{L}")
+_issuer = lambda x: _vote(_digits(x).rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"))
+_not_reserved = lambda x: _vote(~x.rlike(r"^(?:0|127|22[4-9]|2[3-5][0-9])(?:\.|\[|\()"))
+_mixed = lambda x: _vote(x.rlike("[0-9].*[0-9].*[0-9]") & x.rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]") & ~x.rlike(r"(.)\1{5}"))
+
+FINDERS = (
+    Finder(0, True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)\.(?:{TOP_DOMAINS})$"), _local, ("@",)),
+    Finder(1, True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), _not_reserved, lambda x: _vote(~x.rlike(r"(?:^|\.)0[0-9]")), (".",)),
+    Finder(2, True, r"[0-9](?:[\x20-]?[0-9])++", _card, _issuer, _long(15, 16), ()),
+    Finder(3, True, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(10, 15), _hit(r"^\+[1-9]"), _long(11, 13), ("+",)),
+    Finder(0, False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)(?:{TOP_DOMAINS})$"), _local, ("(", "[")),
+    Finder(0, False, rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)(?:{TOP_DOMAINS})$"), _local, (" dot ", " DOT ")),
+    Finder(1, False, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", _yes, _hit("(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):"), _none, (":",)),
+    Finder(1, False, rf"(?<![0-9.]){_BYTE}(?:(?:\[\.\]|\(\.\)){_BYTE}){{3}}(?![0-9.])", _yes, _not_reserved, _none, ("[.]", "(.)")),
+    Finder(2, False, r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[\x20./-]){3}[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{15,16}(?![0-9A-Za-z-])", _yes, _issuer, lambda x: _vote(luhn(_digits(x))), ()),
+    Finder(3, False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, _hit(r"^\(?[2-9][0-9]{2}"), _hit(r"^\(?[0-9]{3}\)?[-.\x20]?[2-9]"), ()),
+    Finder(3, False, r"(?<![0-9A-Za-z+.()-])0(?:0[1-9][0-9]{0,2}[-./\x20][0-9]{2,4}|[1-9][0-9]{1,4})[-./\x20](?:[0-9]{5,8}|[0-9]{2,4}(?:[-.\x20][0-9]{2,4}){1,4})(?![0-9A-Za-z.-])", _yes, _none, _long(9, 14), ()),
+    Finder(SECRET, False, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"), lambda x: F.when(x.rlike(rf"^(?:{KEY_PREFIXES})|^(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|[0-9A-F]{{32}}|[0-9A-F]{{40}}|[0-9A-F]{{64}})$"), F.lit(1)).when(x.rlike("/.*/|-.*-.*-|_.*_"), F.lit(-1)).otherwise(F.lit(0)), _mixed, ()),
+)
+
+
+def _context(kind: int, near: Column) -> Column:
+    return F.when(near.rlike(rf"(?i)\b(?:{BEFORE[kind]})"), F.lit(1)).when(near.rlike(rf"(?i)\b(?:{AGAINST[kind]})"), F.lit(-1)).otherwise(F.lit(0))
+
+
+def _neighbour(ch: Column) -> Column:
+    """0 none or space, 1 letter, 2 digit, 3 other."""
+    return F.when(F.coalesce(ch, F.lit("")).rlike(r"^\s*$"), F.lit(0)).when(ch.rlike(r"^\p{L}"), F.lit(1)).when(ch.rlike(r"^\p{N}"), F.lit(2)).otherwise(F.lit(3))
 
 
-def _context(kind: str, before: Column) -> Column:
-    near = F.lower(F.substring(before, -40, 40))
-    return F.when(near.rlike(BEFORE[kind]), F.lit(1)).when(near.rlike(AGAINST), F.lit(-1)).otherwise(F.lit(0))
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """``op`` over each value and all before it, by doubling: n log n steps, no growing array. ``op`` is associative."""
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    doubled = lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, op(F.get(acc, i - k), x)).otherwise(x))
+    return F.aggregate(steps, values, doubled)
 
 
-def spans(text: Column, labeler: Labeler) -> Column:
-    """The leftmost non-overlapping matches that hold, with their votes."""
-    kind = KINDS.index(labeler.kind)
+def spans(text: Column, finder: Finder) -> Column:
+    """The leftmost non-overlapping matches that hold, with their votes and features."""
     none = F.array().cast(_SPAN)
 
     def located(m: Column, pieces: Column) -> Column:
-        steps = F.zip_with(pieces, m, lambda p, x: F.length(p) + F.coalesce(F.length(x), F.lit(0)))
-        good = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: labeler.holds(F.get(m, i)))
-        return F.when(F.size(good) == 0, none).otherwise(let(steps, lambda s: folded(m, pieces, s, good)))
-
-    def folded(m: Column, pieces: Column, steps: Column, good: Column) -> Column:
-        def one(acc: Column, i: Column) -> Column:
-            passed = F.aggregate(F.slice(steps, acc["at"] + 1, i - acc["at"]), F.lit(0), lambda a, x: a + x)
-
-            def to(start: Column) -> Column:
-                lo = start + F.length(F.get(pieces, i))
-                match = F.get(m, i)
-                span = F.struct(
-                    lo.alias("lo"), F.lit(kind).alias("kind"), (lo + F.length(match)).alias("hi"), F.lit(int(labeler.strict)).alias("strict"), labeler.gazetteer(match).alias("gazetteer"), _context(labeler.kind, F.get(pieces, i)).alias("context")
-                )
-                return F.struct(i.alias("at"), start.alias("pos"), F.concat(acc["out"], F.array(span)).cast(_SPAN).alias("out"))
-
-            return let(acc["pos"] + passed, to)
-
-        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("pos"), none.alias("out"))
-        return F.aggregate(good, zero, one, lambda acc: acc["out"])
-
-    matches = F.regexp_extract_all(text, F.lit(labeler.pattern), 0)
-    found = let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, labeler.pattern, -1), lambda pieces: located(m, pieces))))
-    if not labeler.needs:
+        ends = running(F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda x, p: F.length(p) + F.length(x)), add)
+        good = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: finder.holds(F.get(m, i)))
+
+        def one(i: Column, end: Column) -> Column:
+            match, piece, rest = F.get(m, i), F.get(pieces, i), F.concat(F.get(pieces, i + 1), F.coalesce(F.get(m, i + 1), F.lit("")))
+            before = _neighbour(F.coalesce(F.nullif(F.substring(piece, -1, 1), F.lit("")), F.substring(F.coalesce(F.get(m, i - 1), F.lit("")), -1, 1)))
+            after = _neighbour(F.substring(rest, 1, 1))
+            regex = _vote(F.substring(piece, -40, 40).rlike(_ASSIGNED)) if finder.kind == SECRET else F.lit(1 if finder.strict else -1)
+            fields = {
+                "lo": end - F.length(match), "kind": F.lit(finder.kind), "hi": end, "base": F.lit(int(finder.strict)),
+                "regex": regex, "gazetteer": finder.gazetteer(match), "context": _context(finder.kind, F.substring(piece, -40, 40)), "form": finder.form(match), "edges": F.when(before.isin(1, 2) | after.isin(1, 2), F.lit(-1)).otherwise(F.lit(0)),
+                "length": F.least(F.floor(F.length(match) / 8), F.lit(3)).cast("int"), "digits": F.floor(3 * F.length(_digits(match)) / F.length(match)).cast("int"), "before": before, "after": after,
+            }
+            return F.struct(*(x.alias(n) for n, x in fields.items()))
+
+        return F.when(F.size(good) == 0, none).otherwise(let(ends, lambda e: F.transform(good, lambda i: one(i, F.get(e, i)))).cast(_SPAN))
+
+    matches = F.regexp_extract_all(text, F.lit(finder.pattern), 0)
+    found = let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, finder.pattern, -1), lambda pieces: located(m, pieces))))
+    if not finder.needs:
         return found
-    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in labeler.needs)), found).otherwise(none)
+    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in finder.needs)), found).otherwise(none)
+
+
+def _apart(every: Column) -> Column:
+    """The loose spans of ``every`` (sorted) that overlap no base span and no loose one before them."""
+    far = F.lit(2**31 - 1)
+
+    def from_base(a: Column) -> Column:
+        high = running(F.transform(a, lambda s: F.when(s["base"] == 1, s["hi"]).otherwise(0)), F.greatest)
+        low = F.reverse(running(F.reverse(F.transform(a, lambda s: F.when(s["base"] == 1, s["lo"]).otherwise(far))), F.least))
+        clear = lambda h, n: F.filter(a, lambda s, i: (s["base"] == 0) & (F.coalesce(F.get(h, i - 1), F.lit(0)) <= s["lo"]) & (F.coalesce(F.get(n, i + 1), far) >= s["hi"]))
+        return let(high, lambda h: let(low, lambda n: clear(h, n)))
+
+    def from_loose(a: Column) -> Column:
+        return let(running(F.transform(a, lambda s: s["hi"]), F.greatest), lambda h: F.filter(a, lambda s, i: F.coalesce(F.get(h, i - 1), F.lit(0)) <= s["lo"]))
+
+    return let(from_base(every), lambda a: F.when(F.size(a) == 0, a).otherwise(from_loose(a)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base and loose spans of every row. Loose spans overlap no base span and no earlier loose one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    strict = lambda t: F.sort_array(F.concat(*(spans(t, x) for x in LABELERS if x.strict)))
-    loose = lambda t: F.sort_array(F.concat(*(spans(t, x) for x in LABELERS if not x.strict)))
-    narrow = docs.select("doc_id", let(text, lambda t: F.struct(strict(t).alias("base"), loose(t).alias("loose"))).alias("s")).select("doc_id", "s.base", "s.loose")
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["lo"] < c["hi"]) & (c["lo"] < b["hi"])))
-    first = lambda a: F.filter(a, lambda c, i: ~F.exists(F.slice(a, F.lit(1), i), lambda b: c["lo"] < b["hi"]))
-    return narrow.select("doc_id", "base", F.when(F.size("loose") == 0, F.col("loose")).otherwise(let(apart, first)).alias("loose"))
+    found = docs.select("doc_id", let(text, lambda t: F.sort_array(F.concat(*(spans(t, x) for x in FINDERS)))).alias("every"))
+    loose = F.when(F.exists("every", lambda s: s["base"] == 0), _apart(F.col("every"))).otherwise(F.array().cast(_SPAN))
+    return found.select("doc_id", F.filter("every", lambda s: s["base"] == 1).alias("base"), loose.alias("loose"))
+
+
+#: kind, the votes in the order of VOTERS, then the features in the order of FEATURES.
+Pattern = tuple[int, ...]
 
 
-Votes = tuple[int, int, int, int]  # kind, strict, gazetteer, context
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def reliabilities(counts: dict[Votes, int], rounds: int = 50) -> tuple[dict[Votes, float], dict[tuple[int, int, int], float]]:
-    """EM over vote patterns: each pattern's posterior of being personal data, and P(vote | class) as (labeler, vote, class).
+def _sigmoid(z: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    Starts from the share of positive votes. Counts are smoothed by one, and a labeler is held to be better than
-    chance when it votes for.
+
+def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[Pattern, float], dict[tuple[int, str], float]]:
+    """EM over patterns: each pattern's posterior of being personal data, and how often a labeler is right, by kind.
+
+    A labeler that doesn't vote says nothing. It starts from the reliability of ``VOTERS``, which goes on to count as
+    ``BELIEF`` candidates, so labelers stay better than chance where there are few; a kind's share of true candidates is smoothed likewise.
     """
-    posterior = {v: (1 + v[1] + (v[2] > 0) + (v[3] > 0)) / 5 for v in counts}
-    table: dict[tuple[int, int, int], float] = {}
+    kinds = sorted({p[0] for p in counts})
+    right = {(k, name): start for k in kinds for name, start in VOTERS.items()}
+    share = dict.fromkeys(kinds, 0.5)
+    posterior: dict[Pattern, float] = {}
     for _ in range(rounds):
-        weight = [sum(n * (1 - posterior[v]) for v, n in counts.items()), sum(n * posterior[v] for v, n in counts.items())]
-        prior = (weight[1] + 1) / (sum(weight) + 2)
-        for labeler, values in ((1, (0, 1)), (2, (-1, 0, 1)), (3, (-1, 0, 1))):
-            for value in values:
-                for c in (0, 1):
-                    own = sum(n * (posterior[v] if c else 1 - posterior[v]) for v, n in counts.items() if v[labeler] == value)
-                    table[labeler, value, c] = (own + 1) / (weight[c] + len(values))
-        for v in counts:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(table[k, v[k], 1] / table[k, v[k], 0]) for k in (1, 2, 3))
-            posterior[v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-    return posterior, table
-
-
-def train(counts: dict[Votes, int], posterior: dict[Votes, float], steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> dict[str, float]:
-    """A logistic classifier on one-hot votes and kinds, fitted to the posteriors by gradient descent."""
-    weights, total = {"bias": -0.5}, max(1, sum(counts.values()))
-    rows = [(features(v), n / total, posterior[v]) for v, n in counts.items()]
+        for p in counts:
+            odds = _logit(share[p[0]]) + sum(vote * _logit(right[p[0], name]) for name, vote in zip(VOTERS, p[1:], strict=False))
+            posterior[p] = _sigmoid(odds)
+        for k in kinds:
+            own = [(p, n) for p, n in counts.items() if p[0] == k]
+            share[k] = (sum(n * posterior[p] for p, n in own) + BELIEF / 2) / (sum(n for _, n in own) + BELIEF)
+            for j, (name, start) in enumerate(VOTERS.items(), 1):
+                voted = sum(n for p, n in own if p[j])
+                agreed = sum(n * (posterior[p] if p[j] > 0 else 1 - posterior[p]) for p, n in own if p[j])
+                right[k, name] = (agreed + start * BELIEF) / (voted + BELIEF)
+    return posterior, right
+
+
+def features(p: Pattern) -> list[tuple[str, int, int]]:
+    """(field, kind, value) of all that is 1 for the pattern."""
+    return [(name, p[0], value) for name, value in zip(("kind", *VOTERS, *FEATURES), p, strict=False)]
+
+
+def train(counts: dict[Pattern, int], posterior: dict[Pattern, float], steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> dict[tuple[str, int, int], float]:
+    """A logistic classifier on one-hot votes and features by kind, fitted to the posteriors; steps are scaled by each weight's past slopes."""
+    total = max(1, sum(counts.values()))
+    rows = [(features(p), n / total, posterior[p]) for p, n in counts.items()]
+    weights = {x: 0.0 for names, _, _ in rows for x in names}
+    past = dict.fromkeys(weights, 1e-12)
     for _ in range(steps):
-        slope: dict[str, float] = {}
+        slope = {x: ridge * w for x, w in weights.items()}
         for names, share, y in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights.get(x, 0.0) for x in names)))))
+            miss = share * (_sigmoid(sum(weights[x] for x in names)) - y)
             for x in names:
-                slope[x] = slope.get(x, 0.0) + share * (p - y)
+                slope[x] += miss
         for x, g in slope.items():
-            w = weights.get(x, 0.0)
-            weights[x] = w - rate * (g + ridge * w)
+            past[x] += g * g
+            weights[x] -= rate * g / math.sqrt(past[x])
     return weights
 
 
-def features(v: Votes) -> list[str]:
-    return ["bias", f"kind={v[0]}", f"strict={v[1]}", f"gazetteer={v[2]}", f"context={v[3]}"]
-
-
-def _score(c: Column, weights: dict[str, float]) -> Column:
-    out = F.lit(weights["bias"])
-    for name, w in sorted(weights.items()):
-        if name != "bias":
-            field, _, value = name.partition("=")
-            out = out + F.when(c[field] == int(value), F.lit(w)).otherwise(F.lit(0.0))
-    return out
+def _score(c: Column, weights: dict[tuple[str, int, int], float]) -> Column:
+    return reduce(add, (F.when((c["kind"] == kind) & (c[field] == value), F.lit(w)).otherwise(F.lit(0.0)) for (field, kind, value), w in sorted(weights.items())), F.lit(0.0))
 
 
 def _listed(of: Column) -> Column:
-    label = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["lo"].cast("string"), s["hi"].cast("string"))
+    label = lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, (*KINDS, "secret"))), s["kind"] + 1), s["lo"].cast("string"), s["hi"].cast("string"))
     return F.array_join(F.transform(of, label), ",")
 
 
 def find_personal_data(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, secrets, n_found of every row.
+
+    ``spans`` holds the four kinds, base and added; ``secrets`` the accepted secrets; n_found counts both.
+    """
     found = materialize(candidates(docs), "pii")
+    fields = ["kind", *VOTERS, *FEATURES]
     voted = found.where("size(base) > 0 OR size(loose) > 0").select(F.explode(F.concat("base", "loose")).alias("c"))
-    counts = {(r["kind"], r["strict"], r["gazetteer"], r["context"]): r["count"] for r in voted.groupBy("c.kind", "c.strict", "c.gazetteer", "c.context").count().collect()}  # at most 72 patterns
+    counted = voted.groupBy(*(f"c.{x}" for x in fields)).count().collect()  # a row a pattern: a bounded number, whatever the corpus
+    counts = {tuple(r[x] for x in fields): r["count"] for r in counted}
     posterior, _ = reliabilities(counts)
     weights = train(counts, posterior)
-    added = F.filter("loose", lambda c: _score(c, weights) >= math.log(accept / (1 - accept)))
+    accepted = F.filter("loose", lambda c: _score(c, weights) >= _logit(accept)) if weights else F.col("loose")
+    found = found.withColumn("accepted", accepted).withColumn("added", F.filter("accepted", lambda s: s["kind"] != SECRET))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return found.withColumn("added", added).select("doc_id", *(n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select(
+        "doc_id", *(n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
+        F.size("added").cast("long").alias("n_added"), _listed(F.filter("accepted", lambda s: s["kind"] == SECRET)).alias("secrets"), (F.size("base") + F.size("accepted")).cast("long").alias("n_found"),
+    )

@@ -19,6 +19,9 @@ PATTERNS = {
 }
 
 
+BASE = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+
+
 def brute(rows):
     out = []
     for d, t in rows:
@@ -46,14 +49,17 @@ def rows_of(texts):
 
 def test_base_spans(spark):
     rows = rows_of(TEXTS) + awkward_documents()
-    got = pii.find_personal_data(frame(spark, rows)).drop("n_added")
-    same(got.collect(), brute([r[:2] for r in rows]))
+    got = pii.find_personal_data(frame(spark, rows)).select(*BASE, "spans").collect()
+    # Two valid cards of TEXTS[2] lie in a run of too many digits, which the base drops; a loose labeler finds them.
+    expected = brute([r[:2] for r in rows])
+    added = {(2, "card:5:24"): "card:5:24,card:59:75,card:76:91"}
+    same(got, [(*r[:-1], added.get((r[0], r[-1]), r[-1])) for r in expected])
     assert pii.find_personal_data(frame(spark, [])).collect() == []
 
 
 def test_real_base_spans(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
-    same(pii.find_personal_data(frame(spark, rows, False)).drop("n_added", "spans").collect(), [r[:-1] for r in brute([r[:2] for r in rows])])
+    same(pii.find_personal_data(frame(spark, rows, False)).select(*BASE).collect(), [r[:-1] for r in brute([r[:2] for r in rows])])
 
 
 def test_votes_add_spans(spark):
@@ -74,8 +80,53 @@ def test_every_loose_form_is_a_candidate(spark):
     assert all(got[i].n_added == 1 and got[i].spans == f"{k}:12:{12 + len(x)}" for i, (x, k) in enumerate(zip(forms, kinds)))
 
 
+def test_more_loose_forms(spark):
+    forms = [("pay by card", "4111.1111.1111.1111", "card"), ("the number", "4111 1111 1111 1112", "card"), ("mail", "jo at mail dot com", "email"), ("the server", "93[.]184[.]216[.]34", "ip"), ("call", "0049 30 12345678", "phone"), ("call", "0301/123456", "phone")]
+    texts = [f"Please see {before} {x} today" for before, x, _ in forms]
+    got = {r.doc_id: r for r in pii.candidates(frame(spark, rows_of(texts))).collect()}
+    for i, (before, x, kind) in enumerate(forms):
+        at = 12 + len(before)
+        assert [(c.lo, c.hi, c.kind) for c in got[i].loose] == [(at, at + len(x), pii.KINDS.index(kind))]
+    known = [f"contact me{i}@mail.com or phone +1 212 555 01{i:02d}, host 93.184.216.{i}, card 4111 1111 1111 1111" for i in range(40)]
+    clean = ["number 4829.1730.5521.9034 of all", "chapter 0301-2 and 1234 5678", "look at a dot on paper", "a" * 50, "well-known-and-very-long-compound-word-1"]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows_of(texts + known + clean))).collect()}
+    assert [got[i].n_added for i in range(len(forms))] == [1, 0, 1, 1, 1, 1]  # a card without its checksum isn't one
+    assert all(got[i].n_found == 4 for i in range(len(forms), len(forms) + 40))
+    assert all(got[i].n_found == 0 for i in range(len(forms) + 40, len(got)))
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'set token = "{key[i:] + key[:i]}" and go' for i in range(20)] + [f"see {key[3:]}x{key[:2]}/a/b/c of it", "plain"]
+    got = {r.doc_id: r for r in pii.find_personal_data(frame(spark, rows_of(texts))).collect()}
+    assert all(got[i].secrets == "secret:13:53" and got[i].spans == "" and got[i].n_found == 1 for i in range(20))
+    assert got[20].secrets == got[21].secrets == ""
+
+
+def test_running():
+    from pyspark.sql import functions as F
+    from pyspark.sql import SparkSession
+
+    rows = [[3], [1, 2, 3, 4, 5], list(range(100)), [5, 1, 9, 2]]
+    df = SparkSession.getActiveSession().createDataFrame([(r,) for r in rows], "a array<int>")
+    got = df.select("a", pii.running(F.col("a"), lambda x, y: x + y).alias("s"), pii.running(F.col("a"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))] and r.m == [max(r.a[: i + 1]) for i in range(len(r.a))]
+
+
+def test_overlaps(spark):
+    texts = ["call 212-555-0101 and +1 212-555-0101 or 4111-1111-1111-1111"]
+    (r,) = pii.candidates(frame(spark, rows_of(texts))).collect()
+    assert [(s.lo, s.hi) for s in r.loose] == [(5, 17)]
+    assert [(s.lo, pii.KINDS[s.kind]) for s in r.base] == [(22, "phone"), (41, "card")]
+
+
 def test_em_finds_the_reliable_labeler():
-    counts = {(0, 1, 1, 1): 300, (0, 1, 1, 0): 400, (0, 0, 1, 1): 60, (0, 0, -1, -1): 300, (0, 0, -1, 0): 200, (0, 1, -1, 0): 5}
-    posterior, table = pii.reliabilities(counts)
-    assert posterior[0, 1, 1, 1] > 0.95 and posterior[0, 0, -1, -1] < 0.05
-    assert table[2, 1, 1] > 0.9 > 0.2 > table[2, 1, 0]
+    # kind, then votes of regex, gazetteer, context, form, edges
+    counts = {(0, 1, 1, 1, 0, 0): 300, (0, 1, 1, 0, 0, 0): 400, (0, -1, 1, 1, 0, 0): 60, (0, -1, -1, -1, 0, 0): 300, (0, -1, -1, 0, 0, 0): 200, (0, 1, -1, 0, 0, 0): 5}
+    posterior, right = pii.reliabilities(counts)
+    assert posterior[0, 1, 1, 1, 0, 0] > 0.95 and posterior[0, -1, -1, -1, 0, 0] < 0.05
+    assert right[0, "gazetteer"] > 0.97 > right[0, "regex"] > 0.85
+    weights = pii.train(counts, posterior)
+    for p in counts:
+        assert abs(pii._sigmoid(sum(weights[x] for x in pii.features(p))) - posterior[p]) < 0.15
