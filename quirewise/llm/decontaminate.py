@@ -8,7 +8,9 @@ them, and those are joined with the benchmark's windows by digest. A false hit o
 costs a digest, never a result.
 
 Null texts have no words and are clean. Rows are told apart by doc_id and text digest, so equal rows
-give equal results. Items without an id count as hits but not as items.
+give equal results. Items without an id count as hits but not as items; items that share an id are one. Of equal least
+hashes in a window the last is taken, on both sides alike. An empty table gives an empty result, an empty benchmark no hits. Other
+columns may have any names: ``drop_contaminated`` keeps them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import checked_broadcast, is_small, materialize, raw_texts, text_chunks
+from quirewise.llm.common import checked_broadcast, free_name, is_small, materialize, raw_texts, text_chunks
 
 WINDOW = 13
 GRAM = 7
@@ -179,8 +181,10 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram:
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
-    bad = materialize(contamination(docs, bench, **options).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_md5").alias("bad_md5")).distinct(), "contaminated")
-    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(F.col("bad_id")) & (F.md5(docs["text"].cast("string").cast("binary")) == F.col("bad_md5")), "left_anti")
+    bad_id, bad_md5 = free_name(docs, "bad_id"), free_name(docs, "bad_md5")
+    bad = contamination(docs, bench, **options).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_md5").alias(bad_md5))
+    bad = materialize(bad.distinct(), "contaminated")
+    return docs.join(checked_broadcast(bad), docs["doc_id"].eqNullSafe(F.col(bad_id)) & (F.md5(docs["text"].cast("string").cast("binary")) == F.col(bad_md5)), "left_anti")
 
 
 ORACLE = r"""

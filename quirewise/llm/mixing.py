@@ -11,8 +11,9 @@ are landed by giving up first the document total, then the word total.
 Moves are drawn from generators seeded by source, block and level, and documents are flown in an order fixed by
 their values, largest first, so reruns agree and the landing decides about small documents.
 
-Null text has size 0. A null source is a source of its own, last in order. Repeated rows are units of their own.
-An empty table gives an empty result; sources of size 0 get target 0.
+Null text has size 0. A null source is a source of its own, last in order. Repeated rows are units of their own,
+numbered so that they spread over blocks. Sources that tie in order of cap by weight are taken by name, documents of one size by id.
+An empty table gives an empty result; sources of size 0 get target 0. Other columns of ``docs`` may have any names: ``mix`` keeps them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirewise.llm.common import checked_broadcast, free_name, materialize
+from quirewise.llm.common import checked_broadcast, free_name, materialize, numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
@@ -143,7 +144,7 @@ def cube_mix(units: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGH
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies of every row."""
     units = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    mixed = cube_mix(units, **options)
+    mixed = cube_mix(numbered(units, "nth"), **options)  # equal rows must not all fall into one block
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
@@ -153,9 +154,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.md5(F.col("text").cast("string").cast("binary")).alias("digest"), word_count(F.col("text")).alias("size"))
     units = narrow.groupBy(*same).agg(F.sum("size").alias("size"))
     taken = materialize(cube_mix(units, **options).where("copies > 0").select(F.struct(*same).alias("unit"), "copies"), "copies")
-    tag = free_name(docs, "mix_unit")
+    tag, of, copies = (free_name(docs, x) for x in ("mix_unit", "mix_unit_of", "mix_copies"))
     unit = F.struct(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(F.col("text").cast("string").cast("binary")).alias("digest"))
     tagged = docs.withColumn(tag, unit)
-    taken = taken.select(F.col("unit").alias(f"{tag}_of"), F.col("copies").alias(f"{tag}_copies"))
-    joined = tagged.join(taken, F.col(tag).eqNullSafe(F.col(f"{tag}_of")))
-    return joined.withColumn(tag, F.explode(F.sequence(F.lit(1), F.col(f"{tag}_copies")))).select(*docs.columns)
+    taken = taken.select(F.col("unit").alias(of), F.col("copies").alias(copies))
+    joined = tagged.join(taken, F.col(tag).eqNullSafe(F.col(of)))
+    return joined.withColumn(tag, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

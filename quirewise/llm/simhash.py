@@ -11,8 +11,12 @@ Equal fingerprints are one class from the start. Within a key only a spanning fo
 fingerprint is compared with those not yet reached, so a dense group of near copies costs a few passes
 over its distinct fingerprints and no pairs. Forest edges are joined into components.
 
+Fingerprints that over 1/1024 of all rows share are few: what is found of them is broadcast to their rows, so no join has a
+hot key.
+
 Texts without words have fingerprint zero and are linked like any other, null included. Null doc_ids take no part
-in the least doc_id (a component of nulls only has none). Equal rows give equal rows.
+in the least doc_id (a component of nulls only has none). Equal rows give equal rows; of rows that tie for the least doc_id
+``keep_one`` keeps any one. An empty table gives an empty result. Other columns of ``docs`` may have any names: ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import checked_broadcast, free_name, materialize, raw_texts, text_chunks
+from quirewise.llm.common import HOT, checked_broadcast, free_name, materialize, raw_texts, text_chunks
 from quirewise.llm.components import stars
 
 SHINGLE = 3
@@ -150,19 +154,22 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def components(prints: DataFrame) -> DataFrame:
-    """fp, root, component_id for each distinct fingerprint; ``prints`` has doc_id and fp and is stored."""
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
+    """``prints`` (doc_id and fp, stored) with root and component_id."""
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")), "classes")
     joined = stars(links(classes.select("fp")))
-    rooted = classes.join(joined.select(F.col("member").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
+    rooted = classes.join(joined.select(F.col("member").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id", "n")
     rooted = materialize(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root")
+    found = rooted.select("fp", "root", "n").join(least, "root")
+    hot = F.col("n") > F.lit((classes.agg(F.sum("n")).first()[0] or 0) * HOT)
+    few = F.broadcast(found.where(hot).drop("n"))  # at most 1 / HOT rows
+    rest = prints.join(F.broadcast(classes.where(hot).select("fp")), "fp", "left_anti")
+    return prints.join(few, "fp").unionByName(rest.join(found.where(~hot).drop("n"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    prints = materialize(fingerprints(docs, shingle), "prints")
-    found = prints.join(components(prints), "fp", "left")
+    found = components(materialize(fingerprints(docs, shingle), "prints"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -172,7 +179,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Rows are stored once with their fingerprints. Those to drop are joined by an anti join on doc_id and
     fingerprint; what is left twice (repeated ids) is then told apart by group.
     """
-    tag = free_name(docs, "simhash_row")
+    tag, drop_id, drop_fp, twice_fp, root = (free_name(docs, x) for x in ("simhash_row", "drop_id", "drop_fp", "twice_fp", "simhash_root"))
     id_type = docs.schema["doc_id"].dataType
     inside = [f.name for f in docs.schema.fields]
 
@@ -184,15 +191,14 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = docs.withColumn(tag, F.lit(0).cast("long")).schema
     stored = materialize(docs.mapInArrow(rows, schema), "simhash")
     prints = stored.select(F.col("doc_id").cast(id_type), F.col(tag).alias("fp"))
-    groups = materialize(prints.join(components(prints), "fp").select("doc_id", "fp", "root", "component_id"), "groups")
+    groups = materialize(components(prints), "groups")
     chosen = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    drop = materialize(groups.where(~chosen).select(F.col("doc_id").alias("drop_id"), F.col("fp").alias("drop_fp")).distinct(), "drop")
-    kept = stored.join(checked_broadcast(drop), stored["doc_id"].eqNullSafe(F.col("drop_id")) & (stored[tag] == F.col("drop_fp")), "left_anti")
+    drop = materialize(groups.where(~chosen).select(F.col("doc_id").alias(drop_id), F.col("fp").alias(drop_fp)).distinct(), "drop")
+    kept = stored.join(checked_broadcast(drop), stored["doc_id"].eqNullSafe(F.col(drop_id)) & (stored[tag] == F.col(drop_fp)), "left_anti")
     twice = groups.where(chosen).groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = materialize(groups.where(chosen).join(twice, "root", "left_semi").select(F.col("fp").alias("twice_fp"), "root").distinct(), "twice")
+    twice = materialize(groups.where(chosen).join(twice, "root", "left_semi").select(F.col("fp").alias(twice_fp), F.col("root").alias(root)).distinct(), "twice")
     if twice.isEmpty():
         return kept.drop(tag)
-    again = kept[tag] == F.col("twice_fp")
-    marked = kept.join(checked_broadcast(twice), again, "left")
-    once = marked.where("root IS NULL").select(*inside)
-    return once.union(marked.where("root IS NOT NULL").dropDuplicates(["root"]).select(*inside))
+    marked = kept.join(checked_broadcast(twice), kept[tag] == F.col(twice_fp), "left")
+    once = marked.where(F.col(root).isNull()).select(*inside)
+    return once.union(marked.where(F.col(root).isNotNull()).dropDuplicates([root]).select(*inside))

@@ -6,7 +6,9 @@ from a word into the space before the next one: the tokens of a text are those o
 and lists the words that encode alone as one token; those are counted directly, and
 only the remaining pre-tokens are merged by the library.
 
-Null text counts as empty (no bytes, no tokens); texts are never cut; equal rows give equal rows.
+Null text counts as empty (no bytes, no tokens); texts are never cut; equal rows give equal rows. Where a text
+can be cut into pieces in several ways, the merged one is the library's own choice. An empty table gives an empty result. Other
+columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirewise.llm.common import text_chunks
+
 MARK = "▁"
 #: Pre-tokens that the memory of a worker holds besides the proven ones, and their longest length.
 MEMO, MEMO_LENGTH = 400_000, 48
+#: What a model that does more than mark spaces would change: compatibility characters, marks, case, and spaces of all kinds.
+PROBES = ("a", "A b", " a", "a ", "a  b", "\ta\nb\r\n", "x\u00a0y\u3000z\u200b", "e\u0301", "\ufb01", "\u2460", "\uff21", "\u0130", "\U0001d518")
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -45,6 +51,9 @@ def prove(model: str) -> frozenset[str]:
     Raises if the vocabulary could merge across a word's end, as counting by pre-token would then be wrong.
     """
     library, words = _library(model), set()
+    for text in PROBES:
+        if library.normalize(text) != (MARK + text).replace(" ", MARK):
+            raise ValueError(f"the model normalises texts otherwise than by space marks: {text!r} to {library.normalize(text)!r}")
     for i in range(library.vocab_size()):
         piece = library.id_to_piece(i)
         if library.is_control(i) or library.is_unknown(i) or library.is_byte(i):
@@ -89,7 +98,7 @@ def count_tokens(docs: DataFrame, model: str | None = None, limit: int = 4096, i
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts(model, proven.value)
-        for batch in batches:
+        for batch in text_chunks(batches):
             n = pa.array((counts.of(t) if t else 0 for t in batch.column(1).to_pylist()), pa.int64())
             size = pc.cast(pc.fill_null(pc.binary_length(batch.column(1)), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -2,6 +2,11 @@
 
 import random
 
+#: Names that the operators use themselves, some in another case.
+CLASHING = (
+    *("size", "N_Words", "host", "m", "fp", "h", "shard", "target", "copies", "digest", "nth", "rank", "chunk", "words", "kept", "hub", "unit", "of", "n", "least_id", "component_id"),
+    *("simhash_row", "drop_id", "Drop_FP", "twice_fp", "root", "simhash_root", "bad_id", "bad_md5", "text_md5", "mix_unit", "mix_unit_of", "mix_copies", "host_rule_row", "bad_host", "every", "base", "loose"),
+)
 TYPES = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -24,6 +29,6 @@ def frame(spark, rows, extra=True):
 
     df = spark.createDataFrame(rows, TYPES)
     if extra:
-        for c in ("size", "N_Words", "host", "m", "fp", "h", "shard", "target", "copies", "digest"):
+        for c in CLASHING:
             df = df.withColumn(c, F.lit("x"))
     return df

@@ -8,6 +8,7 @@ from tests.llm.fixtures import frame
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(1, "", "en", None, 0)] * 3])
 def test_stages_on_hardly_anything(spark, tmp_path, rows):
     docs = frame(spark, rows)
+    assert "Drop_FP" in docs.columns
     bench = spark.createDataFrame([(1, None), (None, "x")], "item_id long, text string")
     for out in (host_rules.keep_good(docs), simhash.keep_one(docs), decontaminate.drop_contaminated(docs, bench), mixing.mix(docs)):
         assert out.columns == docs.columns
