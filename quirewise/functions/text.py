@@ -47,7 +47,14 @@ def ends_sentence(word: Column) -> Column:
 
 #: Lower-case abbreviations that a full stop does not end a sentence after.
 ABBREVIATIONS = "etc viz vol vols chap ch sect ibid seq edit ed trans ult inst cf art lib cap fol ff pp p mr mrs dr st rev esq ver vide sc".split()
-_ROMAN = r"^m*(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})$"
+
+
+def numeral_pattern(thousands: str, ones: int) -> str:
+    """Roman numerals in lower case: ``thousands`` repeats m; of each smaller decimal digit at most ``ones`` unit letters follow one another."""
+    digit = lambda unit, five, ten: f"(?:{unit}[{five}{ten}]|{five}?{unit}{{0,{ones}}})"
+    return f"^m{thousands}{digit('c', 'd', 'm')}{digit('x', 'l', 'c')}{digit('i', 'v', 'x')}$"
+
+
 _OPENERS, _CLOSERS = "^[“‘\"'(\\[]+", "[”’\"')\\]]+$"
 
 
@@ -60,7 +67,7 @@ def ends_sentence_ui(word: Column) -> Column:
     s = F.regexp_replace(word, _CLOSERS, "")
     body = F.regexp_replace(s, r"\.$", "")
     bare = F.regexp_replace(body, _OPENERS, "")
-    stop = body.rlike(r"\p{L}{3}$") & ~F.contains(body, F.lit(".")) & ~grammar_core(body).isin(ABBREVIATIONS) & ~(bare.rlike(_ROMAN) & (bare != ""))
+    stop = body.rlike(r"\p{L}{3}$") & ~F.contains(body, F.lit(".")) & ~grammar_core(body).isin(ABBREVIATIONS) & ~(bare.rlike(numeral_pattern("*", 3)) & (bare != ""))
     return s.rlike("[!?]$") | (s.rlike(r"\.$") & stop)
 
 
@@ -152,23 +159,41 @@ def confusions(word: Column) -> Column:
     return F.concat(*(of(k, a, b) for k, (a, b) in enumerate(CONFUSIONS)))
 
 
+#: Period endings, what they became, and the lengths of words that they're taken from.
+ENDINGS = (("e", "", 3, None), ("ie", "y", 0, None), ("es", "s", 0, None), ("ke", "c", 0, None), ("ke", "k", 0, None), ("cke", "c", 0, None), ("ee", "e", 0, 4))
+#: Period spellings inside words and what they became; the pairs of one entry are applied in turn.
+SPELLINGS = (
+    "ay>ai", "ayd>aid aide>aid", "eere>ear", "oore>oor", "aine>ain", "aigne>eign", "eeue>ieve eiue>eive", "ould>ol", "ersw>ersu", "shalbe>shall", "ertue>irtue", "oath>oth", "shew>show", "ould>old",
+)
+
+
 def early_modern(word: Column) -> Column:
-    """Candidate modern spellings of a period spelling, in lower case and without repeats."""
-    w = F.lower(word)
-    uv = F.concat(F.when(F.substring(w, 1, 1) == "v", "u").otherwise(F.substring(w, 1, 1)), F.replace(F.substring(w, F.lit(2), F.greatest(F.length(w) - 2, F.lit(0))), F.lit("u"), F.lit("v")), F.when(F.length(w) > 1, F.substring(w, -1, 1)).otherwise(""))
-    ij = F.regexp_replace(w, "(^|(?<=[eao]))i(?=[aeouy])", "j")
-
-    def one(b: Column) -> Column:
-        end = lambda p, r, cond=None: F.when(b.rlike(p) if cond is None else b.rlike(p) & cond, F.regexp_replace(b, p, r))
-        swap = lambda *pairs: functools.reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), pairs, b)
-        return F.array(
-            end("e$", "", F.length(b) >= 3), end("ie$", "y"), end("es$", "s"), end("ke$", "c"), end("ke$", "k"), end("cke$", "c"), end(r"^(.+)([^aeiou])\2e$", "$1$2"), end(r"^(.+)([^aeiou])\2$", "$1$2"), end("ee$", "e", F.length(b) <= 4),
-            swap(("ay", "ai")), swap(("ayd", "aid"), ("aide", "aid")), swap(("eere", "ear")), swap(("oore", "oor")), swap(("aine", "ain")), swap(("aigne", "eign")), swap(("eeue", "ieve"), ("eiue", "eive")), swap(("ould", "ol")), swap(("ersw", "ersu")),
-            swap(("shalbe", "shall")), swap(("ertue", "irtue")), swap(("oath", "oth")), swap(("shew", "show")), swap(("ould", "old")),
-        )
-
-    found = F.concat(F.array(uv, ij), one(w), one(uv), one(ij))
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != w)))
+    """Candidate modern spellings of a period spelling, in lower case, sorted and without repeats.
+
+    Letters are exchanged first (initial v and inner u, i before a vowel); each of the three forms then loses
+    a period ending or a doubled consonant, or has a spelling inside it replaced.
+    """
+    low = F.lower(word)
+    exchanged = [F.regexp_replace(F.regexp_replace(low, "^v", "u"), r"(?<!^)u(?!\z)", "v"), F.regexp_replace(low, "(?<![^aeo])i(?=[aeouy])", "j")]
+
+    def ended(form: Column, old: str, new: str, least: int, most: int | None) -> Column:
+        fits = F.endswith(form, F.lit(old)) & (F.length(form) >= least)
+        fits = fits if most is None else fits & (F.length(form) <= most)
+        return F.when(fits, F.concat(F.substring(form, F.lit(1), F.length(form) - len(old)), F.lit(new)))
+
+    def respelt(form: Column, entry: str) -> Column:
+        for pair in entry.split():
+            form = F.replace(form, *map(F.lit, pair.split(">")))
+        return form
+
+    def undoubled(form: Column, tail: str) -> Column:
+        return F.regexp_replace(form, rf"(?<=.)([^aeiou])\1{tail}$", "$1")
+
+    def variants(form: Column) -> list[Column]:
+        return [*(ended(form, *x) for x in ENDINGS), *(undoubled(form, x) for x in ("", "e")), *(respelt(form, x) for x in SPELLINGS)]
+
+    every = F.array(*exchanged, *(x for form in (low, *exchanged) for x in variants(form)))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda x: x.isNotNull() & (x != low))))
 
 
 #: Marks that call a note, and what recognition makes of a dagger.
