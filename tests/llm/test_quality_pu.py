@@ -35,3 +35,36 @@ def test_risk_ignores_held_out_labels(spark):
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in labels]
     of = lambda x: quality_pu.score_quality(frame(spark, rows), spark.createDataFrame(x, "doc_id long, quality int")).collect()
     assert sorted(map(str, of(labels))) == sorted(map(str, of(flipped)))
+
+
+def test_only_positive_labels_are_read(spark):
+    rows = [(i, "word " * (i % 9 + 1) + "abc " * (i % 5), "en", "s", 1) for i in range(200)]
+    labels = [(i, int(i % 9 > 3)) for i in range(200)]
+    of = lambda x: quality_pu.score_quality(frame(spark, rows), spark.createDataFrame(x, "doc_id long, quality int")).collect()
+    assert sorted(map(str, of(labels))) == sorted(map(str, of([x for x in labels if x[1] == 1])))
+
+
+def test_share_of_positives_is_estimated():
+    rng = np.random.default_rng(3)
+    positive = rng.normal(1, 1, 4000)
+    for share in (0.2, 0.5, 0.9):
+        n = int(6000 * share)
+        unlabelled = np.concatenate([rng.normal(1, 1, n), rng.normal(-3, 1, 6000 - n)])
+        assert abs(quality_pu.mixture_share(positive, unlabelled) - share) < 0.06
+
+
+def test_risk_is_that_of_its_definition():
+    """The slopes are the derivatives of the non-negative risk, by differences, on either side of its corner."""
+    rng = np.random.default_rng(1)
+    for prior, shift in ((0.3, 0.0), (0.9, 4.0)):
+        zp, zu = rng.normal(1 + shift, 1, 30), rng.normal(-1, 1, 40)
+        rest = lambda p, u: np.logaddexp(0, u).mean() - prior * np.logaddexp(0, p).mean()
+        risk = (lambda p, u: prior * np.logaddexp(0, -p).mean() + rest(p, u)) if rest(zp, zu) >= 0 else (lambda p, u: -rest(p, u))
+        gp, gu = quality_pu.non_negative_risk(prior)(zp, zu)
+        for k in (0, 7):
+            d = np.zeros(30)
+            d[k] = 1e-6
+            assert abs((risk(zp + d, zu) - risk(zp - d, zu)) / 2e-6 - gp[k]) < 1e-6
+            d = np.zeros(40)
+            d[k] = 1e-6
+            assert abs((risk(zp, zu + d) - risk(zp, zu - d)) / 2e-6 - gu[k]) < 1e-6
