@@ -1,23 +1,25 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Each record is a gzip member of its own, so any record can be read alone. Writing gives one index row
-a record: path, offset, length, URL and digest. Reading sorts the index rows of the selected records by
-path and offset and joins neighbouring ranges into reads of up to ``MOST_READ`` bytes, over gaps of up
-to ``GAP`` bytes.
+Each record is a gzip member of its own, so any record can be read alone; each file begins with a warcinfo record.
+Writing gives one index row a record: path, offset, length, URL and digest. Reading sorts the index rows of the selected
+records by path and offset and joins neighbouring ranges into reads of up to ``MOST_READ`` bytes, over gaps of up
+to ``GAP`` bytes; the bytes selected set the number of tasks.
 
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id is the
-response; the others are revisits that name it. Payload keys are summed per digest before anything is joined.
+response; the others are revisits that name it and its URL. Payload keys are summed per digest before anything is joined.
 
 A null html is an empty payload; a null URL leaves its header out. Null page_ids never are the largest; if all
-of a digest's ids are null, all are responses. Rows that share the largest page_id are all responses. A file belongs
+of a digest's ids are null, all are responses. Rows that share the largest page_id are all responses, under one record id. An empty
+table gives an empty index. Other columns of ``pages`` aren't read, whatever their names. A file belongs
 to one task attempt, so a retried task never writes into another's file; only finished attempts are in
-the index.
+the index. Texts are taken in chunks of ``CHUNK_BYTES``, so long pages don't meet in memory.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 import uuid
 import zlib
@@ -26,14 +28,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import checked_broadcast, materialize, scratch_path
+from quirewise.llm.common import CHUNK_BYTES, checked_broadcast, materialize, scratch_path, text_chunks
 
 LEAST_PAYLOAD = 1000
 #: Bytes of an archive file before the next one begins; of a read; between two records of one read.
 FILE_BYTES, MOST_READ, GAP = 128 << 20, 8 << 20, 64 << 10
+#: Compressed bytes that a reading task takes; with fewer in all, tasks take less, down to the second.
+TASK_BYTES, LEAST_TASK = 64 << 20, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
 INDEX = "path string, offset long, length long, url string, digest string, page_id long, record_type string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -47,25 +51,45 @@ def _one_line(url: str) -> str:
     return re.sub(r"[\r\n]+", "%0A", url)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, revisit: bool, name: str) -> bytes:
-    """One WARC record as a gzip member; ``size`` is the full payload's, also where a revisit has none."""
-    block = _HTTP % size + payload
+def _record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+    head = ["WARC/1.1", *head, f"Content-Length: {len(block)}"]
+    return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
+
+
+def warcinfo(path: str) -> bytes:
+    """The record that a file begins with."""
+    block = b"software: quirewise\r\nformat: WARC File Format 1.1\r\n"
+    return _member(["WARC-Type: warcinfo", f"WARC-Record-ID: {_record_id(path)}", f"WARC-Date: {DATE}", f"WARC-Filename: {path.rsplit('/', 1)[-1]}", "Content-Type: application/warc-fields"], block)
+
+
+def record(row: dict, folder: str, at: str) -> bytes:
+    """The WARC record of a decided row as a gzip member; ``at``: a name that no other record has.
+
+    The response that revisits refer to is named by its page and digest, so they can tell its id.
+    """
+    digest, page_id, first = row["digest"], row["page_id"], row["first"]
+    named = _record_id(f"{folder}#{first}#{digest}")
     head = [
-        "WARC/1.1",
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Type: {'revisit' if row['revisit'] else 'response'}",
+        f"WARC-Record-ID: {named if first is not None and not row['revisit'] else _record_id(at)}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{_base32(digest)}",
-        f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}",
+        "Content-Type: application/http; msgtype=response",
     ]
-    if url is not None:
-        head.append(f"WARC-Target-URI: {_one_line(url)}")
+    if row["url"] is not None:
+        head.append(f"WARC-Target-URI: {_one_line(row['url'])}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
-    squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return squeeze.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + squeeze.flush()
+    if row["revisit"]:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {first}"]
+        if row["first_url"] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_one_line(row['first_url'])}")
+    return _member(head, _HTTP % row["size"] + (row["payload"] or b""))
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -79,19 +103,27 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    return pafs.FileSystem.from_uri(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark itself would use for it."""
+    given = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = given.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(given).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> DataFrame:
     """Write a record for every row of ``pages`` (page_id, url, html) below ``folder``; gives the stored index."""
+    folder = qualified(pages.sparkSession, folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     digested = given.withColumn("digest", F.sha1("payload"))
-    shared = digested.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first"), "shared-payloads")
+    shared = digested.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.max_by("url", F.struct("page_id", "url")).alias("first_url"), F.count(F.lit(1)).alias("n"))
+    shared = materialize(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first", "first_url"), "shared-payloads")
     decided = digested.join(checked_broadcast(shared), digested["digest"] == shared["of"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    decided = decided.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest", "first", revisit.alias("revisit"))
+    decided = decided.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest", "first", "first_url", revisit.alias("revisit"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -99,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
         files, _ = _files(folder)
         out, path, at, nth = None, "", 0, 0
         try:
-            for batch in batches:
+            for batch in text_chunks(batches, "payload"):
                 index = []
                 for r in batch.to_pylist():
                     if out is None or at >= FILE_BYTES:
@@ -107,8 +139,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
                             out.close()
                         path, at, nth = f"{stem}-{nth}.warc.gz", 0, nth + 1
                         out = files.open_output_stream(_files(path)[1], compression=None)
-                    payload = r["payload"] or b""
-                    member = record(r["page_id"], r["url"], payload, r["size"], r["digest"], r["first"], r["revisit"], f"{path}#{at}")
+                        info = warcinfo(path)
+                        out.write(info)
+                        at = len(info)
+                    member = record(r, folder, f"{path}#{at}")
                     out.write(member)
                     index.append({"path": path, "offset": at, "length": len(member), "url": r["url"], "digest": r["digest"], "page_id": r["page_id"], "record_type": "revisit" if r["revisit"] else "response"})
                     at += len(member)
@@ -124,11 +158,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
     return materialize(decided.mapInArrow(rows, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame) -> DataFrame:
+RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of the selected index rows, read from their archives and checked against their digests.
 
-    page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to. A revisit's
-    size and digest are those that its head states of the payload it stands for.
+    page_id, url, payload_bytes, payload_digest, record_type, refers_to, and with ``payloads`` also payload (null for revisits). A
+    revisit's size and digest are those that its head states of the payload it stands for.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,28 +179,45 @@ def read_records(index: DataFrame) -> DataFrame:
                 files, inside = _files(first["path"])
                 with files.open_input_file(inside) as f:
                     data = f.read_at(end - first["offset"], first["offset"])
-                yield pa.RecordBatch.from_pylist([_result(r, data[r["offset"] - first["offset"] :][: r["length"]]) for r in rows[lo:hi]], schema)
+                out, held = [], 0
+                for r in rows[lo:hi]:
+                    at = r["offset"] - first["offset"]
+                    result = _result(r, data[at : at + r["length"]], payloads)
+                    out.append(result)
+                    held += len(result.get("payload") or b"")
+                    if held > CHUNK_BYTES:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
                 lo = hi
 
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    sorted_ranges = index.select("path", "offset", "length").withColumn("range", F.floor(F.col("offset") / F.lit(MOST_READ))).repartition("path", "range").sortWithinPartitions("path", "offset").select("path", "offset", "length")
-    return sorted_ranges.mapInArrow(rows, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    schema = pa.schema(fields + [("payload", pa.binary())] * payloads)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, math.ceil(total / TASK_BYTES), min(2 * cores, math.ceil(total / LEAST_TASK)))
+    step = min(MOST_READ, max(1, math.ceil(total / tasks / 4)))  # several ranges a task, so that they come out even
+    ranges = index.select("path", "offset", "length").withColumn("range", F.floor(F.col("offset") / F.lit(step)))
+    sorted_ranges = ranges.repartition(tasks, "path", "range").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    return sorted_ranges.mapInArrow(rows, RECORD + ", payload binary" * payloads)
 
 
-def _result(row: dict, member: bytes) -> dict:
+def _result(row: dict, member: bytes, payloads: bool) -> dict:
     fields, payload, size = parse(member)
     stated = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != stated):
         raise ValueError(f"damaged record at {row['path']}#{row['offset']}")
     number = lambda name: int(fields[name]) if name in fields else None
-    return {"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "payload": None if revisit else payload, "payload_bytes": size, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page")}
+    out = {"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page")}
+    return out | {"payload": None if revisit else payload} if payloads else out
 
 
 def round_trip(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """Archive all pages in the shared folder, then read every record back by its index row."""
     index = write_archives(pages, scratch_path(pages.sparkSession, "warc"), least)
-    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 ORACLE = """

@@ -33,7 +33,14 @@ def test_files_hold_gzip_members_at_indexed_offsets(spark, tmp_path):
     rows = [(i, f"http://h/{i}", "é" * 600 + str(i % 2), None, None) for i in range(10)]
     index = warc.write_archives(spark.createDataFrame(rows, TYPES).coalesce(1), f"file://{tmp_path}/w").collect()
     data = (tmp_path / "w" / index[0].path.rpartition("/")[2]).read_bytes()
-    assert sum(r.length for r in index) == len(data)
+    info = min(r.offset for r in index)
+    assert info + sum(r.length for r in index) == len(data)
+    assert b"WARC-Type: warcinfo" in zlib.decompress(data[:info], 31)
+    heads = {r.page_id: dict(x.split(": ", 1) for x in zlib.decompress(data[r.offset : r.offset + r.length], 31).partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in index}
+    assert len({h["WARC-Record-ID"] for h in heads.values()}) == 10
+    for i, h in heads.items():
+        if i < 8:  # the response to which a revisit refers, by id and URL
+            assert h["WARC-Refers-To"] == heads[8 + i % 2]["WARC-Record-ID"] and h["WARC-Refers-To-Target-URI"] == f"http://h/{8 + i % 2}"
     for r in index:
         assert zlib.decompress(data[r.offset : r.offset + r.length], 31).startswith(b"WARC/1.1\r\n")
     chosen = warc.read_records(spark.createDataFrame(index).where("page_id IN (3, 8)")).collect()
