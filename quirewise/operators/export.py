@@ -50,10 +50,27 @@ def snapshot(pages: DataFrame, spans: DataFrame, regions: DataFrame) -> DataFram
 
 
 def checks(spans: DataFrame, plan: DataFrame) -> DataFrame:
-    """check, ok, detail: the plan has every word once, the words in order, and no empty paragraph."""
-    text = spans.where("text <> ''").agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
-    planned = plan.agg(F.lit(0).cast("long").alias("a"), F.sum("words").alias("b"), F.count_if(F.col("text") == "").alias("c"))
-    sums = text.union(planned).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"))
-    row = lambda name, ok, detail: F.struct(F.lit(name).alias("check"), ok.alias("ok"), detail.alias("detail"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    return sums.select(F.inline(F.array(row("coverage", a == b, F.concat(b.cast("string"), F.lit(" of "), a.cast("string"), F.lit(" words"))), row("paragraphs", c == 0, F.concat(c.cast("string"), F.lit(" empty"))))))
+    """check, ok, detail: the plan has every word once, no empty paragraph, each region's words in order, and each page's words and no others."""
+    words = spans.where("text <> ''").withColumnRenamed("region_kind", "kind")
+    # A region's text by the spans, and by the plan's paragraphs in order; a region in only one of both differs.
+    said = words.groupBy("page_index", "kind").agg(ordered_text(F.col("text")).alias("said"), F.count("*").alias("n"))
+    of = {place: [k for k, p, _ in POLICY if p == place] for place in {p for _, p, _ in POLICY}}
+    placed = lambda kind: F.coalesce(*(F.when(kind.isin(*kinds), F.lit(place)) for place, kinds in of.items()), F.lit("body"))
+    said = said.withColumn("place", placed(F.col("kind"))).select("page_index", "place", F.md5("said").alias("said"), "n")
+    drawn = plan.groupBy("page_index", "placement", "region_order").agg(ordered_text(F.col("text"), "paragraph").alias("drawn"), F.sum("words").alias("m"), F.count_if(F.col("text") == "").alias("empty"))
+    drawn = drawn.select("page_index", F.col("placement").alias("place"), F.md5("drawn").alias("drawn"), "m", "empty")
+    both = said.groupBy("page_index", "place").agg(F.sort_array(F.collect_list("said")).alias("said"), F.sum("n").alias("n"))  # at most a page's regions
+    both = both.join(drawn.groupBy("page_index", "place").agg(F.sort_array(F.collect_list("drawn")).alias("drawn"), F.sum("m").alias("m"), F.sum("empty").alias("empty")), ["page_index", "place"], "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    pages = both.groupBy("page_index").agg(F.sum(zero("n")).alias("n"), F.sum(zero("m")).alias("m"), F.sum(zero("empty")).alias("empty"), F.count_if(~F.col("said").eqNullSafe(F.col("drawn"))).alias("off"))
+    sums = pages.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "m", "empty", "off")), F.count_if(F.col("n") != F.col("m")).alias("unlike"))
+    row = lambda name, ok, *detail: F.struct(F.lit(name).alias("check"), ok.alias("ok"), F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in detail)).alias("detail"))
+    text = lambda c: F.col(c).cast("string")
+    return sums.select(
+        F.inline(
+            F.array(
+                row("coverage", F.col("n") == F.col("m"), text("m"), " of ", text("n"), " words"), row("paragraphs", F.col("empty") == 0, text("empty"), " empty"),
+                row("order", F.col("off") == 0, text("off"), " regions differ"), row("parity", F.col("unlike") == 0, text("unlike"), " pages differ"),
+            )
+        )
+    )

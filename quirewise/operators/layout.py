@@ -46,10 +46,29 @@ def first_region(words: DataFrame, regions: DataFrame) -> DataFrame:
     return first.where(F.col("kind").isNull() | ~F.col("kind").isin(*NOT_TEXT))
 
 
+#: Sides of the cells that small boxes are dealt into, in points.
+CELL_W, CELL_H = 144.0, 28.0
+
+
+def celled(boxes: DataFrame) -> DataFrame:
+    """``boxes`` once for each grid cell they touch (_cx, _cy), with their first cell (_x0, _y0)."""
+    cell = lambda at, size: F.floor(at / size).cast("int")
+    firsts = boxes.withColumn("_x0", cell(F.col("x"), CELL_W)).withColumn("_y0", cell(F.col("y"), CELL_H))
+    across = firsts.withColumn("_cx", F.explode(F.sequence("_x0", F.greatest(F.col("_x0"), cell(F.col("x") + F.col("w"), CELL_W)))))
+    return across.withColumn("_cy", F.explode(F.sequence("_y0", F.greatest(F.col("_y0"), cell(F.col("y") + F.col("h"), CELL_H)))))
+
+
+def touching(a: str, b: str) -> Column:
+    """Join condition of celled ``a`` and ``b``: boxes of one page that intersect, each pair in the first cell they share."""
+    same = lambda c: F.col(f"{a}.{c}") == F.col(f"{b}.{c}")
+    first = lambda c, lo: F.col(f"{a}.{c}") == F.greatest(f"{a}.{lo}", f"{b}.{lo}")
+    return same("page_index") & same("_cx") & same("_cy") & first("_cx", "_x0") & first("_cy", "_y0") & G.intersects(box(a), box(b))
+
+
 def best_overlap(words: DataFrame, spans: DataFrame, least: float = 0.4) -> DataFrame:
-    """The span with the most mutual overlap for each word; the earlier span of equals."""
-    w, s = words.alias("w"), spans.alias("s")
-    pairs = w.join(s, (F.col("w.page_index") == F.col("s.page_index")) & G.intersects(box("w"), box("s")))
+    """The span with the most mutual overlap for each word; the earlier span of equals. Boxes meet in the cells of a page, not in all of it."""
+    w, s = celled(words).alias("w"), celled(spans).alias("s")
+    pairs = w.join(s, touching("w", "s"))
     share = F.greatest(G.overlap_fraction(box("w"), box("s")), G.overlap_fraction(box("s"), box("w")))
     best = F.max_by(F.struct(F.col("s.span_id"), share.alias("overlap")), F.struct(share, -F.col("s.seq"))).alias("_b")
     return pairs.groupBy(F.col("w.page_index").alias("page_index"), F.col("w.seq").alias("seq")).agg(best).select("page_index", "seq", "_b.span_id", "_b.overlap").where(F.col("overlap") >= least)

@@ -43,10 +43,19 @@ def link_markers(notes: DataFrame, anchors: DataFrame, rejected: DataFrame | Non
 
 def nearest_equal(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """``wanted`` (page_index, seq, text, at) with the offered position (the column that isn't page_index or text)
-    of equal text on the page that is nearest to ``at``; the lower of equals."""
+    of equal text on the page that is nearest to ``at``; the lower of equals.
+
+    Both sides are sorted together by place: the nearest is the last offered before or the first after. Equal words meet in no pairs.
+    """
     position = next(c for c in offered.columns if c not in ("page_index", "text"))
-    pairs = wanted.join(offered, ["page_index", "text"])
-    return pairs.groupBy("page_index", "seq").agg(F.min_by(position, F.struct(F.abs(F.col(position) - F.col("at")), position)).alias(position))
+    sought = wanted.select("page_index", "text", F.col("at").cast("long").alias("_at"), F.col("seq").alias("seq"), F.lit(None).cast("long").alias("_p"))
+    there = offered.select("page_index", "text", F.col(position).cast("long").alias("_at"), F.lit(None).cast("long").alias("seq"), F.col(position).cast("long").alias("_p"))
+    order = Window.partitionBy("page_index", "text").orderBy("_at", F.col("_p").isNull())
+    both = sought.unionByName(there).select(
+        "page_index", "seq", "_at", F.last("_p", True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_low"), F.first("_p", True).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("_high")
+    )
+    nearer = F.when(F.col("_low").isNull() | (F.col("_high") - F.col("_at") < F.col("_at") - F.col("_low")), F.col("_high")).otherwise(F.col("_low"))
+    return both.where("seq IS NOT NULL").select("page_index", "seq", nearer.alias(position)).where(F.col(position).isNotNull())
 
 
 def word_runs(words: DataFrame, n: int) -> DataFrame:

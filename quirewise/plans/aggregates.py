@@ -71,7 +71,7 @@ def agg_ocr_confidence(v):
     return v.words.groupBy("page_index").agg(F.count("*").alias("words"), (F.sum("confidence") / F.count("*")).alias("mean")).orderBy("mean", "page_index")
 
 
-@query("agg_mean_conf", "SELECT page_index, coalesce(sum(confidence) FILTER (text <> '' AND seq % 1000 < 3)::DOUBLE / nullif(count(*) FILTER (text <> '' AND seq % 1000 < 3), 0), 0) AS mean FROM spans GROUP BY 1")
+@query("agg_mean_conf", "SELECT page_index, coalesce(sum(confidence) FILTER (text <> '')::DOUBLE / nullif(count(*) FILTER (text <> ''), 0), 0) AS mean FROM spans GROUP BY 1")
 def agg_mean_conf(v):
     counted = F.when(F.col("text") != "", F.col("confidence"))
     return v.spans.groupBy("page_index").agg(F.coalesce(F.sum(counted) / F.nullif(F.count(counted), F.lit(0)), F.lit(0.0)).alias("mean"))
@@ -178,8 +178,11 @@ def agg_median_upper(v):
 
 @query("agg_percentile", "SELECT stage, list_sort(list(elapsed_ms))[CAST(floor((count(*) - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS p95 FROM runs GROUP BY 1")
 def agg_percentile(v):
-    values = F.sort_array(F.collect_list("elapsed_ms"))
-    return v.runs.groupBy("stage").agg(F.get(values, F.floor((F.count("*") - 1) * 0.95 + 0.5).cast("int")).alias("p95"))
+    """The value at the rounded rank, from counts by value: what a window sees is bounded by the distinct values of a stage."""
+    each = v.runs.groupBy("stage", "elapsed_ms").agg(F.count("*").alias("n"))
+    stage = Window.partitionBy("stage")
+    ranked = each.select("stage", "elapsed_ms", F.sum("n").over(stage.orderBy("elapsed_ms")).alias("upto"), F.sum("n").over(stage).alias("all"))
+    return ranked.where(F.col("upto") > F.floor((F.col("all") - 1) * 0.95 + 0.5)).groupBy("stage").agg(F.min("elapsed_ms").alias("p95"))
 
 
 @query("agg_precision", "SELECT quality AS by_reviewer, count(*) FILTER (toxic = 0)::DOUBLE / nullif(count(*), 0) AS precision FROM labels GROUP BY 1")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quirewise.functions import geometry as G
 from quirewise.functions import text as T
 from quirewise.operators import ai, edits, export, issues, layout, matching, pipeline, reconstruct, review, state
 from quirewise.plans.registry import query
+from quirewise.sources import sinks, storage
 from quirewise.sources.views import PAGE_W
 
 _STRIP = r"regexp_replace({0}, '^[^\p{{L}}\p{{N}}''’]+|[^\p{{L}}\p{{N}}''’]+$', '', 'g')"
@@ -70,10 +72,12 @@ def op_build_issues(v):
 @query(
     "op_structural_issues",
     f"""SELECT page_index, 'clipping' AS kind, 'clipping@' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) AS original, CAST(80 AS BIGINT) AS priority FROM regions r WHERE kind NOT IN ('ignore', 'illustration') AND EXISTS (SELECT 1 FROM spans s WHERE s.page_index = r.page_index AND s.region_kind = r.kind AND (s.x <= 2 OR s.y <= 2 OR s.x + s.w >= {PAGE_W} - 2 OR s.y + s.h >= 790))
-    UNION ALL SELECT page_index, 'missing_text', 'missing_text@' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), 90 FROM words WHERE seq % 43 = 1 AND h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788""",
+    UNION ALL SELECT page_index, 'missing_text', 'missing_text@' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), 90 FROM words k WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.page_index = k.page_index AND r.kind = 'body' AND greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y)) / (k.w * k.h) >= 0.5) AND h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788""",
 )
 def op_structural_issues(v):
-    uncovered = v.words.where("seq % 43 = 1").where(f"h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788")
+    k, body = v.words.alias("k"), v.regions.where("kind = 'body'").alias("r")
+    uncovered = k.join(body, (F.col("k.page_index") == F.col("r.page_index")) & (G.overlap_fraction(layout.box("k"), layout.box("r")) >= 0.5), "left_anti")
+    uncovered = uncovered.where(f"h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788")
     at_edge = v.spans.where(f"x <= 2 OR y <= 2 OR x + w >= {PAGE_W} - 2 OR y + h >= 790").select("page_index", F.col("region_kind").alias("kind")).distinct()
     clipped = v.regions.where(~F.col("kind").isin(*layout.NOT_TEXT)).join(at_edge, ["page_index", "kind"], "left_semi")
     row = lambda df, kind: df.select("page_index", F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}@"), F.col("x").cast("long").cast("string"), F.lit(","), F.col("y").cast("long").cast("string")).alias("original"), F.lit(issues.FIXED_PRIORITY[kind]).cast("long").alias("priority"))
@@ -149,11 +153,11 @@ def op_group_apply_stale(v):
     return review.group_apply(v.spans, chosen).select("span_id", "text", "revision")
 
 
-@query("op_edit_text", "SELECT page_index, count(*) AS words FROM words WHERE line_no % 9 = 0 GROUP BY 1")
+@query("op_edit_text", "SELECT page_index, count(*) AS words FROM words GROUP BY 1")
 def op_edit_text(v):
     """Typed lines keep a slot for each old word."""
     old = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"])
-    typed = v.words.where("line_no % 9 = 0").groupBy("page_index", "line_no").agg(old.alias("old"))
+    typed = v.words.groupBy("page_index", "line_no").agg(old.alias("old"))
     typed = typed.withColumn("new", F.filter("old", lambda w, i: i % 5 != 2))
     return edits.fit_words(typed).groupBy("page_index").agg(F.sum(F.size("fit")).alias("words"))
 
@@ -164,10 +168,22 @@ def op_paragraph_set(v):
     return review.paragraph_set(v.spans, events.union(events.select(F.col("event_id") - 1, "span_id", F.lit(True)))).select("span_id", "paragraph_start")
 
 
-@query("op_reapply_edits")
+@query(
+    "op_reapply_edits",
+    """SELECT page_index, edit_id, start, words FROM (SELECT a.page_index, a.seq AS edit_id, b.seq AS start, a.n AS words, row_number() OVER (PARTITION BY a.page_index, a.seq ORDER BY abs(b.seq - a.seq - 3), b.seq) AS rn
+      FROM runs_of a JOIN runs_of b ON a.page_index = b.page_index AND a.n = b.n AND a.run = b.run WHERE a.n = a.seq % 3 + 1) WHERE rn = 1""",
+    {
+        "runs_of": """SELECT page_index, seq, 1 AS n, text AS run FROM words UNION ALL SELECT page_index, seq, 2, text || ' ' || lead(text) OVER o FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq)
+          UNION ALL SELECT page_index, seq, 3, text || ' ' || lead(text) OVER o || ' ' || lead(text, 2) OVER o FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq)"""
+    },
+)
 def op_reapply_edits(v):
-    runs = matching.word_runs(v.words, 2).where("seq % 41 = 0").select("page_index", F.col("seq").alias("edit_id"), (F.col("seq") + 3).alias("at"), F.col("run").alias("old"))
-    return edits.reapply(v.words, runs)
+    """An edit at every word, of one to three words, sought three places on."""
+    runs = None
+    for n in (1, 2, 3):
+        own = matching.word_runs(v.words, n).where(F.col("seq") % 3 == n - 1)
+        runs = own if runs is None else runs.union(own)
+    return edits.reapply(v.words, runs.select("page_index", F.col("seq").alias("edit_id"), (F.col("seq") + 3).alias("at"), F.col("run").alias("old")))
 
 
 @query("op_undo", "SELECT span_id, CASE WHEN seq % 10 = 0 AND seq % 3 = 0 THEN 'before' ELSE text END AS text, seq % 10 = 0 AND seq % 3 = 0 AS undone FROM spans")
@@ -301,19 +317,24 @@ def op_compose(v):
 
 @query("snk_docx", "SELECT page_index, count(*) AS paragraphs, CAST(sum(words) AS BIGINT) AS words FROM plan_rows GROUP BY 1", {"plan_rows": _PLAN})
 def snk_docx(v):
-    """The plan that a document writer takes, summed per page."""
-    return export.compose(v.spans, v.regions).groupBy("page_index").agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
+    """The plan as JSON lines, which a document writer takes; summed per page from what is read back."""
+    plan, folder = export.compose(v.spans, v.regions), storage.new_path(v.spark, "plan")
+    sinks.archive({"plan": plan}, folder)
+    return sinks.read_part(plan, folder, "plan").groupBy("page_index").agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
 
 
-@query("val_export", "SELECT 'coverage' AS \"check\", TRUE AS ok, (SELECT count(*) FROM spans WHERE text <> '') || ' of ' || (SELECT count(*) FROM spans WHERE text <> '') || ' words' AS detail UNION ALL SELECT 'paragraphs', TRUE, '0 empty'")
+@query("val_export", "SELECT 'coverage' AS \"check\", TRUE AS ok, (SELECT count(*) FROM spans WHERE text <> '') || ' of ' || (SELECT count(*) FROM spans WHERE text <> '') || ' words' AS detail UNION ALL SELECT 'paragraphs', TRUE, '0 empty' UNION ALL SELECT 'order', TRUE, '0 regions differ' UNION ALL SELECT 'parity', TRUE, '0 pages differ'")
 def val_export(v):
     return export.checks(v.spans, export.compose(v.spans, v.regions))
 
 
-@query("op_snapshot", "SELECT p.page_index, coalesce(r.n, 0) AS regions, coalesce(s.n, 0) AS words FROM book_pages p LEFT JOIN (SELECT page_index, count(*) AS n FROM regions GROUP BY 1) r ON p.page_index = r.page_index LEFT JOIN (SELECT page_index, count(*) AS n FROM spans WHERE text <> '' GROUP BY 1) s ON p.page_index = s.page_index")
+@query("op_snapshot", "SELECT p.page_index, p.status, r.kinds, coalesce(s.n, 0) AS words, s.text FROM book_pages p LEFT JOIN (SELECT page_index, string_agg(region_order || ':' || kind, ',' ORDER BY region_order) AS kinds FROM regions GROUP BY 1) r ON p.page_index = r.page_index LEFT JOIN (SELECT page_index, count(*) AS n, md5(string_agg(text, ' ' ORDER BY seq)) AS text FROM spans WHERE text <> '' GROUP BY 1) s ON p.page_index = s.page_index")
 def op_snapshot(v):
+    """The nested documents, told by the order of regions and a digest of the words in order."""
     size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
-    return export.snapshot(v.pages, v.spans, v.regions).select("page_index", size("regions").alias("regions"), size("spans").alias("words"))
+    kinds = F.array_join(F.transform("regions", lambda r: F.concat(r["region_order"].cast("string"), F.lit(":"), r["kind"])), ",")
+    text = F.md5(F.array_join(F.transform("spans", lambda s: s["text"]), " "))
+    return export.snapshot(v.pages, v.spans, v.regions).select("page_index", "status", kinds.alias("kinds"), size("spans").alias("words"), text.alias("text"))
 
 
 # ---- pipeline state

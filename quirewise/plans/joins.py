@@ -18,7 +18,7 @@ def jn_word_region(v):
     return layout.first_region(v.words, v.regions)
 
 
-_SHIFT = "SELECT page_index, seq, x + 3 AS x, y + 2 AS y, w, h FROM words WHERE seq % 4 = 0"
+_SHIFT = "SELECT page_index, seq, x + 3 AS x, y + 2 AS y, w, h FROM words"
 _OVER = "greatest(0, least(a.x + a.w, s.x + s.w) - greatest(a.x, s.x)) * greatest(0, least(a.y + a.h, s.y + s.h) - greatest(a.y, s.y))"
 
 
@@ -95,20 +95,20 @@ def jn_marker_rejected(v):
     return matching.link_markers(notes, anchors, rejected)
 
 
-@query("jn_nearest_text", "SELECT page_index, seq, new_seq FROM (SELECT o.page_index, o.seq, n.seq AS new_seq, row_number() OVER (PARTITION BY o.page_index, o.seq ORDER BY abs(n.seq - o.seq - 2), n.seq) AS rn FROM spans o JOIN spans n ON o.page_index = n.page_index AND o.text = n.text WHERE o.seq % 23 = 0 AND o.text <> '') WHERE rn = 1")
+@query("jn_nearest_text", "SELECT page_index, seq, new_seq FROM (SELECT o.page_index, o.seq, n.seq AS new_seq, row_number() OVER (PARTITION BY o.page_index, o.seq ORDER BY abs(n.seq - o.seq - 2), n.seq) AS rn FROM spans o JOIN spans n ON o.page_index = n.page_index AND o.text = n.text WHERE o.text <> '') WHERE rn = 1")
 def jn_nearest_text(v):
-    old = v.spans.where("seq % 23 = 0 AND text <> ''").select("page_index", "seq", "text", (F.col("seq") + 2).alias("at"))
+    old = v.spans.where("text <> ''").select("page_index", "seq", "text", (F.col("seq") + 2).alias("at"))
     return matching.nearest_equal(old, v.spans.select("page_index", "text", F.col("seq").alias("new_seq"))).select("page_index", "seq", "new_seq")
 
 
 @query(
     "jn_nearest_run",
-    "SELECT page_index, seq, start FROM (SELECT a.page_index, a.seq, b.seq AS start, row_number() OVER (PARTITION BY a.page_index, a.seq ORDER BY abs(b.seq - a.seq - 5), b.seq) AS rn FROM g a JOIN g b ON a.page_index = b.page_index AND a.run = b.run WHERE a.seq % 37 = 0) WHERE rn = 1",
+    "SELECT page_index, seq, start FROM (SELECT a.page_index, a.seq, b.seq AS start, row_number() OVER (PARTITION BY a.page_index, a.seq ORDER BY abs(b.seq - a.seq - 5), b.seq) AS rn FROM g a JOIN g b ON a.page_index = b.page_index AND a.run = b.run) WHERE rn = 1",
     {"g": "SELECT page_index, seq, text || ' ' || lead(text) OVER o || ' ' || lead(text, 2) OVER o AS run FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq)"},
 )
 def jn_nearest_run(v):
     runs = matching.word_runs(v.words, 3)
-    edits = runs.where("seq % 37 = 0").select("page_index", "seq", F.col("run").alias("text"), (F.col("seq") + 5).alias("at"))
+    edits = runs.select("page_index", "seq", F.col("run").alias("text"), (F.col("seq") + 5).alias("at"))
     return matching.nearest_equal(edits, runs.select("page_index", F.col("run").alias("text"), F.col("seq").alias("start"))).select("page_index", "seq", "start")
 
 
@@ -135,9 +135,10 @@ _BLOBS = "SELECT page_index, line_no, min(x) AS x, min(y) AS y, max(x + w) - min
 
 @query("jn_uncovered_ink", "SELECT page_index, line_no FROM blobs b WHERE n >= 3 AND NOT EXISTS (SELECT 1 FROM words k WHERE k.page_index = b.page_index AND k.seq % 9 = 1 AND k.x < b.x + b.w AND b.x < k.x + k.w AND k.y < b.y + b.h AND b.y < k.y + k.h)", {"blobs": _BLOBS})
 def jn_uncovered_ink(v):
-    blobs = v.words.groupBy("page_index", "line_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), F.lit(10.0).alias("h"), F.count("*").alias("n")).where("n >= 3").alias("b")
-    k = v.words.where("seq % 9 = 1").alias("k")
-    return blobs.join(k, (F.col("b.page_index") == F.col("k.page_index")) & G.intersects(layout.box("k"), layout.box("b")), "left_anti").select("page_index", "line_no")
+    blobs = v.words.groupBy("page_index", "line_no").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), F.lit(10.0).alias("h"), F.count("*").alias("n")).where("n >= 3")
+    k = layout.celled(v.words.where("seq % 9 = 1").select("page_index", *"xywh")).alias("k")  # these words stand for what recognition has covered
+    covered = layout.celled(blobs).alias("b").join(k, layout.touching("b", "k")).select("b.page_index", "b.line_no").distinct()
+    return blobs.join(covered, ["page_index", "line_no"], "left_anti").select("page_index", "line_no")
 
 
 _FRACTION = "greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y)) / (k.w * k.h)"

@@ -85,23 +85,39 @@ def fn_misspelt(v):
     return spelling.misspelt(tokens(v), v.lexicon)
 
 
-@query(
-    "fn_suggest",
-    f"SELECT t.token, l.token AS suggestion, CAST(levenshtein(t.w, l.token) AS BIGINT) AS distance FROM (SELECT DISTINCT token, lower({_S}) AS w FROM tk) t JOIN lexicon l ON substr(t.w, 1, 1) = substr(l.token, 1, 1) AND abs(length(t.w) - length(l.token)) <= 1 AND levenshtein(t.w, l.token) <= 1 WHERE t.w NOT IN (SELECT token FROM lexicon) AND length(t.w) >= 4 AND regexp_full_match(t.w, '[a-z]+') AND regexp_full_match(l.token, '[a-z]+')",
-    _TK,
-)
+#: DuckDB counts bytes of a word, not letters: letters beyond ASCII become capitals, which words in lower case don't have.
+_ASCII = "translate({0}, 'äöüßáéíóúñèêçàâëïîôûùœæÿ', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+
+
+def _near(unknown: str) -> dict[str, str]:
+    """Subqueries: ``near`` has (token, suggestion, distance) for the words of ``unknown`` (token, w), by letters left out of both sides."""
+    cut = "SELECT DISTINCT {1}, substr(k, 1, i - 1) || substr(k, i + 1) AS k FROM (SELECT *, unnest(generate_series(1, length(k))) AS i FROM {0})"
+    return {
+        "asked": f"SELECT DISTINCT token, {_ASCII.format('w')} AS w, {_ASCII.format('w')} AS k FROM ({unknown})",
+        "asked1": cut.format("asked", "token, w"), "asked2": cut.format("asked1", "token, w"),
+        "there": f"SELECT token AS suggestion, {_ASCII.format('token')} AS s, {_ASCII.format('token')} AS k FROM lexicon",
+        "there1": cut.format("there", "suggestion, s"), "there2": cut.format("there1", "suggestion, s"),
+        "near": """SELECT DISTINCT token, suggestion, CAST(levenshtein(w, s) AS BIGINT) AS distance FROM (SELECT token, w, k FROM asked UNION SELECT token, w, k FROM asked1 UNION SELECT token, w, k FROM asked2) a
+          JOIN (SELECT suggestion, s, k FROM there UNION SELECT suggestion, s, k FROM there1 UNION SELECT suggestion, s, k FROM there2) b USING (k) WHERE levenshtein(w, s) <= 2""",
+    }
+
+
+_UNKNOWN = f"SELECT token, lower({_S}) AS w FROM tk WHERE lower({_S}) NOT IN (SELECT token FROM lexicon) AND length({_S}) >= 4"
+
+
+@query("fn_suggest", "SELECT token, suggestion, distance FROM near", _TK | _near(_UNKNOWN))
 def fn_suggest(v):
-    ascii_ = v.lexicon.where("token RLIKE '^[a-z]+$'")
-    return spelling.suggest(tokens(v).where(F.lower(T.strip(F.col("token"))).rlike("^[a-z]+$")), ascii_, v.lexicon, most=1)
+    return spelling.suggest(tokens(v), v.lexicon, v.lexicon)
 
 
-@query("fn_levenshtein", "SELECT a.token AS a, b.token AS b, CAST(levenshtein(a.token, b.token) AS BIGINT) AS d FROM tk a, tk b WHERE length(a.token) = 7 AND length(b.token) = 7 AND substr(a.token, 1, 4) = substr(b.token, 1, 4) AND regexp_full_match(a.token, '[a-z]+') AND regexp_full_match(b.token, '[a-z]+')", _TK)
+@query("fn_levenshtein", f"SELECT proposal_id, CAST(levenshtein({_ASCII.format('lower(original)')}, {_ASCII.format('lower(replacement)')}) AS BIGINT) AS d, CAST(levenshtein({_ASCII.format('lower(original)')}, {_ASCII.format('reverse(lower(replacement))')}) AS BIGINT) AS reversed FROM proposals")
 def fn_levenshtein(v):
-    t = tokens(v).where("length(token) = 7 AND token RLIKE '^[a-z]+$'").withColumn("p", F.substring("token", 1, 4))
-    return t.withColumnRenamed("token", "a").join(t.withColumnRenamed("token", "b"), "p").select("a", "b", F.levenshtein("a", "b").cast("long").alias("d"))
+    """Edits from what was read to what is proposed, and to its reverse."""
+    old, new = F.lower("original"), F.lower("replacement")
+    return v.proposals.select("proposal_id", F.levenshtein(old, new).cast("long").alias("d"), F.levenshtein(old, F.reverse(new)).cast("long").alias("reversed"))
 
 
-_HALVES = "SELECT DISTINCT page_index, seq, lower(substr(text, 1, length(text) // 2)) AS head, lower(substr(text, length(text) // 2 + 1)) AS tail FROM words WHERE length(text) >= 6 AND seq % 5 = 0"
+_HALVES = "SELECT DISTINCT page_index, seq, lower(substr(text, 1, length(text) // 2)) AS head, lower(substr(text, length(text) // 2 + 1)) AS tail FROM words WHERE length(text) >= 6"
 
 
 @query("fn_join_score", "SELECT page_index, seq, CAST(CASE WHEN head || tail IN (SELECT token FROM lexicon) THEN 96 WHEN head IN (SELECT token FROM lexicon) AND tail IN (SELECT token FROM lexicon) THEN 88 ELSE 70 END AS BIGINT) AS score FROM halves", {"halves": _HALVES})
@@ -111,16 +127,25 @@ def fn_join_score(v):
     return spelling.join_score(halves, v.lexicon).select("page_index", "seq", "score")
 
 
+_CORES = f"SELECT DISTINCT {_STRIP.format('text')} AS token FROM words WHERE {_STRIP.format('text')} <> '' AND lower({_STRIP.format('text')}) NOT IN (SELECT token FROM lexicon)"
+
+
 @query(
     "fn_spell_score",
-    f"""SELECT token, CASE WHEN regexp_matches(token, '^\\p{{Lu}}') THEN least(sc, 60) ELSE sc END AS score FROM (SELECT token, CASE WHEN count(*) > 1 THEN 78 WHEN length(token) < 4 THEN 84 ELSE 92 END AS sc
-    FROM (SELECT token, list_reduce(ps[1:i], lambda a, b: a || old || b) || new || list_reduce(ps[i + 1:], lambda a, b: a || old || b) AS candidate FROM (SELECT *, unnest(generate_series(1, len(ps) - 1)) AS i FROM pieces)) WHERE lower(candidate) IN (SELECT token FROM lexicon) GROUP BY token)""",
-    {"tk": f"SELECT DISTINCT {_STRIP.format('text')} AS token FROM words WHERE lower({_STRIP.format('text')}) NOT IN (SELECT token FROM lexicon) AND regexp_full_match({_STRIP.format('text')}, '[a-zA-Z]{{3,}}')", "patterns": _PATTERNS, "pieces": _SPLIT},
-)
+    """SELECT token, CASE WHEN regexp_matches(token, '^\\p{Lu}') THEN least(sc, 60) ELSE sc END AS score FROM (
+      SELECT token, sc FROM confused UNION ALL SELECT token, CASE min(distance) WHEN 1 THEN 72 ELSE 55 END FROM near GROUP BY token)""",
+    {
+        "tk": _CORES, "patterns": _PATTERNS, "pieces": _SPLIT,
+        "confused": """SELECT token, CASE WHEN count(*) > 1 THEN 78 WHEN length(token) < 4 THEN 84 ELSE 92 END AS sc
+          FROM (SELECT token, list_reduce(ps[1:i], lambda a, b: a || old || b) || new || list_reduce(ps[i + 1:], lambda a, b: a || old || b) AS candidate FROM (SELECT *, unnest(generate_series(1, len(ps) - 1)) AS i FROM pieces)) WHERE lower(candidate) IN (SELECT token FROM lexicon) GROUP BY token""",
+        **_near("SELECT token, lower(token) AS w FROM tk WHERE token NOT IN (SELECT token FROM confused) AND length(token) >= 4 AND NOT regexp_full_match(token, '\\p{Lu}+')"),
+    },
+)
 def fn_spell_score(v):
-    cores = v.words.select(T.strip(F.col("text")).alias("token")).distinct().where("token RLIKE '^[a-zA-Z]{3,}$'")
+    """By confusion, else by suggestion, for every unknown word."""
+    cores = v.words.select(T.strip(F.col("text")).alias("token")).distinct().where("token <> ''")
     unknown = spelling.known(cores, v.lexicon).where("NOT known").select("token")
-    return spelling.confusion_scores(unknown, v.lexicon).select("token", F.col("score").cast("int").alias("score"))
+    return spelling.spell_scores(unknown, v.lexicon).select("token", F.col("score").cast("int").alias("score"))
 
 
 _SYM = r"\*|†|‡|§|‖|¶|\|\|"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirewise.functions import text as T
 from quirewise.operators import state
 from quirewise.plans.registry import query
-from quirewise.sources import readers
+from quirewise.sources import readers, sinks, storage
 
 _APPROVAL = "CASE WHEN approved_text IS NULL OR approved_layout IS NULL THEN 'none' WHEN approved_text = text_revision AND approved_layout = layout_revision THEN 'current' ELSE 'outdated' END"
 
@@ -50,7 +50,7 @@ def src_tsv(v):
 _JSON = "SELECT page_index, '[' || string_agg('{\"t\":\"w' || seq || '\",\"c\":' || confidence || '}', ',' ORDER BY seq) || ']' AS cell FROM words WHERE seq < 20 GROUP BY page_index"
 
 
-@query("src_json_cells", "SELECT page_index, 'w' || seq AS t, confidence AS c FROM words WHERE seq < 20 AND page_index % 5 <> 0")
+@query("src_json_cells", "SELECT page_index, 'w' || seq AS t, confidence AS c FROM words WHERE page_index % 5 <> 0")
 def src_json_cells(v):
     cells = v.words.groupBy("page_index").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("w"), F.col("seq").cast("string")).alias("t"), F.col("confidence").alias("c")))).alias("cell"))
     broken = cells.withColumn("cell", F.when(F.col("page_index") % 5 == 0, F.lit("not json")).otherwise(F.col("cell")))
@@ -103,7 +103,7 @@ def src_history_span(v):
 _CORE = r"regexp_replace({}, '^[^\p{{L}}\p{{N}}''’]+|[^\p{{L}}\p{{N}}''’]+$', '', 'g')"
 
 
-@query("src_vocab", f"SELECT word, CASE WHEN min(CASE WHEN protected THEN 0 ELSE 1 END) = 0 THEN 'protected' ELSE 'vocab' END AS kind, count(*) AS uses FROM (SELECT lower({_CORE.format('text')}) AS word, protected FROM spans WHERE seq % 40 = 0) WHERE word <> '' GROUP BY word")
+@query("src_vocab", f"SELECT word, CASE WHEN min(CASE WHEN protected THEN 0 ELSE 1 END) = 0 THEN 'protected' ELSE 'vocab' END AS kind, count(*) AS uses FROM (SELECT lower({_CORE.format('text')}) AS word, protected FROM spans) WHERE word <> '' GROUP BY word")
 def src_vocab(v):
     words = v.spans.select(F.lower(T.strip(F.col("text"))).alias("word"), "protected").where("word <> ''")
     return words.groupBy("word").agg(F.when(F.bool_or("protected"), "protected").otherwise("vocab").alias("kind"), F.count("*").alias("uses"))
@@ -180,8 +180,11 @@ def snk_page_ocr(v):
 
 @query("snk_append_words", "SELECT page_index, count(*) AS words, sum(CASE WHEN page_index % 7 = 0 AND seq < 3 THEN 1 ELSE 0 END)::BIGINT + count(*) AS after_append FROM words GROUP BY page_index")
 def snk_append_words(v):
-    per = v.words.groupBy("page_index").agg(F.collect_list("seq").alias("old"), F.collect_list(F.when((F.col("page_index") % 7 == 0) & (F.col("seq") < 3), F.col("seq"))).alias("new"))
-    return per.select("page_index", F.size("old").cast("long").alias("words"), F.size(F.concat("old", "new")).cast("long").alias("after_append"))
+    """Some pages' first words are appended as side notes; counted in the stored table, where new words have the next numbers."""
+    old = v.words.select("page_index", "seq", "text")
+    out = sinks.append_words(old, old.where("page_index % 7 = 0 AND seq < 3"))
+    now = out.groupBy("page_index").agg((F.max("seq") + 1).alias("after_append"), F.countDistinct("seq").alias("numbers"))
+    return old.groupBy("page_index").agg(F.count("*").alias("words")).join(now, "page_index").where("after_append = numbers").select("page_index", "words", "after_append")
 
 
 _LAYOUT = "SELECT page_index, count(*) AS regions, page_index % 3 = 0 AS manual, max(page_index % 4 + 1) AS revision FROM regions GROUP BY page_index"
@@ -257,8 +260,11 @@ def snk_page_xml(v):
 
 @query("snk_archive", "SELECT page_index, kind, count(*) AS n FROM regions GROUP BY 1, 2")
 def snk_archive(v):
-    """The manifest of an archive: a row for each page and table part that would be written."""
-    return v.regions.groupBy("page_index", "kind").agg(F.count("*").alias("n"))
+    """Regions and words are written as parts of an archive; counted in the part that is read back."""
+    parts = {"regions": v.regions, "words": v.words.select("page_index", "seq", "text")}
+    folder = storage.new_path(v.spark, "archive")
+    sinks.archive(parts, folder)
+    return sinks.read_part(parts["regions"], folder, "regions").groupBy("page_index", "kind").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -271,9 +277,14 @@ def snk_page_text(v):
 
 @query("snk_atomic_publish", "SELECT count(*) AS spans, count(DISTINCT span_id) AS ids, count(*) = count(DISTINCT span_id) AS publish FROM spans")
 def snk_atomic_publish(v):
-    return v.spans.agg(F.count("*").alias("spans"), F.countDistinct("span_id").alias("ids")).withColumn("publish", F.col("spans") == F.col("ids"))
+    """Written aside, checked for repeated ids, renamed; counted in what was published."""
+    counts = lambda df: df.agg(F.count("*").alias("spans"), F.countDistinct("span_id").alias("ids"))
+    rows = v.spans.select("page_index", "seq", "span_id", "text")
+    out = sinks.publish(rows, storage.new_path(v.spark, "publish"), "spans", lambda df: counts(df).where("spans <> ids").isEmpty())
+    return counts(rows).withColumn("publish", F.lit(False)) if out is None else counts(out).withColumn("publish", F.lit(True))
 
 
 @query("snk_save_copy", "SELECT page_index, region_id, kind, x, y, w, h FROM regions")
 def snk_save_copy(v):
-    return v.regions.select("page_index", "region_id", "kind", "x", "y", "w", "h")
+    """A copy, stored whole and read back."""
+    return storage.stored(v.regions.select("page_index", "region_id", "kind", "x", "y", "w", "h"), "copy")

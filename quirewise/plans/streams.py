@@ -40,14 +40,15 @@ def st_heartbeat(v):
 
 @query("st_resume", "SELECT page_index, stage, CASE WHEN s = 'running' THEN 'queued' ELSE s END AS status FROM (SELECT page_index, stage, max_by(status, run_id) AS s FROM runs GROUP BY 1, 2)")
 def st_resume(v):
-    """Pages still running when the log ends go back to the queue; finished ones don't."""
-    last = v.runs.groupBy("page_index", "stage").agg(F.max_by("status", "run_id").alias("status"))
+    """Pages still running when the log ends go back to the queue; finished ones don't. The log is a stream whose sink was stopped and started again."""
+    rows = P.restarted(_updates(v).select("event_id", "stage", "status", "page_index"))
+    last = rows.groupBy("page_index", "stage").agg(F.max_by("status", "event_id").alias("status"))
     return last.select("page_index", "stage", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")).alias("status"))
 
 
 @query("st_control", "SELECT user_id AS job, CASE max_by(event_type, event_id) WHEN 'view' THEN 'running' WHEN 'click' THEN 'paused' WHEN 'signup' THEN 'running' ELSE 'cancelled' END AS state FROM events GROUP BY 1")
 def st_control(v):
     """A job's state is its last control event: start, pause, resume or cancel."""
-    e = v.table("events")
-    last = e.groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", "event_id").alias("event"))
+    events = P.read_events(v.spark, v.sf_dir).groupBy(F.col("user_id").alias("job")).agg(F.max_by("event_type", "event_id").alias("event"))
+    last = P.run_once(events, "complete")
     return last.select("job", F.when(F.col("event").isin("view", "signup"), "running").when(F.col("event") == "click", "paused").otherwise("cancelled").alias("state"))

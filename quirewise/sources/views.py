@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirewise.sources.storage import stored
+
 PAGE_W, PAGE_H = 612.0, 792.0
 
 
@@ -60,43 +62,70 @@ class Views:
         lines = self.table("documents").select(F.col("doc_id").alias("page_index"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         return lines.where(F.trim("line") != "").select("page_index", F.col("line_no").cast("long").alias("line_no"), "line")
 
+    @functools.cached_property
+    def _page_lines(self) -> DataFrame:
+        """page_index and its lines that have words, as an array<struct<line_no, words>>: a page is one row."""
+        line = lambda x, i: F.struct(i.alias("line_no"), F.filter(F.split(x, " "), lambda w: w != "").alias("words"))
+        lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: F.size(x["words"]) > 0)
+        return self.table("documents").select(F.col("doc_id").alias("page_index"), lines.alias("lines"))
+
+    @functools.cached_property
+    def _words(self) -> DataFrame:
+        """Words numbered inside their page's row, so nothing is shuffled for it; with the lines and words that come first and last.
+
+        The place in the line is a running sum over the page in order: whoever asks for it pays one shuffle by page.
+        """
+        end = lambda at: F.element_at("lines", at)["line_no"].cast("long")
+        word = lambda x: F.transform(x["words"], lambda w, j: F.struct(x["line_no"].alias("line_no"), j.alias("word_no"), w.alias("text"), F.size(x["words"]).alias("n")))
+        pages = self._page_lines.where(F.size("lines") > 0)
+        rows = pages.select("page_index", end(1).alias("first_line"), end(-1).alias("last_line"), F.posexplode(F.flatten(F.transform("lines", word))).alias("seq", "k"))
+        seq, line_no, word_no = F.col("seq").cast("long"), F.col("k.line_no").cast("long"), F.col("k.word_no").cast("long")
+        rows = rows.select("page_index", line_no.alias("line_no"), word_no.alias("word_no"), seq.alias("seq"), F.col("k.text").alias("text"), "first_line", "last_line", (F.col("k.n") - 1).cast("long").alias("last_word"))
+        order = _page().orderBy("seq")
+        passed = F.coalesce(F.sum(F.length("text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at_start = F.max(F.when(F.col("word_no") == 0, F.col("passed"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.withColumn("passed", passed).withColumn("x", 36.0 + 6.0 * (F.col("passed") - at_start))
+
     @functools.cached_property
     def words(self) -> DataFrame:
-        split = F.filter(F.split("line", " "), lambda x: x != "")
-        words = self.lines.select("page_index", "line_no", F.posexplode(split).alias("word_no", "text")).withColumn("word_no", F.col("word_no").cast("long"))
-        line = Window.partitionBy("page_index", "line_no").orderBy("word_no")
-        before = F.coalesce(F.sum(F.length("text") + 1).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        seq = F.row_number().over(_page().orderBy("line_no", "word_no")) - 1
-        return words.select(
-            "page_index", "line_no", "word_no", seq.cast("long").alias("seq"), "text", (36.0 + 6.0 * before).alias("x"), (36.0 + 14.0 * F.col("line_no")).alias("y"), (6.0 * F.length("text")).alias("w"), F.lit(10.0).alias("h"),
+        return self._words.select(
+            "page_index", "line_no", "word_no", "seq", "text", "x", (36.0 + 14.0 * F.col("line_no")).alias("y"), (6.0 * F.length("text")).alias("w"), F.lit(10.0).alias("h"),
             ((F.col("page_index") * 31 + F.col("line_no") * 17 + F.col("word_no") * 7) % 101).alias("confidence"),
         )
 
     @functools.cached_property
     def regions(self) -> DataFrame:
-        """Header, body and footer from the words' boxes; on some pages a side note over the body and an ignored box."""
-        edge = self.words.withColumn("first", F.min("line_no").over(_page())).withColumn("last", F.max("line_no").over(_page()))
-        kind = F.when(F.col("line_no") == F.col("first"), "header").when(F.col("line_no") == F.col("last"), "footer").otherwise("body")
-        boxes = edge.groupBy("page_index", kind.alias("kind")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b"), F.countDistinct("line_no").alias("line_count"))
-        boxes = boxes.select("page_index", "kind", "x", "y", (F.col("r") - F.col("x")).alias("w"), (F.col("b") - F.col("y")).alias("h"), "line_count")
-        ids = self.table("documents").select(F.col("doc_id").alias("page_index"))
-        box = lambda kind, x, y, w, h: (F.lit(kind).alias("kind"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"), F.lit(0).cast("long").alias("line_count"))
-        boxes = boxes.union(ids.where("page_index % 7 = 0").select("page_index", *box("marginalia", 20.0, 50.0, 40.0, 400.0)))
-        boxes = boxes.union(ids.where("page_index % 11 = 0").select("page_index", *box("ignore", 60.0, 60.0, 60.0, 14.0)))
+        """Header, body and footer, the boxes of a page's first, middle and last lines, made inside its row; on some pages a side note over the body and an ignored box."""
+        fields = lambda kind, x, y, w, h, n: (kind.alias("kind"), x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"), n.cast("long").alias("line_count"))
+        n = F.size("lines")
+
+        def lines_box(kind: str, start: Column, count: Column) -> Column:
+            part = F.slice("lines", start, F.greatest(count, F.lit(0)))
+            right = F.array_max(F.transform(part, lambda x: F.length(F.array_join(x["words"], " "))))
+            top, last = F.element_at(part, 1)["line_no"], F.element_at(part, -1)["line_no"]
+            return F.struct(*fields(F.lit(kind), F.lit(36.0), 36.0 + 14.0 * top, 6.0 * right, 10.0 + 14.0 * (last - top), F.size(part)))
+
+        def fixed(kind: str, *box: float) -> Column:
+            return F.struct(*fields(F.lit(kind), *map(F.lit, box), F.lit(0)))
+
+        page = F.col("page_index")
+        boxes = F.array(
+            F.when(n > 0, lines_box("header", F.lit(1), F.lit(1))), F.when(n > 2, lines_box("body", F.lit(2), n - 2)), F.when(n > 1, lines_box("footer", F.greatest(n, F.lit(1)), F.lit(1))),
+            F.when(page % 7 == 0, fixed("marginalia", 20.0, 50.0, 40.0, 400.0)), F.when(page % 11 == 0, fixed("ignore", 60.0, 60.0, 60.0, 14.0)),
+        )
+        rows = self._page_lines.select("page_index", F.inline(F.filter(boxes, lambda b: b.isNotNull())))
         order = F.when(F.col("kind") == "header", 0).when(F.col("kind") == "ignore", 1).when(F.col("kind") == "body", 2).when(F.col("kind") == "footer", 3).otherwise(4).cast("long")
-        return boxes.withColumn("region_order", order).withColumn("region_id", F.col("page_index") * 10 + F.col("region_order"))
+        return rows.withColumn("region_order", order).withColumn("region_id", F.col("page_index") * 10 + F.col("region_order"))
 
     @functools.cached_property
     def spans(self) -> DataFrame:
         s, p = F.col("seq"), F.col("page_index")
-        last_line = F.max("line_no").over(_page())
-        first_line = F.min("line_no").over(_page())
-        last_word = F.max("word_no").over(Window.partitionBy("page_index", "line_no"))
-        kind = F.when(F.col("line_no") == first_line, "header").when(F.col("line_no") == last_line, "footer").otherwise("body")
-        return self.words.select(
+        kind = F.when(F.col("line_no") == F.col("first_line"), "header").when(F.col("line_no") == F.col("last_line"), "footer").otherwise("body")
+        return self._words.select(
             "page_index", "seq", (p * 10_000_000 + s).alias("span_id"), kind.alias("region_kind"), F.when((s + p) % 61 == 0, "").otherwise(F.col("text")).alias("text"),
-            F.when(F.col("word_no") == last_word, "\n").otherwise(" ").alias("trailing"), pick(s + p, "ocr", "ocr", "auto_applied", "ocr", "human", "ocr").alias("origin"),
-            "confidence", (s % 4 + 1).alias("revision"), (s % 97 == 0).alias("protected"), (F.col("word_no") == 0).alias("paragraph_start"), "line_no", "word_no", "x", "y", "w", "h",
+            F.when(F.col("word_no") == F.col("last_word"), "\n").otherwise(" ").alias("trailing"), pick(s + p, "ocr", "ocr", "auto_applied", "ocr", "human", "ocr").alias("origin"),
+            ((p * 31 + F.col("line_no") * 17 + F.col("word_no") * 7) % 101).alias("confidence"), (s % 4 + 1).alias("revision"), (s % 97 == 0).alias("protected"), (F.col("word_no") == 0).alias("paragraph_start"), "line_no", "word_no",
+            "x", (36.0 + 14.0 * F.col("line_no")).alias("y"), (6.0 * F.length(F.col("text"))).alias("w"), F.lit(10.0).alias("h"),
         )
 
     @functools.cached_property
@@ -148,9 +177,9 @@ class Views:
 
     @functools.cached_property
     def tokens(self) -> DataFrame:
-        """token, pages: distinct cores in lower case and the number of pages that have them."""
+        """token, pages: distinct cores in lower case and the number of pages that have them. Stored, as lookups read it more than once."""
         core = F.lower(F.regexp_replace("text", "^[^\\p{L}\\p{N}'’]+|[^\\p{L}\\p{N}'’]+$", ""))
-        return self.words.select("page_index", core.alias("token")).where("token <> ''").distinct().groupBy("token").agg(F.count("*").alias("pages"))
+        return stored(self.words.select("page_index", core.alias("token")).where("token <> ''").distinct().groupBy("token").agg(F.count("*").alias("pages")), "tokens")
 
     @functools.cached_property
     def lexicon(self) -> DataFrame:
@@ -218,4 +247,4 @@ def with_views(sql: str, local: dict[str, str] | None = None) -> str:
                 order.append(name)
 
     need(sql)
-    return ("WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else "") + sql
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({known[n]})" for n in order) + "\n" if order else "") + sql

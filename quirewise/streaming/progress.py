@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.sources.storage import shared_dir
+
 #: Seconds without a heartbeat after which a lock may be taken.
 STALE_AFTER = 60
 
@@ -71,7 +72,7 @@ def run_once(stream: DataFrame, mode: str, checkpoint: str | None = None) -> Dat
     """
     name = f"stream_{uuid.uuid4().hex}"
     spark = stream.sparkSession
-    where = (checkpoint or spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}").rstrip("/")
+    where = (checkpoint or shared_dir(spark)).rstrip("/")
     if mode == "append":
         append_to(stream, f"{where}/{name}-rows", f"{where}/{name}").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{where}/{name}-rows")
@@ -83,3 +84,14 @@ def run_once(stream: DataFrame, mode: str, checkpoint: str | None = None) -> Dat
 def append_to(stream: DataFrame, path: str, checkpoint: str):
     """A resumable sink: offsets and committed files are in the checkpoint, so a restart repeats no event."""
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+
+
+def restarted(stream: DataFrame) -> DataFrame:
+    """The rows of a resumable sink that was run, stopped and started again from its checkpoint: each event once."""
+    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
+    path, checkpoint = f"{shared_dir(spark)}/{name}-rows", f"{shared_dir(spark)}/{name}"
+    for _ in range(2):
+        query = append_to(stream, path, checkpoint)
+        query.awaitTermination()
+        query.stop()
+    return spark.read.schema(stream.schema).parquet(path)
