@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; a stage's result is stored as Parquet and read again
-before the next one. All but the last keep the columns of documents.
+before the next one. All but the last keep the columns of documents, whatever their names.
+
+Null texts have no words and are rejected by the quality rules. Of rows that tie in a group of near-duplicates any one stays. Rows that
+the mix takes twice are rows of their own for the shards. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or break a soft rule in a host that mostly fails, go."""
+    """Documents that fail the rules, or break a soft rule in a host that fails far more often than hosts do, go."""
     return host_rules.keep_good(docs)
 
 

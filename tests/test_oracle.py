@@ -11,9 +11,3 @@ quirewise.plans.load()
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, name):
     assert compare(QUERIES[name](spark, SF), ORACLE[name], SF) is None
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_runs(spark, name):
-    df = QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
