@@ -4,7 +4,8 @@ Every document is measured by built-in expressions in one pass. Hosts' failure r
 prior, whose mean and spread are fitted to all hosts by the method of moments net of binomial noise: hosts weigh
 equally at first, then by what the first fit says their rates tell. A host's rate is the posterior mean, so a host of
 a few documents is pulled to the common rate. A host is bad if its shrunk rate lies more than ``host_z`` standard
-deviations of the prior above the prior's mean; if rates differ by no more than noise, the spread is zero and none is.
+deviations of the prior above the prior's mean, and its failures exceed that mean's by as many standard deviations of
+chance, so that no host is bad for one document. If rates differ by no more than noise, the spread is zero and none is.
 Host verdicts are joined back to the documents: in a bad host, documents that fail any soft rule are
 rejected too. Documents that break no rule stay whatever their host.
 
@@ -89,8 +90,11 @@ def host_verdicts(measured: DataFrame, host: str, failed: str, host_z: float = H
     mean, spread = beta_prior(hosts)
     pull = F.col("n_docs") * spread / (1 + (F.col("n_docs") - 1) * spread)  # n / (n + alpha + beta)
     shrunk = mean + (F.col("n_failed") / F.col("n_docs") - mean) * pull
+    if not spread:
+        return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_bad", F.lit(False))
     limit = mean + host_z * math.sqrt(mean * (1 - mean) * spread)
-    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_bad", (F.lit(spread) > 0) & (F.col("shrunk_rate") > limit))
+    by_chance = F.col("n_docs") * mean + host_z * F.sqrt(F.col("n_docs") * (mean * (1 - mean))) + 0.5
+    return hosts.withColumn("shrunk_rate", shrunk).withColumn("host_bad", (F.col("shrunk_rate") > limit) & (F.col("n_failed") > by_chance))
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -166,7 +170,8 @@ x AS (SELECT n, p, n / (1 + rho * (n - 1)) AS w FROM e, q1),
 s2 AS (SELECT sum(w) AS sw, sum(w * p) AS swp, sum(w * p * p) AS swpp, sum(w / n) AS swn, sum(w * w / n) AS swwn, sum(w * w) AS sww FROM x),
 r2 AS (SELECT swp / sw AS mu, swpp - swp * swp / sw AS s, swn - swwn / sw AS a, sw - sww / sw AS b, sw FROM s2),
 q2 AS (SELECT mu, CASE WHEN mu > 0 AND mu < 1 AND b - a > 1e-9 * sw THEN least(0.999, greatest(0.0, (s / (mu * (1 - mu)) - a) / (b - a))) ELSE 0 END AS rho FROM r2),
-v AS (SELECT source, mu + (p - mu) * n * rho / (1 + (n - 1) * rho) AS rate, rho > 0 AND mu + (p - mu) * n * rho / (1 + (n - 1) * rho) > mu + 1.645 * sqrt(mu * (1 - mu) * rho) AS host_bad FROM e, q2)
+y AS (SELECT source, n, p, mu, rho, mu + (p - mu) * n * rho / (1 + (n - 1) * rho) AS rate FROM e, q2),
+v AS (SELECT source, rate, rho > 0 AND rate > mu + 1.645 * sqrt(mu * (1 - mu) * rho) AND n * p > n * mu + 1.645 * sqrt(n * mu * (1 - mu)) + 0.5 AS host_bad FROM y)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, round(rate, 6) AS host_rate, host_bad,
   NOT base_failed AND NOT (soft_failed AND host_bad) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
