@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -45,3 +46,27 @@ def test_one_row_repeated(spark):
     loads = check(rows, sharding.shard_documents(frame(spark, rows, False)).collect())
     mean = sum(loads.values()) / 24
     assert max(loads.values()) < 1.03 * mean
+
+
+def test_cuts_hardly_more_than_packing_whole_groups(spark):
+    """Against a plain packing that knows all groups: the largest first, each whole into the least loaded shard."""
+    rng = random.Random(11)
+    rows, groups = [], defaultdict(list)
+    for g in range(500):
+        text = f"group {g} " + "y" * rng.randint(0, 400)
+        for _ in range(rng.choice([2, 2, 2, 3, 5, 9, 30])):
+            groups[text].append(len(rows))
+            rows.append((len(rows), text, "en", "s", 1))
+    rows += [(len(rows) + i, f"alone {i} " + "z" * rng.randint(0, 400), "en", "s", 1) for i in range(2500)]
+    got = {r.doc_id: r.shard for r in sharding.shard_documents(frame(spark, rows, False)).collect()}
+    loads, cap = [0] * 24, sum(len(t) + 8 for _, t, *_ in rows) / 24
+    whole = 0
+    for text, own in sorted(groups.items(), key=lambda x: -len(x[1]) * (len(x[0]) + 8)):
+        s = min(range(24), key=loads.__getitem__)
+        loads[s] += len(own) * (len(text) + 8)
+        whole += loads[s] <= cap
+    pairs = lambda ids: sum(n * (n - 1) // 2 for n in Counter(got[i] for i in ids).values())
+    kept, every = sum(pairs(own) for own in groups.values()), sum(len(own) * (len(own) - 1) // 2 for own in groups.values())
+    together = sum(len({got[i] for i in own}) == 1 for own in groups.values())
+    print("pairs kept", kept / every, "groups whole", together, "packed", whole)
+    assert kept > 0.9 * every and together > 0.9 * whole
