@@ -47,7 +47,7 @@ def first_region(words: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 #: Sides of the cells that small boxes are dealt into, in points.
-CELL_W, CELL_H = 144.0, 28.0
+CELL_W, CELL_H = 288.0, 56.0
 
 
 def celled(boxes: DataFrame) -> DataFrame:
