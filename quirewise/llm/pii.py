@@ -205,28 +205,34 @@ def _sigmoid(z: float) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[Pattern, float], dict[tuple[int, str], float]]:
-    """EM over patterns: each pattern's posterior of being personal data, and how often a labeler is right, by kind.
+def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[Pattern, float], dict[tuple[int, str], tuple[float, float]]]:
+    """EM over patterns: each pattern's posterior of being personal data, and by kind how often a labeler that votes votes for a true
+    candidate and for a false one.
 
-    A labeler that doesn't vote says nothing. It starts from the reliability of ``VOTERS``, which goes on to count as
-    ``BELIEF`` candidates, so labelers stay better than chance where there are few; a kind's share of true candidates is smoothed likewise.
+    A labeler that doesn't vote says nothing, nor does one that votes for all. They start from the reliability of ``VOTERS``, which goes on to
+    count as ``BELIEF`` candidates of either sort, so labelers stay better than chance where there are few; a kind's share of true candidates is smoothed likewise.
     """
     kinds = sorted({p[0] for p in counts})
-    right = {(k, name): start for k in kinds for name, start in VOTERS.items()}
+    says = {(k, name): (start, 1 - start) for k in kinds for name, start in VOTERS.items()}
     share = dict.fromkeys(kinds, 0.5)
     posterior: dict[Pattern, float] = {}
+
+    def weight(k: int, name: str, vote: int) -> float:
+        true, false = says[k, name]
+        return math.log(true / false) if vote > 0 else math.log((1 - true) / (1 - false)) if vote else 0.0
+
     for _ in range(rounds):
         for p in counts:
-            odds = _logit(share[p[0]]) + sum(vote * _logit(right[p[0], name]) for name, vote in zip(VOTERS, p[1:], strict=False))
-            posterior[p] = _sigmoid(odds)
+            posterior[p] = _sigmoid(_logit(share[p[0]]) + sum(weight(p[0], name, vote) for name, vote in zip(VOTERS, p[1:], strict=False)))
         for k in kinds:
-            own = [(p, n) for p, n in counts.items() if p[0] == k]
-            share[k] = (sum(n * posterior[p] for p, n in own) + BELIEF / 2) / (sum(n for _, n in own) + BELIEF)
+            own = [(p, n, posterior[p]) for p, n in counts.items() if p[0] == k]
+            share[k] = (sum(n * q for _, n, q in own) + BELIEF / 2) / (sum(n for _, n, _ in own) + BELIEF)
             for j, (name, start) in enumerate(VOTERS.items(), 1):
-                voted = sum(n for p, n in own if p[j])
-                agreed = sum(n * (posterior[p] if p[j] > 0 else 1 - posterior[p]) for p, n in own if p[j])
-                right[k, name] = (agreed + start * BELIEF) / (voted + BELIEF)
-    return posterior, right
+                voted = [(p[j] > 0, n * q, n * (1 - q)) for p, n, q in own if p[j]]
+                true = (sum(t for yes, t, _ in voted if yes) + start * BELIEF) / (sum(t for _, t, _ in voted) + BELIEF)
+                false = (sum(f for yes, _, f in voted if yes) + (1 - start) * BELIEF) / (sum(f for _, _, f in voted) + BELIEF)
+                says[k, name] = true, false
+    return posterior, says
 
 
 def features(p: Pattern) -> list[tuple[str, int, int]]:
@@ -234,10 +240,13 @@ def features(p: Pattern) -> list[tuple[str, int, int]]:
     return [(name, p[0], value) for name, value in zip(("kind", *VOTERS, *FEATURES), p, strict=False)]
 
 
-def train(counts: dict[Pattern, int], posterior: dict[Pattern, float], steps: int = 300, rate: float = 0.3, ridge: float = 1e-4) -> dict[tuple[str, int, int], float]:
-    """A logistic classifier on one-hot votes and features by kind, fitted to the posteriors; steps are scaled by each weight's past slopes."""
-    total = max(1, sum(counts.values()))
-    rows = [(features(p), n / total, posterior[p]) for p, n in counts.items()]
+def train(counts: dict[Pattern, int], posterior: dict[Pattern, float], steps: int = 400, rate: float = 0.3, ridge: float = 1e-4) -> dict[tuple[str, int, int], float]:
+    """A logistic classifier on one-hot votes and features by kind, fitted to the posteriors; steps are scaled by each weight's past slopes.
+
+    A pattern weighs as the square root of its count, so that rare ones have a say.
+    """
+    total = max(1.0, sum(map(math.sqrt, counts.values())))
+    rows = [(features(p), math.sqrt(n) / total, posterior[p]) for p, n in counts.items()]
     weights = {x: 0.0 for names, _, _ in rows for x in names}
     past = dict.fromkeys(weights, 1e-12)
     for _ in range(steps):

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from quirewise.llm import pii
 from tests.llm.fixtures import awkward_documents, frame
 from tests.llm.test_contract import same
@@ -124,9 +126,11 @@ def test_overlaps(spark):
 def test_em_finds_the_reliable_labeler():
     # kind, then votes of regex, gazetteer, context, form, edges
     counts = {(0, 1, 1, 1, 0, 0): 300, (0, 1, 1, 0, 0, 0): 400, (0, -1, 1, 1, 0, 0): 60, (0, -1, -1, -1, 0, 0): 300, (0, -1, -1, 0, 0, 0): 200, (0, 1, -1, 0, 0, 0): 5}
-    posterior, right = pii.reliabilities(counts)
+    posterior, says = pii.reliabilities(counts)
     assert posterior[0, 1, 1, 1, 0, 0] > 0.95 and posterior[0, -1, -1, -1, 0, 0] < 0.05
-    assert right[0, "gazetteer"] > 0.97 > right[0, "regex"] > 0.85
+    (true, false), (regex_true, regex_false) = says[0, "gazetteer"], says[0, "regex"]
+    assert true > 0.97 > regex_true > 0.85 and false < 0.03 and regex_false < 0.1
+    assert says[0, "form"] == (0.85, pytest.approx(0.15))  # it never voted
     weights = pii.train(counts, posterior)
     for p in counts:
         assert abs(pii._sigmoid(sum(weights[x] for x in pii.features(p))) - posterior[p]) < 0.15
