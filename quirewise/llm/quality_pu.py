@@ -9,10 +9,10 @@ frequency among the positives, so the least ratio over the tops of a ranking bou
 Texts become surface measures and a signed hash profile of their words and word pairs in one pass over whole texts, stored
 once. The model is a sum of piecewise constant functions of the measures (cut at quantiles) and a linear function of
 the profile, fitted by gradient descent on a sample of at most ``most_positive`` and ``most_unlabelled`` rows, the ones with the
-least hash of their id; every document is then scored.
+least hash of id and features; every document is then scored.
 
 Null and empty texts have all-zero measures and profiles and are scored like any other. Documents without an id count as held
-out. Repeated rows get equal scores; rows that tie in the sample's order are ordered by their features. Without positives to learn from, every
+out. Repeated rows get equal scores; rows that tie in the sample's order are alike. Without positives to learn from, every
 score is pi (0.5 if that is unknown). An empty table gives an empty result. Other columns aren't read, whatever their names.
 """
 
@@ -206,9 +206,14 @@ def class_prior(positive: Rows, unlabelled: Rows) -> float:
 
 
 def _sample(df: DataFrame, most: int) -> Rows:
-    order = F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("x", "profile")
-    rows = df.orderBy(*order).limit(most).select("x", "profile").toArrow()
-    return Rows(rows["x"], rows["profile"])
+    """At most ``most`` rows, those with the least hash. Rows that can't be among them are dropped where they lie, so what meets in
+    one task is hardly more than the sample."""
+    h = F.xxhash64(F.col("doc_id").cast("string"), "x", "profile")
+    rows = df.count()
+    share = (1.1 * most + 1000) / max(1, rows)
+    near = df.where(h < int(share * 2**64) - 2**63) if share < 1 else df
+    least = near.select("x", "profile", h.alias("h")).orderBy("h").limit(most).toArrow()
+    return Rows(least["x"], least["profile"])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:

@@ -68,3 +68,14 @@ def test_risk_is_that_of_its_definition():
             d = np.zeros(40)
             d[k] = 1e-6
             assert abs((risk(zp, zu + d) - risk(zp, zu - d)) / 2e-6 - gu[k]) < 1e-6
+
+
+def test_sample_is_that_of_least_hash(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string"), F.repeat(F.lit(" c"), (F.col("id") % 9).cast("int"))).alias("text"))
+    df = quality_pu.measured(docs).cache()
+    h = F.xxhash64(F.col("doc_id").cast("string"), "x", "profile")
+    got, all_rows = quality_pu._sample(df, 500), df.orderBy(h).limit(500).select("x").collect()
+    assert len(got) == 500 and np.allclose(got.x, [r.x for r in all_rows])
+    assert len(quality_pu._sample(df, 40_000)) == 30_000
