@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm import decontaminate, host_rules, mixing, pii, quality_pu, sharding, simhash, substring, tokencount, warc
+from quirewise.llm import centroids, decontaminate, exact_dedup, host_rules, mixing, pii, quality_pu, resampling, sharding, simhash, substring, tokencount, warc
 from quirewise.llm.common import table
 
 
@@ -51,6 +51,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.duplicates_below(spark, f"{sf_dir}/documents.parquet")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mix": op1_cube_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -62,6 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_rules": op8_host_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash": op10_simhash,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_centroids": op12_centroids,
+    "op13_resample": op13_resample,
 }
 
 ORACLE: dict[str, str] = {
@@ -69,4 +84,6 @@ ORACLE: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op8_host_rules": host_rules.ORACLE,
     "op9_substring_dedup": substring.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_centroids": centroids.ORACLE,
 }

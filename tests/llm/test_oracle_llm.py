@@ -14,5 +14,5 @@ def test_matches_sql(spark, name, sf):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_counts_rows(spark, name):
     folder = "/root/testdata/sf0.001"
-    rows = "pages" if name == "op4_warc" else "documents"
+    rows = {"op4_warc": "pages", "op12_centroids": "embeddings"}.get(name, "documents")
     assert QUERIES[name](spark, folder).count() == spark.read.parquet(f"{folder}/{rows}.parquet").count()
