@@ -168,12 +168,12 @@ sums_{before} AS MATERIALIZED (
 
 ORACLE = f"""
 WITH v AS MATERIALIZED (
-  SELECT vec_id, list_transform(embedding, e -> floor({SCALE} * CAST(e AS DOUBLE))) AS x FROM embeddings
-  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, e -> e IS NOT NULL AND isfinite(e))) = {DIMENSIONS}),
+  SELECT vec_id, list_transform(embedding, lambda e: floor({SCALE} * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {DIMENSIONS}),
 c0 AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY sha256('{SEED}:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS cluster, x FROM v
   QUALIFY row_number() OVER (ORDER BY sha256('{SEED}:' || CAST(vec_id AS VARCHAR))) <= {CLUSTERS}),{_round_sql("c0", "c1")},{_round_sql("c1", "c2")},{_round_sql("c2", "c3")},{_round_sql("c3", "c4")}
 SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
-       sha256(array_to_string(list_transform(c3.x, e -> CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+       sha256(array_to_string(list_transform(c3.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
 FROM near_c3 JOIN c3 USING (cluster)
 """
