@@ -3,13 +3,14 @@
 A source's target over its size gives every document of the source the same expected number of copies:
 a whole part, and an inclusion probability for one more. The probabilities are moved through the null space of
 two constraints per source, the number of documents and the number of words, until they are 0 or 1.
-This flight runs in blocks of a source's documents: three fractional documents at a time
-always have a direction that keeps both totals. What a block leaves open (two documents at most) flies on
-with other blocks' rests, level by level, until each source has one block; only its last two documents
-are landed by giving up first the document total, then the word total.
+This flight runs in blocks of a source's documents. The largest open document is always settled next, against all smaller ones:
+they share its move so that both totals stay (or the words alone, where the document is too large for both), so what is large is settled while
+many small ones can make up for it. A block leaves its smallest documents open, and those too large for it;
+they fly on with other blocks' rests, level by level, until each source has one block. Its last few documents are the landing: of all ways to settle
+them, those that miss the words by at most half of the smallest one (or least, if none comes so near) are drawn from by their probabilities.
 
 Moves are drawn from generators seeded by source, block and level, and documents are flown in an order fixed by
-their values, largest first, so reruns agree and the landing decides about small documents.
+their values, largest first, so reruns agree.
 
 Null text has size 0. A null source is a source of its own, last in order. Repeated rows are units of their own,
 numbered so that they spread over blocks. Sources that tie in order of cap by weight are taken by name, documents of one size by id.
@@ -31,8 +32,8 @@ from quirewise.llm.common import checked_broadcast, free_name, materialize, numb
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Documents in a block, and blocks whose rests fly on together.
-BLOCK, FAN_IN = 1024, 400
+#: Documents in a block, blocks whose rests fly on together, documents that a block leaves open and that are landed.
+BLOCK, FAN_IN, REST, LANDING = 1024, 100, 8, 10
 _EPS = 1e-9
 
 
@@ -63,37 +64,55 @@ def source_targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return stepped.select("source", "n_docs", "source_size", "weight", target.cast("double").alias("target"))
 
 
-def _move(pi: np.ndarray, at: list[int], u: list[float], rng: random.Random) -> None:
-    """Along ``u`` one way or the other as far as the unit cube goes, keeping expectations."""
-    up = min((1 - pi[i]) / x if x > 0 else pi[i] / -x for i, x in zip(at, u, strict=True) if x)
-    down = min(pi[i] / x if x > 0 else (1 - pi[i]) / -x for i, x in zip(at, u, strict=True) if x)
-    step = up if rng.random() * (up + down) < down else -down
-    for i, x in zip(at, u, strict=True):
-        p = pi[i] + step * x
-        pi[i] = 0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p
+def direction(size: np.ndarray) -> np.ndarray | None:
+    """Moves of all documents for one of the first: documents and words stay if no other moves further, else the words do. None if the
+    others haven't the words. ``size``: falling."""
+    rest = size[1:]
+    away = rest - rest.mean()
+    spread = float(away @ away)
+    if spread > 0 or size[0] == rest.mean():
+        slope = (size[0] - rest.mean()) / spread if spread else 0.0
+        both = -1 / len(rest) - slope * away
+        if np.abs(both).max() <= 1:
+            return np.concatenate([[1.0], both])
+    words = float(rest.sum())
+    if words <= 0:
+        return np.concatenate([[1.0], np.full(len(rest), -1 / len(rest))]) if not size[0] else None
+    return np.concatenate([[1.0], np.full(len(rest), -size[0] / words)])
 
 
 def fly(pi: np.ndarray, size: np.ndarray, rng: random.Random, land: bool) -> None:
-    """Settle all but at most two of ``pi`` (changed in place); all of them if ``land``."""
-    open_at: list[int] = []
-    for i in range(len(pi)):
-        if not 0 < pi[i] < 1:
+    """Settle all but some of ``pi`` (changed in place; sizes falling), all of them if ``land``. Expectations are kept up to the landing."""
+    open_at = np.flatnonzero((pi > 0) & (pi < 1))
+    aside: list[int] = []
+    while len(open_at) > (LANDING if land else REST):
+        u = direction(size[open_at])
+        if u is None or (not land and size[open_at[0]] > 0.25 * size[open_at[1:]].sum()):
+            aside.append(int(open_at[0]))  # the next level has more to make up for it
+            open_at = open_at[1:]
             continue
-        open_at.append(i)
-        if len(open_at) == 3:
-            a, b, c = (float(size[j]) for j in open_at)
-            u = [1.0, -1.0, 0.0] if a == b == c else [b - c, c - a, a - b]
-            scale = max(map(abs, u))
-            _move(pi, open_at, [x / scale for x in u], rng)
-            open_at = [j for j in open_at if 0 < pi[j] < 1]
-    while land and open_at:
-        if len(open_at) == 2:
-            a, b = (float(size[j]) for j in open_at)
-            scale = max(a, b)
-            _move(pi, open_at, [b / scale, -a / scale] if a and b else [1.0, -1.0], rng)
-        else:
-            pi[open_at[0]] = float(rng.random() < pi[open_at[0]])
-        open_at = [j for j in open_at if 0 < pi[j] < 1]
+        p = pi[open_at]
+        moved = u != 0
+        v, p = u[moved], p[moved]
+        up = float(np.where(v > 0, (1 - p) / np.abs(v), p / np.abs(v)).min())
+        down = float(np.where(v > 0, p / np.abs(v), (1 - p) / np.abs(v)).min())
+        p = p + (up if rng.random() * (up + down) < down else -down) * v
+        pi[open_at[moved]] = np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p))
+        open_at = open_at[(pi[open_at] > 0) & (pi[open_at] < 1)]
+    if land:
+        landed = np.sort(np.concatenate([np.array(aside, np.int64), open_at]))
+        wish = float(pi[landed] @ size[landed])
+        many, few = landed[:-LANDING], landed[-LANDING:]
+        pi[many] = np.round(pi[many])
+        wish -= float(pi[many] @ size[many])
+        if len(few):
+            ways = (np.arange(1 << len(few))[:, None] >> np.arange(len(few)) & 1).astype(np.float64)
+            misses = np.abs(ways @ size[few] - wish)
+            near = np.flatnonzero(misses <= max(misses.min(), 0.5 * size[few].min()) + _EPS)
+            p = np.clip(pi[few], _EPS, 1 - _EPS)
+            likely = np.exp(ways[near] @ np.log(p) + (1 - ways[near]) @ np.log(1 - p))
+            at = np.searchsorted(np.cumsum(likely), rng.random() * likely.sum(), side="right")
+            pi[few] = ways[near[min(at, len(near) - 1)]]
 
 
 def cube_mix(units: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -118,7 +137,7 @@ def cube_mix(units: DataFrame, seed: int = 0, weights: tuple[float, ...] = WEIGH
             tie = [str(row) for row in zip(*(table.column(k).to_pylist() for k in key), strict=True)] if key else [""] * len(pi)
             order = np.array(sorted(range(len(pi)), key=lambda i: (-size[i], tie[i])))
             p = pi[order]
-            fly(p, size[order], random.Random(f"{seed}|{level}|{table['source'][0].as_py()}|{table['block'][0].as_py()}"), last)
+            fly(p, size[order].astype(np.float64), random.Random(f"{seed}|{level}|{table['source'][0].as_py()}|{table['block'][0].as_py()}"), last)
             pi[order] = p
             return table.set_column(table.column_names.index("pi"), "pi", pa.array(pi))
 
