@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ _ASSIGNED = r"""(?i)(?:token|key|secret|passw(?:or)?d|pwd|auth|bearer)["']?[\x20
 
 @dataclass(frozen=True)
 class Finder:
-    """A pattern for one kind. ``needs``: a text with none of these holds no match, so the pattern isn't tried; empty: always tried.
+    """A pattern for one kind. ``needs``: a text with none of these holds no match, so the pattern isn't tried; ``NUMERIC``: none without
+    a run of digits and what may stand between them; empty: always tried.
 
     ``gazetteer`` and ``form`` give votes of 1, -1 or 0 on a match.
     """
@@ -67,7 +69,11 @@ class Finder:
     holds: Callable[[Column], Column]
     gazetteer: Callable[[Column], Column]
     form: Callable[[Column], Column]
-    needs: tuple[str, ...]
+    needs: tuple[str, ...] | str
+
+
+#: What every match of the patterns for numbers holds: from one digit to another six to nine places on, no more than two marks between digits.
+NUMERIC = r"[0-9][\x20().0-9/-]{5,8}[0-9]"
 
 
 def _digits(x: Column) -> Column:
@@ -110,17 +116,17 @@ _mixed = lambda x: _vote(x.rlike("[0-9].*[0-9].*[0-9]") & x.rlike("[A-Za-z].*[A-
 
 FINDERS = (
     Finder(0, True, r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)\.(?:{TOP_DOMAINS})$"), _local, ("@",)),
-    Finder(1, True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), _not_reserved, lambda x: _vote(~x.rlike(r"(?:^|\.)0[0-9]")), (".",)),
-    Finder(2, True, r"[0-9](?:[\x20-]?[0-9])++", _card, _issuer, _long(15, 16), ()),
+    Finder(1, True, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda x: x.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), _not_reserved, lambda x: _vote(~x.rlike(r"(?:^|\.)0[0-9]")), NUMERIC),
+    Finder(2, True, r"[0-9](?:[\x20-]?[0-9])++", _card, _issuer, _long(15, 16), NUMERIC),
     Finder(3, True, r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: F.length(_digits(x)).between(10, 15), _hit(r"^\+[1-9]"), _long(11, 13), ("+",)),
-    Finder(0, False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)(?:{TOP_DOMAINS})$"), _local, ("(", "[")),
+    Finder(0, False, r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)(?:{TOP_DOMAINS})$"), _local, ("at)", "at]", "AT)", "AT]")),
     Finder(0, False, rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20(?:at|AT)\x20[A-Za-z0-9-]++(?:\x20(?:dot|DOT)\x20[A-Za-z0-9-]++)++", _yes, _hit(rf"(?i)(?:{TOP_DOMAINS})$"), _local, (" dot ", " DOT ")),
     Finder(1, False, r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", _yes, _hit("(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}):"), _none, (":",)),
     Finder(1, False, rf"(?<![0-9.]){_BYTE}(?:(?:\[\.\]|\(\.\)){_BYTE}){{3}}(?![0-9.])", _yes, _not_reserved, _none, ("[.]", "(.)")),
-    Finder(2, False, r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[\x20./-]){3}[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{15,16}(?![0-9A-Za-z-])", _yes, _issuer, lambda x: _vote(luhn(_digits(x))), ()),
-    Finder(3, False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, _hit(r"^\(?[2-9][0-9]{2}"), _hit(r"^\(?[0-9]{3}\)?[-.\x20]?[2-9]"), ()),
-    Finder(3, False, r"(?<![0-9A-Za-z+.()-])0(?:0[1-9][0-9]{0,2}[-./\x20][0-9]{2,4}|[1-9][0-9]{1,4})[-./\x20](?:[0-9]{5,8}|[0-9]{2,4}(?:[-.\x20][0-9]{2,4}){1,4})(?![0-9A-Za-z.-])", _yes, _none, _long(9, 14), ()),
-    Finder(SECRET, False, r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"), lambda x: F.when(x.rlike(rf"^(?:{KEY_PREFIXES})|^(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|[0-9A-F]{{32}}|[0-9A-F]{{40}}|[0-9A-F]{{64}})$"), F.lit(1)).when(x.rlike("/.*/|-.*-.*-|_.*_"), F.lit(-1)).otherwise(F.lit(0)), _mixed, ()),
+    Finder(2, False, r"(?<![0-9A-Za-z.-])(?:[0-9]{4}[\x20./-]){3}[0-9]{4}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{4}[\x20./-][0-9]{6}[\x20./-][0-9]{5}(?![0-9A-Za-z-])|(?<![0-9A-Za-z.-])[0-9]{15,16}(?![0-9A-Za-z-])", lambda x: luhn(_digits(x)), _issuer, lambda x: F.lit(1), NUMERIC),
+    Finder(3, False, r"(?<![0-9A-Za-z+.()-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9A-Za-z.-])", _yes, _hit(r"^\(?[2-9][0-9]{2}"), _hit(r"^\(?[0-9]{3}\)?[-.\x20]?[2-9]"), NUMERIC),
+    Finder(3, False, r"(?<![0-9A-Za-z+.()-])0(?:0[1-9][0-9]{0,2}[-./\x20][0-9]{2,4}|[1-9][0-9]{1,4})[-./\x20](?:[0-9]{5,8}|[0-9]{2,4}(?:[-.\x20][0-9]{2,4}){1,4})(?![0-9A-Za-z.-])", _yes, _none, _long(9, 14), NUMERIC),
+    Finder(SECRET, False, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"), lambda x: F.when(x.rlike(rf"^(?:{KEY_PREFIXES})|^(?:[0-9a-f]{{32}}|[0-9a-f]{{40}}|[0-9a-f]{{64}}|[0-9A-F]{{32}}|[0-9A-F]{{40}}|[0-9A-F]{{64}})$"), F.lit(1)).when(x.rlike("/.*/|-.*-.*-|_.*_"), F.lit(-1)).otherwise(F.lit(0)), _mixed, ()),
 )
 
 
@@ -140,13 +146,15 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(steps, values, doubled)
 
 
-def spans(text: Column, finder: Finder) -> Column:
-    """The leftmost non-overlapping matches that hold, with their votes and features."""
+def spans(text: Column, finder: Finder, numeric: Column) -> Column:
+    """The leftmost non-overlapping matches that hold, with their votes and features. ``numeric``: whether the text has what ``NUMERIC`` finds.
+
+    A text is split, and positions are summed, only if one of its matches holds.
+    """
     none = F.array().cast(_SPAN)
 
-    def located(m: Column, pieces: Column) -> Column:
+    def located(m: Column, pieces: Column, good: Column) -> Column:
         ends = running(F.zip_with(m, F.slice(pieces, F.lit(1), F.size(m)), lambda x, p: F.length(p) + F.length(x)), add)
-        good = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: finder.holds(F.get(m, i)))
 
         def one(i: Column, end: Column) -> Column:
             match, piece, rest = F.get(m, i), F.get(pieces, i), F.concat(F.get(pieces, i + 1), F.coalesce(F.get(m, i + 1), F.lit("")))
@@ -160,13 +168,16 @@ def spans(text: Column, finder: Finder) -> Column:
             }
             return F.struct(*(x.alias(n) for n, x in fields.items()))
 
-        return F.when(F.size(good) == 0, none).otherwise(let(ends, lambda e: F.transform(good, lambda i: one(i, F.get(e, i)))).cast(_SPAN))
+        return let(ends, lambda e: F.transform(good, lambda i: one(i, F.get(e, i)))).cast(_SPAN)
+
+    def judged(m: Column) -> Column:
+        holding = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: finder.holds(F.get(m, i)))
+        return let(holding, lambda good: F.when(F.size(good) == 0, none).otherwise(let(F.split(text, finder.pattern, -1), lambda pieces: located(m, pieces, good))))
 
-    matches = F.regexp_extract_all(text, F.lit(finder.pattern), 0)
-    found = let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.split(text, finder.pattern, -1), lambda pieces: located(m, pieces))))
+    found = let(F.regexp_extract_all(text, F.lit(finder.pattern), 0), lambda m: F.when(F.size(m) == 0, none).otherwise(judged(m)))
     if not finder.needs:
         return found
-    return F.when(reduce(or_, (F.contains(text, F.lit(x)) for x in finder.needs)), found).otherwise(none)
+    return F.when(numeric if finder.needs == NUMERIC else reduce(or_, (F.contains(text, F.lit(x)) for x in finder.needs)), found).otherwise(none)
 
 
 def _apart(every: Column) -> Column:
@@ -188,7 +199,7 @@ def _apart(every: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, base and loose spans of every row. Loose spans overlap no base span and no earlier loose one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select("doc_id", let(text, lambda t: F.sort_array(F.concat(*(spans(t, x) for x in FINDERS)))).alias("every"))
+    found = docs.select("doc_id", let(text, lambda t: let(t.rlike(NUMERIC), lambda numeric: F.sort_array(F.concat(*(spans(t, x, numeric) for x in FINDERS))))).alias("every"))
     loose = F.when(F.exists("every", lambda s: s["base"] == 0), _apart(F.col("every"))).otherwise(F.array().cast(_SPAN))
     return found.select("doc_id", F.filter("every", lambda s: s["base"] == 1).alias("base"), loose.alias("loose"))
 
@@ -201,8 +212,8 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _sigmoid(z: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[Pattern, float], dict[tuple[int, str], tuple[float, float]]]:
@@ -212,26 +223,22 @@ def reliabilities(counts: dict[Pattern, int], rounds: int = 50) -> tuple[dict[Pa
     A labeler that doesn't vote says nothing, nor does one that votes for all. They start from the reliability of ``VOTERS``, which goes on to
     count as ``BELIEF`` candidates of either sort, so labelers stay better than chance where there are few; a kind's share of true candidates is smoothed likewise.
     """
-    kinds = sorted({p[0] for p in counts})
-    says = {(k, name): (start, 1 - start) for k in kinds for name, start in VOTERS.items()}
-    share = dict.fromkeys(kinds, 0.5)
     posterior: dict[Pattern, float] = {}
-
-    def weight(k: int, name: str, vote: int) -> float:
-        true, false = says[k, name]
-        return math.log(true / false) if vote > 0 else math.log((1 - true) / (1 - false)) if vote else 0.0
-
-    for _ in range(rounds):
-        for p in counts:
-            posterior[p] = _sigmoid(_logit(share[p[0]]) + sum(weight(p[0], name, vote) for name, vote in zip(VOTERS, p[1:], strict=False)))
-        for k in kinds:
-            own = [(p, n, posterior[p]) for p, n in counts.items() if p[0] == k]
-            share[k] = (sum(n * q for _, n, q in own) + BELIEF / 2) / (sum(n for _, n, _ in own) + BELIEF)
-            for j, (name, start) in enumerate(VOTERS.items(), 1):
-                voted = [(p[j] > 0, n * q, n * (1 - q)) for p, n, q in own if p[j]]
-                true = (sum(t for yes, t, _ in voted if yes) + start * BELIEF) / (sum(t for _, t, _ in voted) + BELIEF)
-                false = (sum(f for yes, _, f in voted if yes) + (1 - start) * BELIEF) / (sum(f for _, _, f in voted) + BELIEF)
-                says[k, name] = true, false
+    says: dict[tuple[int, str], tuple[float, float]] = {}
+    start = np.array(list(VOTERS.values()))
+    for k in sorted({p[0] for p in counts}):
+        own = [p for p in counts if p[0] == k]
+        n = np.array([counts[p] for p in own], np.float64)
+        votes = np.array([p[1 : 1 + len(VOTERS)] for p in own], np.int8)
+        up, down = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
+        true, false, share = start, 1 - start, 0.5
+        for _ in range(rounds):
+            q = _sigmoid(_logit(share) + up @ np.log(true / false) + down @ np.log((1 - true) / (1 - false)))
+            share = float((n @ q + BELIEF / 2) / (n.sum() + BELIEF))
+            true = ((n * q) @ up + start * BELIEF) / ((n * q) @ (up + down) + BELIEF)
+            false = ((n * (1 - q)) @ up + (1 - start) * BELIEF) / ((n * (1 - q)) @ (up + down) + BELIEF)
+        posterior |= dict(zip(own, q.tolist(), strict=True))
+        says |= {(k, name): (t, f) for name, t, f in zip(VOTERS, true.tolist(), false.tolist(), strict=True)}
     return posterior, says
 
 
@@ -245,20 +252,21 @@ def train(counts: dict[Pattern, int], posterior: dict[Pattern, float], steps: in
 
     A pattern weighs as the square root of its count, so that rare ones have a say.
     """
-    total = max(1.0, sum(map(math.sqrt, counts.values())))
-    rows = [(features(p), math.sqrt(n) / total, posterior[p]) for p, n in counts.items()]
-    weights = {x: 0.0 for names, _, _ in rows for x in names}
-    past = dict.fromkeys(weights, 1e-12)
+    if not counts:
+        return {}
+    patterns = sorted(counts)
+    names = sorted({x for p in patterns for x in features(p)})
+    place = {x: i for i, x in enumerate(names)}
+    at = np.array([[place[x] for x in features(p)] for p in patterns])
+    share = np.sqrt(np.array([counts[p] for p in patterns], np.float64))
+    share, y = share / max(1.0, share.sum()), np.array([posterior[p] for p in patterns])
+    weights, past = np.zeros(len(names)), np.full(len(names), 1e-12)
     for _ in range(steps):
-        slope = {x: ridge * w for x, w in weights.items()}
-        for names, share, y in rows:
-            miss = share * (_sigmoid(sum(weights[x] for x in names)) - y)
-            for x in names:
-                slope[x] += miss
-        for x, g in slope.items():
-            past[x] += g * g
-            weights[x] -= rate * g / math.sqrt(past[x])
-    return weights
+        miss = share * (_sigmoid(weights[at].sum(axis=1)) - y)
+        slope = ridge * weights + np.bincount(at.ravel(), np.repeat(miss, at.shape[1]), len(names))
+        past += slope * slope
+        weights -= rate * slope / np.sqrt(past)
+    return dict(zip(names, weights.tolist(), strict=True))
 
 
 def _score(c: Column, weights: dict[tuple[str, int, int], float]) -> Column:
@@ -271,9 +279,10 @@ def _listed(of: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, accept: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, secrets, n_found of every row.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_found of every row.
 
-    ``spans`` holds the four kinds, base and added; ``secrets`` the accepted secrets; n_found counts both.
+    ``spans`` holds all that was found: base spans, added ones of the same kinds, and secrets, which come after the four kinds where starts
+    are equal. n_added counts the added ones without secrets, n_found all.
     """
     found = materialize(candidates(docs), "pii")
     fields = ["kind", *VOTERS, *FEATURES]
@@ -283,9 +292,10 @@ def find_personal_data(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     posterior, _ = reliabilities(counts)
     weights = train(counts, posterior)
     accepted = F.filter("loose", lambda c: _score(c, weights) >= _logit(accept)) if weights else F.col("loose")
-    found = found.withColumn("accepted", accepted).withColumn("added", F.filter("accepted", lambda s: s["kind"] != SECRET))
+    found = found.withColumn("added", accepted)
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    secrets = F.size(F.filter("added", lambda s: s["kind"] == SECRET)).cast("long")
     return found.select(
         "doc_id", *(n(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
-        F.size("added").cast("long").alias("n_added"), _listed(F.filter("accepted", lambda s: s["kind"] == SECRET)).alias("secrets"), (F.size("base") + F.size("accepted")).cast("long").alias("n_found"),
+        (F.size("added") - secrets).cast("long").alias("n_added"), secrets.alias("n_secret"), (F.size("base") + F.size("added")).cast("long").alias("n_found"),
     )
