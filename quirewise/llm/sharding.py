@@ -148,7 +148,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERH
 
     giant = F.col("size") > cap / GIANT
     # At most GIANT * shards rows, as together they are larger than that many shares of the total.
-    giants = sorted(pool.where(giant).select(*ROW, "size").collect(), key=lambda r: (-r["size"], r["doc_id"] is None, r["doc_id"] or 0, r["hub"], r["nth"]))
+    giants = sorted(pool.where(giant).select(*ROW, "size").collect(), key=lambda r: (-r["size"], r["doc_id"] is None, *((r["doc_id"],) if r["doc_id"] is not None else ()), r["hub"], r["nth"]))
     homes = []
     for r in giants:
         s = min(range(shards), key=lambda s: (loads[s], s))

@@ -70,3 +70,12 @@ def test_cuts_hardly_more_than_packing_whole_groups(spark):
     together = sum(len({got[i] for i in own}) == 1 for own in groups.values())
     print("pairs kept", kept / every, "groups whole", together, "packed", whole)
     assert kept > 0.9 * every and together > 0.9 * whole
+
+
+def test_string_ids_and_tied_giants(spark):
+    """Documents that are placed one by one, of one size, with ids that are strings, empty or null."""
+    rows = [("", "x" * 4000), (None, "x" * 3999 + "y"), ("a", "z" * 4000), (None, "w" * 4000), ("b", "x" * 4000), ("", "q" * 4000)] + [(f"d{i}", "s" * (i % 7)) for i in range(50)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    per = Counter(r.shard for r in out)
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in per.items())
