@@ -25,6 +25,8 @@ from quirewise.llm.common import HOT, checked_broadcast, materialize, scratch_pa
 
 #: Files of a micro-batch, and megabytes that one executor's state stores share in memory.
 FILES, STATE_MB = 10_000, 256
+#: What is known of a group: the row that stays, and how many there are.
+TOP = ("top_id", "top_file", "top_row", "n")
 
 
 def normalised(text: Column) -> Column:
@@ -45,13 +47,14 @@ def _located(docs: DataFrame, digest: Digest) -> DataFrame:
 
 
 def absorb(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str, digest: Digest = sha256, files: int = FILES) -> DataFrame:
-    """Take all files below ``path`` that ``checkpoint`` hasn't seen into the state; gives the state: digest, top (doc_id, file, row), n."""
+    """Take all files below ``path`` that ``checkpoint`` hasn't seen into the state; gives the state: digest, top_id, top_file, top_row, n."""
     session = spark.newSession()  # the settings are of this stream alone
     store = "spark.sql.streaming.stateStore"
     for key, value in {
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}.rocksdb.allowFAllocate": "false",  # many small stores must not each reserve megabytes of disk
         f"{store}.rocksdb.boundedMemoryUsage": "true",
         f"{store}.rocksdb.maxMemoryUsageMB": str(STATE_MB),
     }.items():
@@ -62,21 +65,25 @@ def absorb(spark: SparkSession, path: str, schema: T.StructType, checkpoint: str
     query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     if not query.recentProgress:  # nothing ever came
-        return spark.createDataFrame([], T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("top", T.StructType([schema["doc_id"], T.StructField("file", T.StringType()), T.StructField("row", T.LongType())])), T.StructField("n", T.LongType())]))
-    return spark.read.format("statestore").load(checkpoint).select("key.digest", F.col("value.max").alias("top"), F.col("value.count").alias("n"))
+        return spark.createDataFrame([], T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("top_id", schema["doc_id"].dataType), T.StructField("top_file", T.StringType()), T.StructField("top_row", T.LongType()), T.StructField("n", T.LongType())]))
+    return spark.read.format("statestore").load(checkpoint).select("key.digest", *_flat(F.col("value.max")), F.col("value.count").alias("n"))
+
+
+def _flat(top: Column) -> list[Column]:
+    return [top["doc_id"].alias("top_id"), top["file"].alias("top_file"), top["row"].alias("top_row")]
 
 
 def impostors(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """digest, text: texts that aren't the one at their digest's locator. Whole texts are compared, copies once a task."""
-    kept = (F.col("file") == F.col("top.file")) & (F.col("row") == F.col("top.row"))
-    suspects = rows.join(checked_broadcast(hits.select("digest", "top")), "digest")
+    kept = (F.col("file") == F.col("top_file")) & (F.col("row") == F.col("top_row"))
+    suspects = rows.join(checked_broadcast(hits.select("digest", "top_file", "top_row")), "digest")
     return suspects.groupBy("digest", "text").agg(F.max(kept).alias("same")).where("NOT same").select("digest", "text")
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """Rows with ``top`` and ``n`` of their group; both null for a text that came once."""
-    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
-    stays = F.col("n").isNull() | ((F.col("file") == F.col("top.file")) & (F.col("row") == F.col("top.row")))
+    """The verdicts on rows with the top row and size of their group, which are null for a text that came once."""
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top_id"))
+    stays = F.col("n").isNull() | ((F.col("file") == F.col("top_file")) & (F.col("row") == F.col("top_row")))
     return rows.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
@@ -89,20 +96,21 @@ def verdicts(docs: DataFrame, state: DataFrame, digest: Digest = sha256) -> Data
     if not odd.isEmpty():
         doubtful = checked_broadcast(materialize(odd.select("digest").distinct(), "doubtful"))
         split = rows.join(doubtful, "digest", "left_semi")
-        own = materialize(split.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("top"), F.count(F.lit(1)).alias("n")), "split")
-        told_apart = split.join(own, ["digest", "text"]).select("doc_id", "sha", "file", "row", "top", "n")
+        own = split.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "file", "row")).alias("top"), F.count(F.lit(1)).alias("n"))
+        own = materialize(own.select("digest", "text", *_flat(F.col("top")), "n"), "split")
+        told_apart = split.join(own, ["digest", "text"]).select("doc_id", "sha", "file", "row", *TOP)
         plain, hits = plain.join(doubtful, "digest", "left_anti"), materialize(hits.join(doubtful, "digest", "left_anti"), "sure-hits")
     else:
         told_apart = None
     # Digests that over 1/1024 of all rows share are few and broadcast; their rows then spread over the next join.
     total = hits.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(hits.where(F.col("n") > total * HOT).select(F.col("digest").alias("hot_digest"), F.col("top").alias("hot_top"), F.col("n").alias("hot_n")))
-    cold = hits.where(F.col("n") <= total * HOT).select(F.col("digest").alias("cold_digest"), F.col("top").alias("cold_top"), F.col("n").alias("cold_n"))
-    cold = checked_broadcast(cold)
+    of = lambda rows, name: rows.select(F.col("digest").alias(f"{name}_digest"), *(F.col(c).alias(f"{name}_{c}") for c in TOP))
+    hot = F.broadcast(of(hits.where(F.col("n") > total * HOT), "hot"))
+    cold = checked_broadcast(of(hits.where(F.col("n") <= total * HOT), "cold"))
     marked = plain.join(hot, F.col("digest") == F.col("hot_digest"), "left")
     key = F.when(F.col("hot_n").isNull(), F.col("digest")).otherwise(F.encode(F.concat_ws("#", "file", "row"), "utf-8"))
     joined = marked.withColumn("key", key).join(cold, F.col("key") == F.col("cold_digest"), "left")
-    found = joined.select("doc_id", "sha", "file", "row", F.coalesce("hot_top", "cold_top").alias("top"), F.coalesce("hot_n", "cold_n").alias("n"))
+    found = joined.select("doc_id", "sha", "file", "row", *(F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in TOP))
     return _judged(found if told_apart is None else found.unionByName(told_apart))
 
 
