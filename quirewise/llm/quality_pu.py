@@ -4,7 +4,12 @@ Only trusted positives and unlabelled documents are learned from: labels other t
 pi * R_p(+) + max(0, R_u(-) - pi * R_p(-)): the negative part is estimated from unlabelled documents minus the
 positives' share in them, and kept from going below zero. pi, the share of positives among the unlabelled, is given or estimated
 from both samples (``mixture_share``): no set of documents can be rarer among the unlabelled than pi times its
-frequency among the positives, so the least ratio over the tops of a ranking bounds pi, and nearly meets it.
+frequency among the positives, so the least ratio over the tops of a ranking bounds pi, and nearly meets it. The ranking is of rows that the ranker
+wasn't trained on, all folds together.
+
+Where classes are told apart well, the level of the scores is still as unsure as pi: a pi that is a little too high leaves bad documents above any fixed
+threshold. So the level is set by trusted positives that a model of the other folds has scored: if nearly all of them (``KEPT``) lie above
+one half, all scores are lowered by as much as keeps them there. They are never raised, and their order stays.
 
 Texts become surface measures and a signed hash profile of their words and word pairs in one pass over whole texts, stored
 once. The model is a sum of piecewise constant functions of the measures (cut at quantiles) and a linear function of
@@ -40,6 +45,8 @@ MEASURES = (
 )
 #: Rounds of the classifier and of the ranking that estimates pi, their rate, and the ridges of bins and profile.
 ROUNDS, PRIOR_ROUNDS, RATE, RIDGE = 600, 150, 0.1, (1e-5, 1e-3)
+#: Parts for scoring rows by models that haven't seen them, rounds of those that set the level, and the share of trusted positives that it keeps.
+PARTS, LEVEL_ROUNDS, KEPT = 4, 300, 0.995
 _MARKS = string.punctuation.encode()
 #: Marks that prose has few of.
 _ODD = bytes(set(_MARKS) - set(b".,;:!?'\"()-"))
@@ -102,7 +109,7 @@ class Rows:
     def __len__(self) -> int:
         return len(self.x)
 
-    def part(self, at: slice) -> Rows:
+    def part(self, at: slice | np.ndarray) -> Rows:
         out = object.__new__(Rows)
         out.x, out.profile = self.x[at], self.profile[at]
         return out
@@ -193,16 +200,34 @@ def mixture_share(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0
     return min(0.98, max(0.02, float(u[at][best] / p[at][best])))
 
 
+def unseen(positive: Rows, unlabelled: Rows, slopes: Slopes, bias: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Raw scores of all rows, each by a model fitted to the other parts. Both need a row a part."""
+    out = [np.empty(len(positive)), np.empty(len(unlabelled))]
+    for part in range(PARTS):
+        others = [x.part(np.arange(len(x)) % PARTS != part) for x in (positive, unlabelled)]
+        scorer = fit(*others, slopes, bias, rounds)
+        for of, x in zip(out, (positive, unlabelled), strict=True):
+            own = x.part(slice(part, None, PARTS))
+            of[part::PARTS] = scorer.raw(scorer.steps.index(own.x), own.profile)
+    return out[0], out[1]
+
+
 def class_prior(positive: Rows, unlabelled: Rows) -> float:
-    """pi, by two halves: one ranks the other."""
-    shares = []
-    for own, other in ((0, 1), (1, 0)):
-        halves = [x.part(slice(own, None, 2)) for x in (positive, unlabelled)] + [x.part(slice(other, None, 2)) for x in (positive, unlabelled)]
-        if not all(map(len, halves)):
-            return 0.5
-        ranked = fit(halves[0], halves[1], told_apart, rounds=PRIOR_ROUNDS)
-        shares.append(mixture_share(ranked.score(halves[2]), ranked.score(halves[3])))
-    return sum(shares) / 2
+    """pi, from a ranking of unseen rows; one half if they are too few for that."""
+    if min(len(positive), len(unlabelled)) < 2 * PARTS:
+        return 0.5
+    return mixture_share(*unseen(positive, unlabelled, told_apart, 0.0, PRIOR_ROUNDS))
+
+
+def train(positive: Rows, unlabelled: Rows, prior: float | None = None) -> Scorer:
+    """The scorer for a given or estimated pi, its level set by trusted positives."""
+    prior = class_prior(positive, unlabelled) if prior is None else prior
+    bias = math.log(prior / (1 - prior))
+    scorer = fit(positive, unlabelled, non_negative_risk(prior), bias)
+    if min(len(positive), len(unlabelled)) >= 2 * PARTS:
+        trusted, _ = unseen(positive, unlabelled, non_negative_risk(prior), bias, LEVEL_ROUNDS)
+        scorer.weights[-1] -= max(0.0, float(np.quantile(trusted, 1 - KEPT)))
+    return scorer
 
 
 def _sample(df: DataFrame, most: int) -> Rows:
@@ -229,8 +254,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, pr
     if not len(positive) or not len(unlabelled):
         score = F.lit(0.5 if prior is None else prior)
         return rows.select("doc_id", "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
-    prior = class_prior(positive, unlabelled) if prior is None else prior
-    scorer = fit(positive, unlabelled, non_negative_risk(prior), math.log(prior / (1 - prior)))
+    scorer = train(positive, unlabelled, prior)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
