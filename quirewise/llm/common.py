@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.sources.storage import shared_dir
+
 #: A side of a join is broadcast only after its rows and bytes have been counted and are at most these.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 #: A key with over this share of all rows is a hot one: there are at most 1/HOT of them, so they're broadcast.
@@ -22,23 +23,8 @@ CHUNK_BYTES = 4 << 20
 _scratch: list[str] = []
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where it is unset, a local session (tests) gets a folder of its own; a cluster gets an error, as no folder of
-    one machine will do.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
-        where = f"file://{tempfile.mkdtemp(prefix='quirewise-')}"
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_dir(spark)}/quirewise-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quirewise-{label}-{uuid.uuid4().hex}"
     _scratch.append(path)
     return path
 
@@ -54,14 +40,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete every intermediate table so far. For callers that have stored their results."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    for x in paths:
+        path = jvm.org.apache.hadoop.fs.Path(x)
         path.getFileSystem(conf).delete(path, True)
 
 
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table so far. For callers that have stored their results."""
+    _delete(spark, _scratch)
+    _scratch.clear()
+
+
+def settle(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` gives, stored. The intermediate tables that were made before, for it or for what it was built from, are deleted."""
+    out = materialize(build(), label)
+    _delete(spark, _scratch[:-1])
+    del _scratch[:-1]
+    return out
+
+
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (shuffled, split by AQE).
 
@@ -80,6 +79,16 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROAD
     return rows <= limit and (held or 0) <= most_bytes
 
 
+def join_unique(left: DataFrame, right: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """``left`` joined with ``right``, which has each ``key`` once and, in ``n``, how many of the ``rows`` rows of ``left`` have it.
+
+    Keys that over ``HOT`` of them share are few: they're broadcast, so none meets in one task; the rest is shuffled. ``left`` should be stored: it is read twice.
+    """
+    hot, cold = right.where(F.col(n) > rows * HOT), right.where(F.col(n) <= rows * HOT)
+    apart = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot.drop(n)), key).unionByName(apart.join(cold.drop(n), key))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with equal rows numbered from 0 as ``name``, so that all rows differ.
 

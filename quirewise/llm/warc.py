@@ -8,9 +8,11 @@ to ``GAP`` bytes; the bytes selected set the number of tasks.
 Of records with equal payloads of at least ``least`` bytes, the one with the largest page_id is the
 response; the others are revisits that name it and its URL. Payload keys are summed per digest before anything is joined.
 
-A null html is an empty payload; a null URL leaves its header out. Null page_ids never are the largest; if all
+A null html is an empty payload; a null URL leaves its header out; a URL with line breaks has them as %0A in the standard header and is kept whole, quoted, in
+one of its own. page_ids may be integers or strings, which keep their type. Null page_ids never are the largest; if all
 of a digest's ids are null, all are responses. Rows that share the largest page_id are all responses, under one record id. An empty
-table gives an empty index. Other columns of ``pages`` aren't read, whatever their names. A file belongs
+table gives an empty index. Other columns of ``pages`` aren't read, whatever their names. Archives go through Arrow's file systems: local and NFS paths, s3 (s3a and s3n
+mean the same), gs, abfs and, with libhdfs on the executors, hdfs and viewfs. A file belongs
 to one task attempt, so a retried task never writes into another's file; only finished attempts are in
 the index. Texts are taken in chunks of ``CHUNK_BYTES``, so long pages don't meet in memory.
 """
@@ -24,6 +26,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirewise.llm.common import CHUNK_BYTES, checked_broadcast, materialize, scratch_path, text_chunks
+from quirewise.llm.common import CHUNK_BYTES, HOT, checked_broadcast, materialize, scratch_path, text_chunks
 
 LEAST_PAYLOAD = 1000
 #: Bytes of an archive file before the next one begins; of a read; between two records of one read.
@@ -39,7 +42,7 @@ FILE_BYTES, MOST_READ, GAP = 128 << 20, 8 << 20, 64 << 10
 #: Compressed bytes that a reading task takes; with fewer in all, tasks take less, down to the second.
 TASK_BYTES, LEAST_TASK = 64 << 20, 1 << 20
 DATE = "2000-01-01T00:00:00Z"
-INDEX = "path string, offset long, length long, url string, digest string, page_id long, record_type string"
+INDEX = "path string, offset long, length long, url string, digest string, page_id {0}, record_type string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 
 
@@ -51,6 +54,10 @@ def _one_line(url: str) -> str:
     return re.sub(r"[\r\n]+", "%0A", url)
 
 
+def _written(page_id: int | str) -> str:
+    return quote(page_id, safe="") if isinstance(page_id, str) else str(page_id)
+
+
 def _record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
@@ -83,10 +90,12 @@ def record(row: dict, folder: str, at: str) -> bytes:
     ]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {_one_line(row['url'])}")
+        if _one_line(row["url"]) != row["url"]:
+            head.append(f"X-Page-Url: {quote(row['url'], safe='')}")
     if page_id is not None:
-        head.append(f"X-Page-Id: {page_id}")
+        head.append(f"X-Page-Id: {_written(page_id)}")
     if row["revisit"]:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {first}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {_written(first)}"]
         if row["first_url"] is not None:
             head.append(f"WARC-Refers-To-Target-URI: {_one_line(row['first_url'])}")
     return _member(head, _HTTP % row["size"] + (row["payload"] or b""))
@@ -102,8 +111,18 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, int(re.search(rb"Content-Length: (\d+)", http)[1])
 
 
+#: Spark's names of file systems that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
+
+
+def id_type(pages: DataFrame) -> str:
+    """bigint for whole numbers, else string."""
+    return "bigint" if pages.schema["page_id"].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -117,13 +136,23 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
     """Write a record for every row of ``pages`` (page_id, url, html) below ``folder``; gives the stored index."""
     folder = qualified(pages.sparkSession, folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
+    kind = id_type(pages)
+    given = pages.select(F.col("page_id").cast(kind).alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     digested = given.withColumn("digest", F.sha1("payload"))
     shared = digested.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.max_by("url", F.struct("page_id", "url")).alias("first_url"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first", "first_url"), "shared-payloads")
-    decided = digested.join(checked_broadcast(shared), digested["digest"] == shared["of"], "left")
+    shared = materialize(shared.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first", "first_url", "n"), "shared-payloads")
+    # Digests that over 1/1024 of these rows share are broadcast; rows decided by them drop their payload and spread over the next join.
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.where(F.col("n") > total * HOT).select(F.col("of").alias("hot_of"), F.col("first").alias("hot_first"), F.col("first_url").alias("hot_url"))
+    cold = shared.where(F.col("n") <= total * HOT).drop("n")
+    marked = digested.join(F.broadcast(hot), F.col("digest") == F.col("hot_of"), "left").withColumn("size", F.octet_length("payload").cast("long"))
+    is_first = F.col("page_id").eqNullSafe(F.col("hot_first"))
+    marked = marked.withColumn("payload", F.when(F.col("hot_of").isNull() | is_first, F.col("payload")))
+    key = F.when(F.col("hot_of").isNull(), F.col("digest")).otherwise(F.concat_ws("#", F.lit(""), F.xxhash64("page_id", "url").cast("string")))
+    decided = marked.withColumn("key", key).join(checked_broadcast(cold), F.col("key") == F.col("of"), "left")
+    decided = decided.withColumn("first", F.coalesce("hot_first", "first")).withColumn("first_url", F.when(F.col("hot_of").isNotNull(), F.col("hot_url")).otherwise(F.col("first_url")))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    decided = decided.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").cast("long").alias("size"), "digest", "first", "first_url", revisit.alias("revisit"))
+    decided = decided.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", "first", "first_url", revisit.alias("revisit"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -152,13 +181,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) ->
             if out is not None:
                 out.close()
 
-    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string())])
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64() if kind == "bigint" else pa.string()), ("record_type", pa.string())])
     files, inside = _files(folder)
     files.create_dir(inside, recursive=True)
-    return materialize(decided.mapInArrow(rows, INDEX), "warc-index")
+    return materialize(decided.mapInArrow(rows, INDEX.format(kind)), "warc-index")
 
 
-RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD = "page_id {0}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {0}"
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -182,7 +211,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                 out, held = [], 0
                 for r in rows[lo:hi]:
                     at = r["offset"] - first["offset"]
-                    result = _result(r, data[at : at + r["length"]], payloads)
+                    result = _result(r, data[at : at + r["length"]], payloads, kind)
                     out.append(result)
                     held += len(result.get("payload") or b"")
                     if held > CHUNK_BYTES:
@@ -192,7 +221,9 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(out, schema)
                 lo = hi
 
-    fields = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    kind = id_type(index)
+    arrow = pa.int64() if kind == "bigint" else pa.string()
+    fields = [("page_id", arrow), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", arrow)]
     schema = pa.schema(fields + [("payload", pa.binary())] * payloads)
     total = index.agg(F.sum("length")).first()[0] or 0
     cores = index.sparkSession.sparkContext.defaultParallelism
@@ -200,17 +231,18 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     step = min(MOST_READ, max(1, math.ceil(total / tasks / 4)))  # several ranges a task, so that they come out even
     ranges = index.select("path", "offset", "length").withColumn("range", F.floor(F.col("offset") / F.lit(step)))
     sorted_ranges = ranges.repartition(tasks, "path", "range").sortWithinPartitions("path", "offset").select("path", "offset", "length")
-    return sorted_ranges.mapInArrow(rows, RECORD + ", payload binary" * payloads)
+    return sorted_ranges.mapInArrow(rows, RECORD.format(kind) + ", payload binary" * payloads)
 
 
-def _result(row: dict, member: bytes, payloads: bool) -> dict:
+def _result(row: dict, member: bytes, payloads: bool, kind: str) -> dict:
     fields, payload, size = parse(member)
     stated = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
     revisit = fields["WARC-Type"] == "revisit"
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != stated):
         raise ValueError(f"damaged record at {row['path']}#{row['offset']}")
-    number = lambda name: int(fields[name]) if name in fields else None
-    out = {"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": number("X-Refers-To-Page")}
+    page = lambda name: None if name not in fields else int(fields[name]) if kind == "bigint" else unquote(fields[name])
+    url = unquote(fields["X-Page-Url"]) if "X-Page-Url" in fields else fields.get("WARC-Target-URI")
+    out = {"page_id": page("X-Page-Id"), "url": url, "payload_bytes": size, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": page("X-Refers-To-Page")}
     return out | {"payload": None if revisit else payload} if payloads else out
 
 
