@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; a stage's result is stored as Parquet and read again
-before the next one. All but the last keep the columns of documents, whatever their names.
+before the next one, and what was made on the way to it is deleted. All but the last keep the columns of documents, whatever their names.
 
 Null texts have no words and are rejected by the quality rules. Of rows that tie in a group of near-duplicates any one stays. Rows that
 the mix takes twice are rows of their own for the shards. Empty tables give empty results.
@@ -9,10 +9,12 @@ the mix takes twice are rows of their own for the shards. Empty tables give empt
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quirewise.llm import decontaminate, host_rules, mixing, sharding, simhash
-from quirewise.llm.common import materialize, table
+from quirewise.llm.common import settle, table
 
 #: The mix draws lots and the shards follow hashes, which SQL can't express.
 ORACLE_SQL = None
@@ -56,5 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settle(spark, name, functools.partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
