@@ -161,10 +161,23 @@ def confusions(word: Column) -> Column:
 
 #: Period endings, what they became, and the lengths of words that they're taken from.
 ENDINGS = (("e", "", 3, None), ("ie", "y", 0, None), ("es", "s", 0, None), ("ke", "c", 0, None), ("ke", "k", 0, None), ("cke", "c", 0, None), ("ee", "e", 0, 4))
-#: Period spellings inside words and what they became; the pairs of one entry are applied in turn.
+#: Period spellings inside words and what they became; pairs that stand together are applied in turn.
 SPELLINGS = (
-    "ay>ai", "ayd>aid aide>aid", "eere>ear", "oore>oor", "aine>ain", "aigne>eign", "eeue>ieve eiue>eive", "ould>ol", "ersw>ersu", "shalbe>shall", "ertue>irtue", "oath>oth", "shew>show", "ould>old",
-)
+    (("ay", "ai"),),
+    (("ayd", "aid"), ("aide", "aid")),
+    (("eere", "ear"),),
+    (("oore", "oor"),),
+    (("aine", "ain"),),
+    (("aigne", "eign"),),
+    (("eeue", "ieve"), ("eiue", "eive")),
+    (("ould", "ol"),),
+    (("ersw", "ersu"),),
+    (("shalbe", "shall"),),
+    (("ertue", "irtue"),),
+    (("oath", "oth"),),
+    (("shew", "show"),),
+    (("ould", "old"),),
+)
 
 
 def early_modern(word: Column) -> Column:
@@ -181,9 +194,9 @@ def early_modern(word: Column) -> Column:
         fits = fits if most is None else fits & (F.length(form) <= most)
         return F.when(fits, F.concat(F.substring(form, F.lit(1), F.length(form) - len(old)), F.lit(new)))
 
-    def respelt(form: Column, entry: str) -> Column:
-        for pair in entry.split():
-            form = F.replace(form, *map(F.lit, pair.split(">")))
+    def respelt(form: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+        for pair in pairs:
+            form = F.replace(form, *map(F.lit, pair))
         return form
 
     def undoubled(form: Column, tail: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions import geometry as G
+from quirewise.sources.storage import stored
 
 #: Where a class of region goes in the document, and its rank in reading order.
 CLASSES = (
@@ -27,7 +28,11 @@ def with_placement(regions: DataFrame) -> DataFrame:
     place = F.lit("review")
     for k, label, _ in CLASSES:
         place = F.when(F.col("kind") == k, F.lit(label)).otherwise(place)
-    return regions.withColumn("placement", place).withColumn("class_rank", class_rank(F.col("kind"))).withColumn("structure", F.when(F.col("kind") == "heading", "heading1").otherwise("text"))
+    return regions.withColumn("placement", place).withColumn("class_rank", class_rank(F.col("kind"))).withColumn("structure", structure_of(F.col("kind")))
+
+
+def structure_of(kind: Column) -> Column:
+    return F.when(kind == "heading", "heading1").otherwise("text")
 
 
 def box(of: str) -> Column:
@@ -79,24 +84,31 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return regions.withColumn("reading_order", (F.row_number().over(order) - 1).cast("long"))
 
 
-def gutters(boxes: DataFrame, min_w: float, max_cover: float = 0.08, least: int = 8) -> DataFrame:
-    """White columns inside each page's band: runs of integer columns with little ink, wide enough, off the edges.
+def gutters(boxes: DataFrame, min_w: float | str, max_cover: float = 0.08, least: int = 8) -> DataFrame:
+    """White columns inside each page's band: runs of integer columns with little ink, wide enough, off the edges. ``min_w``: a number, or a column of
+    ``boxes`` that is the same all over a page.
 
-    Ink per column is a sum over its boxes; runs come from the difference of position and rank.
+    Ink changes only where a box begins or ends, so it is a running sum over two rows a box.
     """
     page = Window.partitionBy("page_index")
-    band = boxes.groupBy("page_index").agg(F.min("x").alias("bx"), F.min("y").alias("by"), F.max(F.col("x") + F.col("w")).alias("br"), F.max(F.col("y") + F.col("h")).alias("bb"))
+    wide = F.max(F.col(min_w) if isinstance(min_w, str) else F.lit(float(min_w)))
+    band = boxes.groupBy("page_index").agg(F.min("x").alias("bx"), F.min("y").alias("by"), F.max(F.col("x") + F.col("w")).alias("br"), F.max(F.col("y") + F.col("h")).alias("bb"), wide.alias("least_w"))
     band = band.withColumn("bw", F.greatest(F.lit(1.0), F.col("br") - F.col("bx")).cast("int"))
-    inside = boxes.join(band, "page_index")
+    inside = boxes.select("page_index", *"xywh").join(band, "page_index")
     x0 = F.greatest(F.lit(0.0), F.col("x") - F.col("bx")).cast("int")
     x1 = F.least(F.col("x") + F.col("w") - F.col("bx"), F.col("bw").cast("double")).cast("int")
-    ink = inside.where(x1 > x0).select("page_index", "h", F.explode(F.sequence(x0, x1 - 1)).alias("c")).groupBy("page_index", "c").agg(F.sum("h").alias("ink"))
-    columns = band.select("page_index", "bx", "bw", (F.col("bb") - F.col("by")).alias("bh"), F.explode(F.sequence(F.lit(0), F.col("bw") - 1)).alias("c"))
-    white = columns.join(ink, ["page_index", "c"], "left").where(F.coalesce("ink", F.lit(0.0)) <= max_cover * F.col("bh"))
-    run = white.withColumn("run", F.col("c") - F.row_number().over(page.orderBy("c")))
-    runs = run.groupBy("page_index", "bx", "bw", "run").agg(F.min("c").alias("c0"), (F.max("c") + 1).alias("c1"))
-    wide = runs.where((F.col("c1") - F.col("c0") >= min_w) & (F.col("c0") > 0) & (F.col("c1") < F.col("bw"))).select("page_index", (F.col("bx") + F.col("c0")).alias("x0"), (F.col("bx") + F.col("c1")).alias("x1"))
-    sides = wide.join(boxes.select("page_index", "x", "w"), "page_index").groupBy("page_index", "x0", "x1").agg(F.count_if(F.col("x") + F.col("w") <= F.col("x0")).alias("left"), F.count_if(F.col("x") >= F.col("x1")).alias("right"))
+    event = lambda at, ink: F.struct(at.alias("c"), ink.alias("ink"))
+    ends = inside.where(x1 > x0).select("page_index", F.inline(F.array(event(x0, F.col("h")), event(x1, -F.col("h")))))
+    borders = band.select("page_index", F.inline(F.array(event(F.lit(0), F.lit(0.0)), event(F.col("bw"), F.lit(0.0)))))
+    at = ends.union(borders).groupBy("page_index", "c").agg(F.sum("ink").alias("ink")).join(band.select("page_index", "bx", "bw", (F.col("bb") - F.col("by")).alias("bh"), "least_w"), "page_index")
+    order = page.orderBy("c")
+    level = F.sum("ink").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    steps = at.withColumn("white", (F.col("c") < F.col("bw")) & (level <= max_cover * F.col("bh"))).withColumn("next", F.lead("c").over(order))
+    begins = F.col("white") & ~F.coalesce(F.lag("white").over(order), F.lit(False))
+    runs = steps.withColumn("run", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("white")
+    runs = runs.groupBy("page_index", "bx", "bw", "least_w", "run").agg(F.min("c").alias("c0"), F.max("next").alias("c1"))
+    found = runs.where((F.col("c1") - F.col("c0") >= F.col("least_w")) & (F.col("c0") > 0) & (F.col("c1") < F.col("bw"))).select("page_index", (F.col("bx") + F.col("c0")).alias("x0"), (F.col("bx") + F.col("c1")).alias("x1"))
+    sides = found.join(boxes.select("page_index", "x", "w"), "page_index").groupBy("page_index", "x0", "x1").agg(F.count_if(F.col("x") + F.col("w") <= F.col("x0")).alias("left"), F.count_if(F.col("x") >= F.col("x1")).alias("right"))
     return sides.where((F.col("left") >= least) & (F.col("right") >= least)).select("page_index", "x0", "x1")
 
 
@@ -106,8 +118,39 @@ def union_boxes(boxes: DataFrame, *keys: str) -> DataFrame:
     return full.select(*keys, "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"), "count", "mean_h")
 
 
-def clusters(boxes: DataFrame, gap: float, overlap: float = 0.5, reach: float = 200.0) -> DataFrame:
-    """page_index, seq, cluster: boxes joined when their rows overlap by half and their gap is small, transitively.
+def _sided(boxes: DataFrame, gap: float | str, mids: bool) -> DataFrame:
+    """``boxes`` with _gap, and with _mids: the middles of the page's gutters, in order (the column ``mids``, or none)."""
+    wide = F.col(gap) if isinstance(gap, str) else F.lit(float(gap))
+    none = F.array().cast("array<double>")
+    return boxes.withColumn("_gap", wide).withColumn("_mids", F.coalesce("mids", none) if mids else none)
+
+
+def _side(pdf):
+    """Between which gutters each box has its centre: boxes with different sides lie across a gutter's middle."""
+    import numpy as np
+
+    return np.searchsorted(np.asarray(pdf._mids.iloc[0], float), (pdf.x + pdf.w / 2).to_numpy(), side="right")
+
+
+class Groups:
+    """Places 0 to n - 1 in groups, named by their least."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def tie(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        self.root[max(a, b)] = min(a, b)
+
+
+def clusters(boxes: DataFrame, gap: float | str, overlap: float = 0.5, reach: float = 200.0, mids: bool = False) -> DataFrame:
+    """page_index, seq, cluster: boxes joined when their rows overlap by half and their gap is small, transitively; with ``mids``, never across a gutter.
 
     One page at a time: sorted by x, a sweep compares a box with those that still reach it.
     """
@@ -117,45 +160,42 @@ def clusters(boxes: DataFrame, gap: float, overlap: float = 0.5, reach: float =
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "seq"]).reset_index(drop=True)
         x, y, r, b, h = pdf.x.to_numpy(), pdf.y.to_numpy(), (pdf.x + pdf.w).to_numpy(), (pdf.y + pdf.h).to_numpy(), pdf.h.to_numpy()
-        root = np.arange(len(pdf))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
+        far, side, groups = float(pdf._gap.iloc[0]), _side(pdf), Groups(len(pdf))
         for i in range(len(pdf)):
-            end = np.searchsorted(x, r[i] + min(reach, gap), side="right")
+            end = np.searchsorted(x, r[i] + min(reach, far), side="right")
             near = np.arange(i + 1, end)
             rows = np.minimum(b[near], b[i]) - np.maximum(y[near], y[i])
-            for j in near[(rows >= overlap * np.minimum(h[near], h[i])) & (x[near] - r[i] <= gap)]:
-                a, c = top(i), top(int(j))
-                root[max(a, c)] = min(a, c)
-        roots = [top(i) for i in range(len(pdf))]
+            for j in near[(rows >= overlap * np.minimum(h[near], h[i])) & (x[near] - r[i] <= far) & (side[near] == side[i])]:
+                groups.tie(i, int(j))
+        roots = [groups.top(i) for i in range(len(pdf))]
         least = pdf.seq.groupby(roots).transform("min")
         return pd.DataFrame({"page_index": pdf.page_index, "seq": pdf.seq, "cluster": least.astype("int64")})
 
-    return boxes.select("page_index", "seq", *"xywh").groupBy("page_index").applyInPandas(page, "page_index long, seq long, cluster long")
+    given = _sided(boxes, gap, mids).select("page_index", "seq", *"xywh", "_gap", "_mids")
+    return given.groupBy("page_index").applyInPandas(page, "page_index long, seq long, cluster long")
 
 
-def merge_stacked(blocks: DataFrame, gap: float) -> DataFrame:
-    """page_index, block, into: blocks from the top down join the latest kept block that lies just above and overlaps half.
+def merge_stacked(blocks: DataFrame, gap: float | str, mids: bool = False) -> DataFrame:
+    """page_index, block, into: blocks from the top down join the latest kept block that lies just above and overlaps half; with ``mids``, on the same side of every gutter.
 
     A fold in order, so a page at a time.
     """
     import pandas as pd
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        from bisect import bisect_right
+
         kept: list[list] = []
         into = []
         pdf = pdf.sort_values(["y", "block"])
+        far, middles = float(pdf._gap.iloc[0]), list(pdf._mids.iloc[0])
+        side = lambda k: bisect_right(middles, (k[0] + k[2]) / 2)
         for row in pdf.itertuples():
             box = [row.x, row.y, row.x + row.w, row.y + row.h, row.block]
             for k in reversed(kept):
                 v_gap = max(box[1] - k[3], k[1] - box[3], 0.0)
                 h_over = max(min(k[2], box[2]) - max(k[0], box[0]), 0.0)
-                if v_gap <= gap and h_over >= 0.5 * min(k[2] - k[0], row.w):
+                if v_gap <= far and h_over >= 0.5 * min(k[2] - k[0], row.w) and side(k) == side(box):
                     k[:4] = [min(k[0], box[0]), min(k[1], box[1]), max(k[2], box[2]), max(k[3], box[3])]
                     into.append(k[4])
                     break
@@ -164,7 +204,8 @@ def merge_stacked(blocks: DataFrame, gap: float) -> DataFrame:
                 into.append(row.block)
         return pd.DataFrame({"page_index": pdf.page_index, "block": pdf.block, "into": into})
 
-    return blocks.select("page_index", "block", *"xywh").groupBy("page_index").applyInPandas(page, "page_index long, block long, into long")
+    given = _sided(blocks, gap, mids).select("page_index", "block", *"xywh", "_gap", "_mids")
+    return given.groupBy("page_index").applyInPandas(page, "page_index long, block long, into long")
 
 
 def rows_of_lines(lines: DataFrame, h: float) -> DataFrame:
@@ -196,8 +237,9 @@ def text_height(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("page_index").agg(F.greatest(upper_median(medium), F.lit(4.0)).alias("text_height"))
 
 
-def classify(blocks: DataFrame, rules: DataFrame, page_w: float, page_h: float, h: float) -> DataFrame:
-    """Blocks (page_index, block, x, y, w, h, count, mean_h) with kind and class_score, from each page's main columns."""
+def classify(blocks: DataFrame, rules: DataFrame, page_w: float, page_h: float, h: float | Column) -> DataFrame:
+    """Blocks (page_index, block, x, y, w, h, count, mean_h) with kind and class_score, from each page's main columns (mx0, mx1, my0, my1: null without any) and
+    the separators (page_index, y) above them. ``h``: the height of text."""
     page = Window.partitionBy("page_index")
     b = blocks.withColumn("widest", F.max("w").over(page))
     main = (F.col("w") >= 0.6 * F.col("widest")) & (F.col("count") >= 3)
@@ -217,7 +259,7 @@ def classify(blocks: DataFrame, rules: DataFrame, page_w: float, page_h: float,
     heading = inside & ((F.col("mean_h") > 1.25 * h) | ((w < 0.7 * F.col("widest")) & (F.col("count") <= 3) & yes(y < F.col("my0") + h)))
     kind = (
         F.when(top, F.when(w < 3 * h, "page_number").otherwise("header"))
-        .when(end, F.when((w < 5 * h) & yes(r >= F.col("mx1") - 4 * h), "catchword").otherwise("footer"))
+        .when(end, F.when((w < 5 * h) & F.coalesce(r >= F.col("mx1") - 4 * h, F.lit(True)), "catchword").otherwise("footer"))
         .when(outside & (w < 0.35 * page_w), "marginalia")
         .when(inside & small & (yes(y >= F.col("my1") - h) | yes(ruled)), "footnote")
         .when(heading, "heading")
@@ -225,7 +267,7 @@ def classify(blocks: DataFrame, rules: DataFrame, page_w: float, page_h: float,
         .otherwise("uncertain")
     )
     score = F.when(kind.isin("body", "header", "marginalia", "footnote"), 0.9).when(kind == "uncertain", 0.3).otherwise(0.7)
-    return b.withColumn("kind", kind).withColumn("class_score", score).drop("widest", "mx0", "mx1", "my0", "my1", "rules")
+    return b.withColumn("kind", kind).withColumn("class_score", score).drop("widest", "rules")
 
 
 def coverage(words: DataFrame, regions: DataFrame, page_w: float, page_h: float, edge: float = 2.0) -> DataFrame:
@@ -239,9 +281,109 @@ def coverage(words: DataFrame, regions: DataFrame, page_w: float, page_h: float,
     return out.withColumn("warning", 20 * F.col("words_uncovered") > F.col("words_total"))
 
 
-def split_regions(regions: DataFrame, at: float, margin: float = 2.0) -> DataFrame:
-    """Regions that a horizontal line crosses inside become two; the lower part is new."""
-    cut = (F.col("y") + margin < at) & (F.col("y") + F.col("h") - margin > at)
+def split_regions(regions: DataFrame, at: float | Column, margin: float = 2.0) -> DataFrame:
+    """Regions that a horizontal line crosses inside become two; the lower part is new. No line where ``at`` is null."""
+    at = at if isinstance(at, Column) else F.lit(at)
+    cut = F.coalesce((F.col("y") + margin < at) & (F.col("y") + F.col("h") - margin > at), F.lit(False))
     rest = [c for c in regions.columns if c not in ("y", "h")]
-    parts = F.when(cut, F.array(F.struct(F.lit(0).alias("part"), F.col("y").alias("y"), (F.lit(at) - F.col("y")).alias("h")), F.struct(F.lit(1).alias("part"), F.lit(at).alias("y"), (F.col("y") + F.col("h") - at).alias("h")))).otherwise(F.array(F.struct(F.lit(0).alias("part"), "y", "h")))
+    parts = F.when(cut, F.array(F.struct(F.lit(0).alias("part"), F.col("y").alias("y"), (at - F.col("y")).alias("h")), F.struct(F.lit(1).alias("part"), at.alias("y"), (F.col("y") + F.col("h") - at).alias("h")))).otherwise(F.array(F.struct(F.lit(0).alias("part"), "y", "h")))
     return regions.select(*rest, F.inline(parts))
+
+
+#: Gaps inside a line, between the lines of a block and between body blocks that are one, in heights of text; a separator is over so many
+#: heights long and at most so many points thick.
+LINE_GAP, BLOCK_GAP, BODY_GAP, RULE_LONG, RULE_THICK = 1.6, 1.3, 3.0, 3.0, 3.0
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """page_index, seq, block: lines (seq, box, _gap, _mids, text_height, page_h) stacked closely and overlapping are a block, on one side of every gutter. A
+    block is cut at gaps far above its own, below a running head and above a last line at the page's foot. Blocks are named by their least line.
+
+    Order and gaps of rows decide, so a page at a time.
+    """
+    import numpy as np
+    import pandas as pd
+
+    middle = lambda v: sorted(v)[len(v) // 2] if len(v) else 0.0
+
+    def cuts(rows: list[list[float]], h: float, page_h: float) -> list[bool]:
+        """After which rows (x0, y0, x1, y1) a block ends."""
+        gaps = [max(b[1] - a[3], 0.0) for a, b in zip(rows, rows[1:], strict=False)]
+        out = [g > max(2.5 * middle(gaps), 1.4 * h) for g in gaps]
+        width = max(r[2] - r[0] for r in rows)
+        if len(rows) >= 4 and rows[0][1] < 0.12 * page_h:
+            out[0] |= gaps[0] >= 1.5 * max(middle(gaps[1:]), 1.0) or rows[0][2] - rows[0][0] <= 0.8 * width
+        if len(rows) >= 4 and rows[-1][3] > 0.9 * page_h:
+            out[-1] |= rows[-1][2] - rows[-1][0] <= 0.6 * width
+        return out
+
+    def page(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "seq"]).reset_index(drop=True)
+        x, y, r, b, w = pdf.x.to_numpy(), pdf.y.to_numpy(), (pdf.x + pdf.w).to_numpy(), (pdf.y + pdf.h).to_numpy(), pdf.w.to_numpy()
+        far, h, page_h = float(pdf._gap.iloc[0]), float(pdf.text_height.iloc[0]), float(pdf.page_h.iloc[0])
+        side, groups = _side(pdf), Groups(len(pdf))
+        for i in range(len(pdf)):
+            near = np.arange(i + 1, np.searchsorted(y, b[i] + far, side="right"))
+            over = np.maximum(np.minimum(r[near], r[i]) - np.maximum(x[near], x[i]), 0.0)
+            for j in near[(over >= 0.3 * np.minimum(w[near], w[i])) & (side[near] == side[i])]:
+                groups.tie(i, int(j))
+        members: dict[int, list[int]] = {}
+        for i in range(len(pdf)):
+            members.setdefault(groups.top(i), []).append(i)
+        block = np.zeros(len(pdf), np.int64)
+        for own in members.values():
+            rows, row_of = [], []
+            for i in own:
+                if rows and abs((rows[-1][1] + rows[-1][3]) / 2 - (y[i] + b[i]) / 2) < 0.5 * h:
+                    a = rows[-1]
+                    rows[-1] = [min(a[0], x[i]), min(a[1], y[i]), max(a[2], r[i]), max(a[3], b[i])]
+                else:
+                    rows.append([x[i], y[i], r[i], b[i]])
+                row_of.append(len(rows) - 1)
+            part = np.concatenate([[0], np.cumsum(cuts(rows, h, page_h))]).astype(int)
+            of = part[row_of]
+            for k in set(of.tolist()):
+                ids = [i for i, p in zip(own, of, strict=True) if p == k]
+                block[ids] = min(int(pdf.seq.iloc[i]) for i in ids)
+        return pd.DataFrame({"page_index": pdf.page_index, "seq": pdf.seq, "block": block})
+
+    return lines.groupBy("page_index").applyInPandas(page, "page_index long, seq long, block long")
+
+
+def analyze(components: DataFrame, page_w: float, page_h: float) -> DataFrame:
+    """Ink components (page_index, seq, box) to regions: page_index, block, kind, column, box, line_count, class_score and reading_order.
+
+    Long thin components are separators. The others show the gutters, over which neither lines nor blocks reach; lines become blocks, blocks classes; body
+    blocks that stack are one region, in the column that the gutters inside the main text give it. Boxes are padded by a quarter of the text's height.
+    """
+    sized = components.join(text_height(components), "page_index")
+    rule = (F.col("w") > RULE_LONG * F.col("text_height")) & (F.col("h") <= RULE_THICK)
+    rules, glyphs = sized.where(rule), stored(sized.where(~rule).withColumn("_white", 0.4 * F.col("text_height")), "glyphs")
+    white = stored(gutters(glyphs, "_white"), "gutters")
+    per_page = white.groupBy("page_index").agg(F.sort_array(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("mids"), F.sort_array(F.collect_list(F.struct("x0", "x1"))).alias("gutters"))  # a page's gutters
+    glyphs = glyphs.join(per_page.select("page_index", "mids"), "page_index", "left").withColumn("_near", LINE_GAP * F.col("text_height"))
+    grouped = clusters(glyphs, "_near", mids=True).join(glyphs.select("page_index", "seq", *"xywh"), ["page_index", "seq"])
+    lines = union_boxes(grouped, "page_index", "cluster").withColumnRenamed("cluster", "seq").join(text_height(components), "page_index")
+    lines = lines.where((F.col("count") >= 2) | (F.col("w") >= F.col("text_height"))).join(per_page, "page_index", "left").withColumn("_near", BLOCK_GAP * F.col("text_height")).withColumn("page_h", F.lit(page_h))
+    lines = stored(_sided(lines, "_near", True).drop("_near"), "lines")
+    of = blocks_of(lines.select("page_index", "seq", *"xywh", "_gap", "_mids", "text_height", "page_h"))
+    b = lines.join(of, ["page_index", "seq"]).groupBy("page_index", "block", "text_height", "mids", "gutters").agg(
+        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.count(F.lit(1)).alias("count"), F.avg("mean_h").alias("mean_h"),
+    )
+    b = b.withColumn("w", F.col("_r") - F.col("x")).withColumn("h", F.col("_b") - F.col("y")).drop("_r", "_b")
+    classed = stored(classify(b, rules.select("page_index", "y"), page_w, page_h, F.col("text_height")), "classed")
+    body = classed.where("kind = 'body'").withColumn("_far", BODY_GAP * F.col("text_height"))
+    into = merge_stacked(body, "_far", mids=True)
+    m = classed.join(into, ["page_index", "block"], "left").withColumn("into", F.coalesce("into", "block"))
+    first = lambda c: F.min_by(c, F.struct("y", "block")).alias(c)
+    m = m.groupBy("page_index", F.col("into").alias("block")).agg(
+        *(first(c) for c in ("kind", "class_score", "text_height", "gutters", "mx0", "mx1")), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.sum("count").alias("line_count"),
+    )
+    t = F.col("text_height")
+    inner = F.filter(F.coalesce("gutters", F.array().cast("array<struct<x0:double,x1:double>>")), lambda g: (g["x0"] > F.col("mx0") + t) & (g["x1"] < F.col("mx1") - t))
+    column = F.when((F.col("kind") == "body") & (F.size(inner) > 0), F.size(F.filter(inner, lambda g: F.col("x") >= g["x0"]))).cast("long")
+    m = m.withColumn("column", column)
+    pad = 0.25 * t
+    x0, y0, x1, y1 = F.greatest(F.col("x") - pad, F.lit(0.0)), F.greatest(F.col("y") - pad, F.lit(0.0)), F.least(F.col("_r") + pad, F.lit(page_w)), F.least(F.col("_b") + pad, F.lit(page_h))
+    m = m.select("page_index", "block", "kind", "column", "class_score", "line_count", x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+    return reading_order(m.withColumn("region_id", F.col("block"))).drop("region_id")

@@ -2,35 +2,105 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions import text as T
 from quirewise.operators.sequences import context, page_order
 from quirewise.operators.state import latest
+from quirewise.sources.storage import stored
 
 #: Origins that show a person's decision.
 DECIDED = ("human", "manual", "accepted", "inserted")
 
 
-def decide(spans: DataFrame, events: DataFrame) -> DataFrame:
-    """Spans after decisions (event_id, span_id, revision, action, new_text), each guarded by the revision it saw.
+class Decisions(NamedTuple):
+    """What a batch of decisions leaves: the tables it changes, and a history row for each decision that held."""
+
+    spans: DataFrame
+    issues: DataFrame
+    proposals: DataFrame
+    history: DataFrame
+
+
+#: What a decision is recorded with so that it can be taken back.
+DECISION_PAYLOAD = (
+    "kind string, issue bigint, span bigint, page bigint, old_text string, new_text string, old_origin string, old_confidence double, old_revision bigint, new_revision bigint, "
+    "old_status string, proposal bigint, candidates array<bigint>, superseded array<struct<issue:bigint,status:string>>"
+)
+
+
+def decide(spans: DataFrame, issues: DataFrame, proposals: DataFrame, events: DataFrame) -> Decisions:
+    """Decisions (event_id, issue_id, revision, action, text) on issues (issue_id, page_index, span_id, status, proposal_id, candidates), in the order of
+    event_id.
 
-    Only the first event on a span's present revision can hold, as it raises the revision; others are refused.
-    Accept and edit change the text; skip and later don't.
+    A decision holds if its issue is open or deferred, its word is at the revision seen, and a text to accept or edit isn't blank.
+    Accept and edit set the word's text, accept the first candidate with that text and reject the others; skip rejects the leading proposal,
+    later defers it. A changed text raises the revision and supersedes the word's other issues, so on each word it is
+    the last decision that can hold: the first ending decision of each issue, and of those that change the text the first of each word,
+    say which hold, by sums and joins. Issues without candidates are structural: they can be skipped or deferred only.
     """
-    seen = events.select("event_id", "span_id", F.col("revision").alias("_seen"), "action", "new_text")
-    valid = seen.join(spans.select("span_id", F.col("revision").alias("_now")), "span_id").where("_seen = _now AND action IN ('accept', 'edit')")
-    first = valid.groupBy("span_id").agg(F.min_by("new_text", "event_id").alias("_text"), F.min("event_id").alias("applied"))
-    out = spans.join(first, "span_id", "left")
-    changed = F.col("applied").isNotNull()
-    return (
-        out.withColumn("text", F.coalesce("_text", "text"))
-        .withColumn("confidence", F.when(~changed, F.col("confidence")))
-        .withColumn("revision", F.col("revision") + changed.cast("long"))
-        .withColumn("origin", F.when(changed, "accepted").otherwise(F.col("origin")))
-        .drop("_text")
+    live = ("open", "deferred")
+    about = issues.select("issue_id", "page_index", "span_id", F.col("status").alias("_status"), "proposal_id", "candidates")
+    now = spans.select("span_id", F.col("text").alias("_old"), F.col("origin").alias("_origin"), F.col("confidence").alias("_confidence"), F.col("revision").alias("_now"))
+    asked = events.select("event_id", "issue_id", F.col("revision").alias("_seen"), "action", F.trim("text").alias("_new")).join(about, "issue_id").join(now, "span_id", "left")
+    takes = F.col("action").isin("accept", "edit")
+    fits = F.when(F.size("candidates") == 0, ~takes).otherwise((F.col("_seen") == F.col("_now")) & (~takes | (F.col("_new") != "")))
+    changes = takes & (F.col("_new") != F.col("_old"))
+    asked = stored(asked.where(F.col("_status").isin(*live) & F.coalesce(fits, F.lit(False))).withColumn("_changes", F.coalesce(changes, F.lit(False))), "asked")
+    ends = asked.where("action <> 'later'").groupBy("issue_id", "span_id").agg(F.min("event_id").alias("_ends"), F.min_by("_changes", "event_id").alias("_by_change"))
+    turns = ends.where("_by_change").groupBy("span_id").agg(F.min("_ends").alias("_turn"))
+    b = asked.join(ends.select("issue_id", "_ends"), "issue_id", "left").join(turns, "span_id", "left")
+    never = F.lit(2**63 - 1)
+    held = (F.col("event_id") <= F.coalesce("_turn", never)) & ((F.col("event_id") == F.col("_ends")) | ((F.col("action") == "later") & (F.col("event_id") < F.coalesce("_ends", never))))
+    deferred = F.max(F.when(F.col("action") == "later", F.col("event_id"))).over(Window.partitionBy("issue_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    b = b.where(held).withColumn("_was", F.when(deferred.isNotNull(), "deferred").otherwise(F.col("_status")))
+    b = stored(b.withColumn("_revision", F.when(F.col("_now").isNull(), 0).otherwise(F.col("_now") + F.col("_changes").cast("long"))), "held")
+
+    turned = b.where("_changes").select("span_id", F.col("_new").alias("_text"), F.when(F.col("action") == "edit", "manual").otherwise("accepted").alias("_by"), F.col("event_id").alias("_turn"), F.col("issue_id").alias("_issue"), F.col("_revision").alias("_raised"))
+    out = spans.join(turned.select("span_id", "_text", "_by"), "span_id", "left")
+    changed = F.col("_by").isNotNull()
+    new_spans = out.select(*(F.coalesce("_text", "text").alias(c) if c == "text" else F.coalesce("_by", "origin").alias(c) if c == "origin" else F.when(~changed, F.col(c)).alias(c) if c == "confidence" else (F.col(c) + changed.cast("long")).alias(c) if c == "revision" else F.col(c) for c in spans.columns))
+
+    said = F.when(F.col("action").isin("accept", "edit"), F.concat_ws(":", "action", "_new")).otherwise(F.col("action"))
+    last = b.groupBy("issue_id").agg(F.max_by(F.struct("action", said.alias("said"), "_new", "_revision", "_changes"), "event_id").alias("_last"), F.max((F.col("action") == "later").cast("int")).alias("_later"))
+    judged = issues.join(last, "issue_id", "left").join(turned.select("span_id", "_issue", F.col("_raised")), "span_id", "left")
+    ended = F.coalesce(F.col("_last.action") != "later", F.lit(False))
+    status = F.when(ended, "resolved").when(F.col("_last").isNotNull(), "deferred").otherwise(F.col("status"))
+    superseded = F.col("_issue").isNotNull() & (F.col("_issue") != F.col("issue_id")) & status.isin(*live)
+    new_issues = judged.select(*(F.when(superseded, "resolved").otherwise(status).alias(c) if c == "status" else F.col(c) for c in issues.columns), F.when(superseded, "superseded").otherwise(F.col("_last.said")).alias("decision"), F.when(superseded, F.col("_raised")).otherwise(F.col("_last._revision")).alias("span_revision"))
+
+    final = issues.join(last, "issue_id").select("proposal_id", "_last", "_later", F.transform("candidates", lambda c: F.struct(c["text"].alias("text"), c["proposal"].alias("proposal"))).alias("_c"))
+    chosen = F.get(F.filter("_c", lambda c: c["text"] == F.col("_last._new")), F.lit(0))["proposal"]
+    fate = lambda c: F.struct(c["proposal"].alias("proposal_id"), F.when(c["proposal"].eqNullSafe(F.col("_chosen")), "accepted").otherwise("rejected").alias("_fate"), (c["proposal"].eqNullSafe(F.col("proposal_id")) & (F.col("_later") == 1)).alias("_forced"))
+    lead = F.array(F.struct(F.col("proposal_id"), F.when(F.col("_last.action") == "skip", "rejected").otherwise("deferred").alias("_fate"), F.lit(True).alias("_forced")))
+    fates = final.withColumn("_chosen", chosen).withColumn("_all", F.filter("_c", lambda c: c["proposal"].isNotNull()))
+    fates = fates.select(F.inline(F.when(F.col("_last.action").isin("accept", "edit"), F.transform("_all", fate)).otherwise(F.filter(lead, lambda x: x["proposal_id"].isNotNull()))))
+    decided = proposals.join(fates, "proposal_id", "left")
+    moves = F.col("_fate").isNotNull() & (F.col("_forced") | F.col("status").isin(*live))
+    new_proposals = decided.select(*(F.when(moves, F.col("_fate")).otherwise(F.col("status")).alias(c) if c == "status" else F.col(c) for c in proposals.columns))
+
+    others = issues.where(F.col("status").isin(*live)).select("span_id", F.col("issue_id").alias("_other"), F.col("status").alias("_other_status"))
+    before = b.groupBy("issue_id").agg(F.min("_ends").alias("_gone"), F.min(F.when(F.col("action") == "later", F.col("event_id"))).alias("_put_off")).withColumnRenamed("issue_id", "_other")
+    lost = turned.join(others, "span_id").where("_other <> _issue").join(before, "_other", "left").where("_gone IS NULL OR _gone > _turn")
+    lost = lost.groupBy(F.col("_turn").alias("event_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("_other").alias("issue"), F.when(F.col("_put_off") < F.col("_turn"), "deferred").otherwise(F.col("_other_status")).alias("status")))).alias("_lost"))  # a word's issues
+    page = (F.col("page_index") + 1).cast("string")
+    quoted = lambda c: F.concat(F.lit("“"), F.col(c), F.lit("”"))
+    label = (
+        F.when(takes & ~F.col("_changes"), F.concat(F.lit("Confirmed "), quoted("_old")))
+        .when(takes, F.concat(F.when(F.col("action") == "edit", "Edited ").otherwise("Accepted "), quoted("_old"), F.lit(" → "), quoted("_new")))
+        .otherwise(F.concat(F.when(F.col("action") == "skip", "Kept ").otherwise("Deferred "), F.coalesce(quoted("_old"), F.lit("the area"))))
     )
+    fields = {
+        "kind": F.lit("decision"), "issue": F.col("issue_id"), "span": F.col("span_id"), "page": F.col("page_index"), "old_text": F.col("_old"), "new_text": F.when(takes, F.col("_new")).otherwise(F.col("_old")), "old_origin": F.col("_origin"),
+        "old_confidence": F.col("_confidence").cast("double"), "old_revision": F.col("_now"), "new_revision": F.col("_revision"), "old_status": F.col("_was"), "proposal": F.col("proposal_id"),
+        "candidates": F.transform(F.filter("candidates", lambda c: c["proposal"].isNotNull()), lambda c: c["proposal"]), "superseded": F.coalesce("_lost", F.array().cast("array<struct<issue:bigint,status:string>>")),
+    }
+    payload = F.to_json(F.struct(*(x.alias(n) for n, x in fields.items())))
+    history = b.join(lost, "event_id", "left").select(F.col("event_id").alias("history_id"), "page_index", F.lit("decision").alias("kind"), F.concat(label, F.lit(" · page "), page).alias("label"), payload.alias("payload"))
+    return Decisions(new_spans, new_issues, new_proposals, history)
 
 
 def group_preview(spans: DataFrame, original: str, replacement: str, approved: DataFrame) -> DataFrame:
@@ -66,37 +136,122 @@ def paragraph_set(spans: DataFrame, events: DataFrame) -> DataFrame:
     return b.withColumn("trailing", trailing).drop("_start", "_next")
 
 
-def undo(spans: DataFrame, entries: DataFrame) -> DataFrame:
-    """Spans after undoing entries (span_id, kind, old_text, old_revision, new_revision, old_start).
+class Undone(NamedTuple):
+    """The tables after undoing, and what became of each entry that was asked for (history_id, outcome)."""
+
+    spans: DataFrame
+    issues: DataFrame
+    proposals: DataFrame
+    pages: DataFrame
+    outcomes: DataFrame
 
-    A text change is taken back only on the revision it made; a paragraph change only while the start is what it set.
-    """
-    e = entries.select("span_id", "kind", "old_text", "new_revision", F.col("old_start").alias("_old_start"))
-    b = spans.join(e, "span_id", "left")
-    text = F.col("kind").isin("decision", "group", "edit") & (F.col("revision") == F.col("new_revision"))
-    para = (F.col("kind") == "paragraph") & (F.col("paragraph_start") != F.col("_old_start"))
-    b = b.withColumn("_text", F.coalesce(text, F.lit(False))).withColumn("_para", F.coalesce(para, F.lit(False)))
-    return (
-        b.withColumn("text", F.when(F.col("_text"), F.col("old_text")).otherwise(F.col("text")))
-        .withColumn("revision", F.col("revision") + F.col("_text").cast("long"))
-        .withColumn("paragraph_start", F.when(F.col("_para"), F.col("_old_start")).otherwise(F.col("paragraph_start")))
-        .withColumn("undone", F.col("_text") | F.col("_para"))
-        .drop("kind", "old_text", "new_revision", "_old_start", "_text", "_para")
-    )
 
+_WERE = "array<struct<{0}:bigint,status:string>>"
+#: All that entries of any kind are recorded with.
+UNDO_PAYLOAD = (
+    "kind string, page bigint, issue bigint, span bigint, old_text string, new_text string, old_origin string, old_confidence double, new_revision bigint, old_status string, proposal bigint, candidates array<bigint>, "
+    f"superseded {_WERE.format('issue')}, start boolean, was boolean, prev bigint, prev_trailing string, between array<struct<span:bigint,start:boolean,trailing:string>>, prev_revision bigint, prev_outstanding bigint, "
+    f"items array<struct<span:bigint,page:bigint,old_text:string,new_text:string,old_trailing:string,old_origin:string,old_confidence:double,new_revision:bigint,issues:{_WERE.format('issue')},proposals:{_WERE.format('proposal')}>>"
+)
 
-def apply_cross_page(spans: DataFrame, joins: DataFrame, approved: DataFrame) -> DataFrame:
-    """Joins (head_id, tail_id, head_revision, replacement): the head takes the whole word, the tail is emptied.
 
-    Refused if either word is protected or decided by a person, on an approved page, or changed since.
+def undo(spans: DataFrame, issues: DataFrame, proposals: DataFrame, pages: DataFrame, history: DataFrame) -> Undone:
+    """The tables after undoing the entries of ``history`` (history_id, payload, undone), each whole or not at all.
+
+    Decisions, groups and typed edits are taken back if every word they changed is at the revision that they made; a paragraph break if the
+    word still starts (or not) as it was set; an approval always. What they settled is open again. Two entries
+    on one word can't both hold, as each taken back raises the word's revision.
+    """
+    h = history.select("history_id", "undone", F.from_json("payload", UNDO_PAYLOAD).alias("p")).select("history_id", "undone", "p.*")
+    h = stored(h, "undo")
+    single = h.where("kind = 'decision'").select("history_id", "kind", "page", F.col("span").alias("span_id"), "old_text", "new_text", F.lit(None).cast("string").alias("old_trailing"), "old_origin", "old_confidence", "new_revision", F.array(F.struct(F.col("issue"), F.col("old_status").alias("status"))).alias("own"), F.array().cast(_WERE.format("proposal")).alias("were"))
+    many = h.where("kind IN ('group', 'edit')").select("history_id", "kind", F.col("page").alias("_page"), F.inline("items"))
+    many = many.select("history_id", "kind", F.coalesce("page", "_page").alias("page"), F.col("span").alias("span_id"), "old_text", "new_text", "old_trailing", "old_origin", "old_confidence", "new_revision", F.col("issues").alias("own"), F.col("proposals").alias("were"))
+    items = single.unionByName(many).withColumn("changed", ~F.col("old_text").eqNullSafe(F.col("new_text")))
+    breaks = h.where("kind = 'paragraph'").select("history_id", "page", F.col("span").alias("span_id"), "start", F.coalesce("was", ~F.col("start")).alias("was"), "prev", "prev_trailing", "between")
+    now = spans.select("span_id", F.col("revision").alias("_now"), F.col("paragraph_start").alias("_starts"))
+    moved = items.join(now, "span_id", "left").where(((F.col("kind") != "decision") | F.col("changed")) & ~F.col("new_revision").eqNullSafe(F.col("_now"))).select("history_id")
+    moved = moved.union(breaks.join(now, "span_id", "left").where(~F.col("start").eqNullSafe(F.col("_starts"))).select("history_id")).distinct().withColumn("_moved", F.lit(True))
+    outcome = F.when(F.col("undone"), "already undone").when(~F.col("kind").isin("decision", "group", "edit", "paragraph", "approve") | F.col("kind").isNull(), "cannot be undone").when(F.col("_moved"), "changed since").otherwise("undone")
+    outcomes = stored(h.select("history_id", "kind", "undone").join(moved, "history_id", "left").select("history_id", outcome.alias("outcome")), "outcomes")
+    good = outcomes.where("outcome = 'undone'").select("history_id")
+    items, breaks = stored(items.join(good, "history_id", "left_semi"), "items"), stored(breaks.join(good, "history_id", "left_semi"), "breaks")
+
+    sets = items.where("changed OR kind = 'edit'").select("span_id", F.lit(True).alias("_text"), "old_text", F.when(F.col("kind") == "edit", F.coalesce("old_trailing", F.lit(" "))).alias("old_trailing"), "old_origin", "old_confidence")
+    starts = breaks.select("span_id", F.col("was").alias("_was")).unionByName(breaks.select(F.inline("between")).select(F.col("span").alias("span_id"), F.col("start").alias("_was")))
+    gaps = breaks.where("prev IS NOT NULL AND prev_trailing IS NOT NULL").select(F.col("prev").alias("span_id"), F.col("prev_trailing").alias("_gap")).unionByName(breaks.select(F.inline("between")).select(F.col("span").alias("span_id"), F.col("trailing").alias("_gap")))
+    once = lambda df, c: df.groupBy("span_id").agg(F.first(c).alias(c))
+    b = spans.join(sets, "span_id", "left").join(once(starts, "_was"), "span_id", "left").join(once(gaps, "_gap"), "span_id", "left")
+    text = F.coalesce("_text", F.lit(False))
+    now = {
+        "text": F.when(text, F.col("old_text")).otherwise(F.col("text")), "origin": F.when(text, F.col("old_origin")).otherwise(F.col("origin")), "confidence": F.when(text, F.col("old_confidence")).otherwise(F.col("confidence")).cast(spans.schema["confidence"].dataType),
+        "trailing": F.coalesce("_gap", "old_trailing", "trailing"), "revision": F.col("revision") + text.cast("long"), "paragraph_start": F.coalesce("_was", "paragraph_start"),
+    }
+    new_spans = b.select(*(now.get(c, F.col(c)).alias(c) for c in spans.columns))
+
+    raised = F.col("new_revision") + (F.col("changed") | (F.col("kind") != "decision")).cast("long")
+    own = items.select(raised.alias("_at"), F.inline("own")).select(F.col("issue").alias("issue_id"), F.col("status").alias("_status"), "_at")
+    lost = h.where("kind = 'decision'").join(good, "history_id", "left_semi").select((F.col("new_revision") + (~F.col("old_text").eqNullSafe(F.col("new_text"))).cast("long")).alias("_at"), F.inline("superseded")).select(F.col("issue").alias("issue_id"), F.col("status").alias("_status"), "_at")
+    back = own.unionByName(lost).where("issue_id IS NOT NULL").groupBy("issue_id").agg(F.max_by(F.struct("_status", "_at"), "_at").alias("_back"))
+    typed = items.where("kind = 'edit'").select("span_id", (F.col("new_revision") + 1).alias("_typed"))
+    b = issues.join(back, "issue_id", "left").join(typed, "span_id", "left")
+    reopened = F.col("_back").isNotNull()
+    now = {
+        "status": F.coalesce("_back._status", "status"), "decision": F.when(~reopened, F.col("decision")),
+        "span_revision": F.coalesce("_back._at", F.when(F.col("status").isin("open", "deferred"), F.col("_typed")), "span_revision"),
+    }
+    new_issues = b.select(*(now.get(c, F.col(c)).alias(c) for c in issues.columns))
+
+    decided = h.where("kind = 'decision'").join(good, "history_id", "left_semi").select(F.explode(F.array_union(F.coalesce("candidates", F.array().cast("array<bigint>")), F.array("proposal"))).alias("proposal_id")).distinct().withColumn("_open", F.lit(True))
+    grouped = items.where("kind = 'group'").select("span_id").distinct().withColumn("_group", F.lit(True))
+    were = items.where("kind = 'edit'").select(F.inline("were")).groupBy(F.col("proposal").alias("proposal_id")).agg(F.first("status").alias("_were"))
+    b = proposals.join(decided, "proposal_id", "left").join(were, "proposal_id", "left").join(grouped, "span_id", "left")
+    opened = (F.col("_open") & F.col("status").isin("accepted", "rejected", "deferred")) | (F.col("_group") & F.col("status").isin("accepted", "rejected"))
+    now = {"status": F.when(F.coalesce(opened, F.lit(False)), "open").otherwise(F.coalesce("_were", "status"))}
+    new_proposals = b.select(*(now.get(c, F.col(c)).alias(c) for c in proposals.columns))
+
+    touched = items.where("kind <> 'edit' AND changed").select("page").unionByName(items.where("kind = 'edit'").select("history_id", "page").distinct().select("page")).unionByName(breaks.select("page"))
+    touched = touched.groupBy(F.col("page").alias("page_index")).agg(F.count(F.lit(1)).alias("_times"))
+    back = h.where("kind = 'approve'").join(good, "history_id", "left_semi").groupBy(F.col("page").alias("page_index")).agg(F.min_by(F.struct("prev_revision", "prev_outstanding"), "history_id").alias("_back"))
+    b = pages.join(touched, "page_index", "left").join(back, "page_index", "left")
+    gone = F.col("_back").isNotNull() & F.col("_back.prev_revision").isNull()
+    now = {
+        "text_revision": F.col("text_revision") + F.coalesce("_times", F.lit(0)), "approved_text": F.when(~gone, F.coalesce("_back.prev_revision", "approved_text")), "approved_layout": F.when(~gone, F.col("approved_layout")),
+        "approved_outstanding": F.when(gone, 0).when(F.col("_back").isNotNull(), F.coalesce("_back.prev_outstanding", F.lit(0))).otherwise(F.col("approved_outstanding") if "approved_outstanding" in pages.columns else F.lit(0)),
+    }
+    new_pages = b.select(*(now.get(c, F.col(c)).alias(c) for c in pages.columns))
+    return Undone(new_spans, new_issues, new_proposals, new_pages, outcomes)
+
+
+def apply_cross_page(spans: DataFrame, joins: DataFrame, approved: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Spans (with anchors) after joins (head_id, tail_id, head_revision, original, replacement): the head takes the whole word, the tail's anchors and its
+    line break, the tail is emptied.
+
+    Refused if either word is protected, without anchors or decided by a person, on an approved page or changed since, or if another
+    reading of the head (``proposals``: proposal_id, span_id, status) than the join's own (proposal_id, or null) is open or deferred. Of joins that touch, over a page of a
+    single word, the later one waits for the next pass.
     """
-    free = spans.join(approved.select("page_index"), "page_index", "left_anti").where(~F.col("protected") & F.col("origin").isin("ocr", "auto_applied") & (F.col("text") != ""))
-    head = free.select(F.col("span_id").alias("head_id"), F.col("revision").alias("head_revision"))
-    tail = free.select(F.col("span_id").alias("tail_id"))
-    ok = joins.join(head, ["head_id", "head_revision"], "left_semi").join(tail, "tail_id", "left_semi")
-    changes = ok.select(F.col("head_id").alias("span_id"), F.col("replacement").alias("_new")).union(ok.select("tail_id", F.lit("")))
-    out = spans.join(changes, "span_id", "left")
-    return out.withColumn("revision", F.col("revision") + F.col("_new").isNotNull().cast("long")).withColumn("text", F.coalesce("_new", "text")).drop("_new")
+    free = spans.join(approved.select("page_index"), "page_index", "left_anti").where(~F.col("protected") & F.col("origin").isin("ocr", "auto_applied") & (F.size("anchors") > 0))
+    head = free.select(F.col("span_id").alias("head_id"), F.col("revision").alias("head_revision"), F.col("text").alias("_a"))
+    tail = free.select(F.col("span_id").alias("tail_id"), F.col("text").alias("_b"), F.col("anchors").alias("_anchors"), F.col("trailing").alias("_gap"))
+    ok = joins.join(head, ["head_id", "head_revision"]).join(tail, "tail_id").where(F.col("original") == F.concat("_a", F.lit(" / "), "_b"))
+    rival = proposals.where("status IN ('open', 'deferred')").select(F.col("span_id").alias("head_id"), F.col("proposal_id").alias("_rival"))
+    ok = ok.join(rival, (rival["head_id"] == ok["head_id"]) & ~rival["_rival"].eqNullSafe(ok["proposal_id"]), "left_anti")
+    ok = ok.join(ok.select(F.col("tail_id").alias("head_id")), "head_id", "left_anti")
+    changes = ok.select(F.col("head_id").alias("span_id"), F.col("replacement").alias("_new"), "_anchors", F.when(F.contains("_gap", F.lit("\n")), F.col("_gap")).alias("_gap"))
+    changes = changes.unionByName(ok.select(F.col("tail_id").alias("span_id"), F.lit("").alias("_new"), F.lit(None).cast(spans.schema["anchors"].dataType).alias("_anchors"), F.lit("").alias("_gap")))
+    b = spans.join(changes, "span_id", "left")
+    hit = F.col("_new").isNotNull()
+    now = {
+        "text": F.coalesce("_new", "text"), "trailing": F.coalesce("_gap", "trailing"), "anchors": F.when(F.col("_anchors").isNotNull(), F.concat("anchors", "_anchors")).otherwise(F.col("anchors")), "revision": F.col("revision") + hit.cast("long"),
+        "origin": F.when(hit, "auto_applied").otherwise(F.col("origin")), "confidence": F.when(~hit, F.col("confidence")),
+    }
+    return b.select(*(now.get(c, F.col(c)).alias(c) for c in spans.columns))
+
+
+def anchored(spans: DataFrame) -> DataFrame:
+    """``spans`` with anchors: where on which page each word stands in the scan, at first its own box alone."""
+    return spans.withColumn("anchors", F.array(F.struct(F.col("page_index").alias("page"), *"xywh")))
 
 
 def approve(pages: DataFrame, issues: DataFrame, requests: DataFrame) -> DataFrame:
@@ -144,14 +299,38 @@ def flags(spans: DataFrame, events: DataFrame) -> DataFrame:
     return spans.select("page_index", "seq", "span_id").join(last, "span_id").select("page_index", "seq", "span_id", F.lit(95).cast("long").alias("priority"))
 
 
-def region_edit(regions: DataFrame, merged: Column) -> DataFrame:
-    """Regions for which ``merged`` holds become one per page, with their common box; all are put in automatic order."""
-    from quirewise.operators.layout import class_rank
+def region_edit(regions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Regions after a batch of layout edits, a kind after another: removed ones go, retyped ones change kind and structure, merged ones take the first one's
+    place with the common box and the sum of lines, split ones get a lower part; then the order is the given list's, or is kept, and dense.
 
-    key = F.when(merged, -1).otherwise(F.col("region_id"))
-    b = regions.groupBy("page_index", key.alias("_key")).agg(F.min("region_id").alias("region_id"), F.min_by("kind", "region_order").alias("kind"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.sum("line_count").alias("line_count"))
-    order = Window.partitionBy("page_index").orderBy(class_rank(F.col("kind")), "y", "x", "region_id")
-    return b.select("page_index", "region_id", "kind", "x", "y", (F.col("_r") - F.col("x")).alias("w"), (F.col("_b") - F.col("y")).alias("h"), "line_count", (F.row_number().over(order) - 1).cast("long").alias("region_order"))
+    ``edits``: page_index, action, region_id and, by action, kind (retype), into (merge: the region that takes it in), at (split), position (reorder:
+    its place in the list; with one such edit on a page, regions that the list leaves out go), none (auto: the page's regions are put in automatic order).
+    """
+    from quirewise.operators.layout import class_rank, split_regions, structure_of
+
+    of = lambda action, *fields: edits.where(F.col("action") == action).select("page_index", "region_id", *(F.col(f).alias(f"_{f}") for f in fields))
+    key = ["page_index", "region_id"]
+    b = regions.join(of("remove"), key, "left_anti").join(of("retype", "kind"), key, "left")
+    b = b.withColumn("manual", F.col("_kind").isNotNull()).withColumn("structure", F.when((F.col("_kind") != F.col("kind")) & F.col("_kind").isin("heading", "body"), structure_of(F.col("_kind"))).otherwise(structure_of(F.col("kind"))))
+    b = b.withColumn("kind", F.coalesce("_kind", "kind")).drop("_kind")
+    there = b.select("page_index", F.col("region_id").alias("_into"), F.lit(True).alias("_there"))
+    merges = of("merge", "into").join(there, ["page_index", "_into"], "left_semi").where("region_id <> _into")
+    b = b.join(merges, key, "left").withColumn("_first", F.coalesce("_into", "region_id"))
+    own = lambda c: F.min_by(c, F.col("_into").isNotNull())
+    b = b.groupBy("page_index", F.col("_first").alias("region_id")).agg(
+        *(own(c).alias(c) for c in ("kind", "structure", "region_order")), (F.bool_or("manual") | (F.count(F.lit(1)) > 1)).alias("manual"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("_r"), F.max(F.col("y") + F.col("h")).alias("_b"), F.sum("line_count").alias("line_count"),
+    )
+    b = b.withColumn("w", F.col("_r") - F.col("x")).withColumn("h", F.col("_b") - F.col("y")).drop("_r", "_b")
+    b = split_regions(b.join(of("split", "at"), key, "left"), F.col("_at")).drop("_at")
+    b = b.withColumn("line_count", F.when(F.col("part") == 1, 0).otherwise(F.col("line_count")))
+    listed = of("reorder", "position")
+    asked = listed.select("page_index", F.lit(True).alias("_listed")).distinct()
+    auto = edits.where("action = 'auto'").select("page_index", F.lit(True).alias("_auto")).distinct()
+    b = b.join(listed, key, "left").join(asked, "page_index", "left").join(auto, "page_index", "left").where("_listed IS NULL OR _position IS NOT NULL")
+    by_rank = F.when(F.col("_auto"), F.struct(class_rank(F.col("kind")).cast("double").alias("a"), F.col("y").alias("b"), F.col("x").alias("c")))
+    by_hand = F.struct(F.coalesce("_position", "region_order").cast("double").alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"))
+    order = Window.partitionBy("page_index").orderBy(F.coalesce(by_rank, by_hand), "region_id", "part")
+    return b.select("page_index", "region_id", "part", "kind", "structure", "manual", "x", "y", "w", "h", "line_count", (F.row_number().over(order) - 1).cast("long").alias("region_order"))
 
 
 def region_merge(spans: DataFrame, reread: DataFrame, least: float = 0.4) -> DataFrame:

@@ -10,6 +10,11 @@ from quirewise.operators.layout import upper_median
 
 #: Classes of region that are one paragraph each.
 FURNITURE = ("header", "footer", "page_number", "catchword", "marginalia")
+#: A line with so many words says where its region's left edge is; a paragraph is indented by over so many letter widths or such a share of
+#: the page's width, follows a line shorter than such a share of the widest, or a pitch of over so many times the usual one.
+EDGE_WORDS, INDENT_LETTERS, INDENT_PAGE, SHORT_LINE, WIDE_PITCH = 3, 1.5, 0.015, 0.7, 1.7
+#: Words shown on either side of one; sentences and words of context.
+AROUND, SENTENCES, CONTEXT_WORDS = 4, 2, 120
 
 
 def page_order(*order: str, by: tuple[str, ...] = ("page_index",)) -> Window:
@@ -34,15 +39,15 @@ def paragraph_starts(lines: DataFrame, page_w: float) -> DataFrame:
     prev = lambda c: F.lag(c).over(order)
     b = lines.withColumn("_pitch", F.col("y") - prev("y")).withColumn("_prev_w", prev("w")).withColumn("_prev_last", prev("last_text"))
     per = b.groupBy("page_index", "region_kind").agg(
-        upper_median(F.when(F.col("words") >= 3, F.col("x"))).alias("_left"), F.min("x").alias("_min_x"), F.max("w").alias("_widest"), upper_median(F.when(F.col("_pitch") > 0, F.col("_pitch"))).alias("_usual"),
+        upper_median(F.when(F.col("words") >= EDGE_WORDS, F.col("x"))).alias("_left"), F.min("x").alias("_min_x"), F.max("w").alias("_widest"), upper_median(F.when(F.col("_pitch") > 0, F.col("_pitch"))).alias("_usual"),
         F.sort_array(F.flatten(F.collect_list("char_ws"))).alias("_cw"),
     )
     char_w = F.greatest(F.get("_cw", F.floor(F.size("_cw") / 2).cast("int")), F.lit(1.0))
-    per = per.withColumn("_indent", F.greatest(1.5 * char_w, F.lit(0.015 * page_w))).withColumn("_edge", F.when(F.col("_left") == 0, F.col("_min_x")).otherwise(F.col("_left"))).drop("_cw", "_left", "_min_x")
+    per = per.withColumn("_indent", F.greatest(INDENT_LETTERS * char_w, F.lit(INDENT_PAGE * page_w))).withColumn("_edge", F.when(F.col("_left") == 0, F.col("_min_x")).otherwise(F.col("_left"))).drop("_cw", "_left", "_min_x")
     b = b.join(per, ["page_index", "region_kind"])
     indented = F.col("x") - F.col("_edge") > F.col("_indent")
-    short = (F.col("_prev_w") < 0.7 * F.col("_widest")) & ~F.endswith("_prev_last", F.lit("-"))
-    gap = (F.col("_usual") > 0) & (F.col("_pitch") > 1.7 * F.col("_usual"))
+    short = (F.col("_prev_w") < SHORT_LINE * F.col("_widest")) & ~F.endswith("_prev_last", F.lit("-"))
+    gap = (F.col("_usual") > 0) & (F.col("_pitch") > WIDE_PITCH * F.col("_usual"))
     starts = (F.col("rank") == 1) | (~F.col("region_kind").isin(*FURNITURE) & (indented | short | gap))
     return b.withColumn("starts", starts).drop("_pitch", "_prev_w", "_prev_last", "_widest", "_usual", "_indent", "_edge", "char_ws")
 
@@ -60,7 +65,7 @@ def hyphen_pairs(lines: DataFrame) -> DataFrame:
     return pairs.select("page_index", "line_no", F.col("last_text").alias("head"), F.col("_next").alias("tail"))
 
 
-def context(words: DataFrame, around: int = 4) -> Column:
+def context(words: DataFrame, around: int = AROUND) -> Column:
     """A window column: the words around each, itself in brackets."""
     order = page_order("seq")
     before = [F.lag("text", k).over(order) for k in range(around, 0, -1)]
@@ -102,7 +107,7 @@ def grammar_flags(words: DataFrame) -> DataFrame:
     return b.select("page_index", "seq", F.inline(F.filter(flags, lambda f: f.isNotNull())))
 
 
-def context_sentences(words: DataFrame, sentences: int = 2, most: int = 120) -> DataFrame:
+def context_sentences(words: DataFrame, sentences: int = SENTENCES, most: int = CONTEXT_WORDS) -> DataFrame:
     """The words of a page's last ``sentences`` sentences, at most ``most`` words, in order."""
     back = Window.partitionBy("page_index").orderBy(F.desc("seq"))
     ends = T.ends_sentence(F.col("text")).cast("long")

@@ -5,7 +5,7 @@ Writes are events; a table's present state is a fold over them, so nothing is ch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNDOABLE = ("decision", "group", "edit", "approve", "paragraph")
@@ -58,12 +58,12 @@ def save_layout(regions: DataFrame, page_w: float = 612.0, page_h: float = 792.0
     return cut.withColumn("region_order", order.cast("long")).withColumn("manual", F.lit(True))
 
 
-def import_pages(spark: SparkSession, count: int, scope: list[tuple[int, int]]) -> DataFrame:
-    """A row for each source page; ``scope``: inclusive ranges, counted from 1."""
+def import_pages(source: DataFrame, scope: list[tuple[int, int]]) -> DataFrame:
+    """A row for each page of ``source`` (page_index); ``scope``: inclusive ranges, counted from 1."""
     inside = F.lit(False)
     for lo, hi in scope:
-        inside = inside | (F.col("id") + 1).between(lo, hi)
-    return spark.range(count).select(F.col("id").alias("page_index"), F.when(inside, "queued").otherwise("unprocessed").alias("status"))
+        inside = inside | (F.col("page_index") + 1).between(lo, hi)
+    return source.select("page_index", F.when(inside, "queued").otherwise("unprocessed").alias("status"))
 
 
 def export_log(exports: DataFrame) -> DataFrame:

@@ -277,10 +277,17 @@ def top_cache_evict(v):
 # ---- sets
 
 
-@query("set_scope_union", "SELECT * FROM (VALUES (1, 110), (120, 130)) t(lo, hi)")
+_MERGED = """SELECT book, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(CASE WHEN far IS NULL OR lo > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT book, lo, hi, max(hi) OVER (PARTITION BY book ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT book, greatest(lo, 1) AS lo, least(hi, {total}) AS hi FROM {ranges}) WHERE lo <= hi)) GROUP BY book, island"""
+
+
+@query("set_scope_union", _MERGED.format(total=520, ranges="scopes"), {"scopes": "SELECT o_custkey AS book, o_orderkey % 500 + CASE o_orderstatus WHEN 'F' THEN 0 ELSE 10 END AS lo, o_orderkey % 500 + CASE o_orderstatus WHEN 'F' THEN 0 ELSE 10 END + o_orderkey % 37 AS hi FROM orders"})
 def set_scope_union(v):
-    a, b = v.spark.createDataFrame([(1, 50)], "lo int, hi int"), v.spark.createDataFrame([(51, 110), (120, 130), (400, 500)], "lo int, hi int")
-    return sets.merge_ranges(a.union(b).withColumn("book", F.lit(1)), 200, "book").select("lo", "hi")
+    """Two scopes a book, of filled orders and of the others, as one."""
+    k = F.col("o_orderkey")
+    of = lambda rows, at: rows.select(F.col("o_custkey").alias("book"), (k % 500 + at).alias("lo"), (k % 500 + at + k % 37).alias("hi"))
+    orders = v.table("orders")
+    return sets.merge_ranges(of(orders.where("o_orderstatus = 'F'"), 0).union(of(orders.where("o_orderstatus <> 'F'"), 10)), 520, "book").select("book", "lo", "hi")
 
 
 @query("set_lexicon_union", "SELECT token FROM lexicon UNION SELECT lower(p_name) FROM part UNION SELECT lower(text) FROM spans WHERE protected AND text <> ''")

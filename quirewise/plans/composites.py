@@ -8,8 +8,8 @@ from quirewise.functions import geometry as G
 from quirewise.functions import text as T
 from quirewise.operators import ai, edits, export, issues, layout, matching, pipeline, reconstruct, review, state
 from quirewise.plans.registry import query
-from quirewise.sources import sinks, storage
-from quirewise.sources.views import PAGE_W
+from quirewise.sources import sinks, storage, views
+from quirewise.sources.views import PAGE_H, PAGE_W
 
 _STRIP = r"regexp_replace({0}, '^[^\p{{L}}\p{{N}}''’]+|[^\p{{L}}\p{{N}}''’]+$', '', 'g')"
 
@@ -29,59 +29,121 @@ def broken(v):
 @query("op_reconstruct")
 def op_reconstruct(v):
     spans, _ = reconstruct.reconstruct(broken(v), v.regions, v.lexicon, PAGE_W)
-    return spans.select("page_index", "position", "text", "region_kind", "paragraph_start", "origin", "confidence")
+    return spans.select("page_index", "position", "text", "trailing", "region_kind", "paragraph_start", "origin", "confidence", "revision", F.size("anchors").alias("anchors"))
 
 
 @query("op_reconstruct_proposals")
 def op_reconstruct_proposals(v):
-    return reconstruct.reconstruct(broken(v), v.regions, v.lexicon, PAGE_W)[1]
-
-
-_SP = "SELECT page_index, seq AS position, text FROM words"
+    return reconstruct.reconstruct(broken(v), v.regions, v.lexicon, PAGE_W)[1].select("page_index", "span", "position", "kind", "score", "original", "replacement", "cross_page", "auto_applied")
+
+
+_AUTO = {
+    "au_words": "SELECT page_index, seq AS position, text, \"trailing\", origin, confidence, revision, protected, 1 AS n_anchors FROM spans",
+    "au_proposals": """SELECT s.page_index, s.position, s.position + 1 AS tail_position, 0 AS nth, CASE WHEN s.position % 5 = 0 THEN s.revision + 1 ELSE s.revision END AS span_revision, 'hyphen_join' AS kind, CASE WHEN s.position % 11 = 0 THEN 80 ELSE 96 END AS score,
+      s.text || '+' AS replacement, s.position % 13 = 0 AS cross_page, FALSE AS auto_applied FROM au_words s WHERE s.position % 7 IN (2, 3, 4)
+      UNION ALL SELECT page_index, seq, NULL, nth + 1, revision, kind, score, replacement, FALSE, status = 'applied_auto' FROM proposals""",
+    "au_may": """SELECT p.*, t.position IS NOT NULL AS tailed FROM au_proposals p JOIN au_words s ON s.page_index = p.page_index AND s.position = p.position AND s.revision = p.span_revision LEFT JOIN au_words t ON t.page_index = p.page_index AND t.position = p.tail_position AND NOT t.protected
+      WHERE NOT s.protected AND NOT p.auto_applied AND NOT p.cross_page AND p.score >= 90 AND p.kind IN ('hyphen_join', 'ocr_confusion') AND (p.kind <> 'hyphen_join' OR t.position IS NOT NULL)""",
+    "au_first": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_index, position ORDER BY nth) AS rn FROM au_may) WHERE rn = 1",
+    "au_chain": """SELECT *, row_number() OVER (PARTITION BY page_index, run ORDER BY position) AS place FROM (SELECT *, sum(fresh) OVER (PARTITION BY page_index ORDER BY position) AS run FROM (
+      SELECT *, CASE WHEN lag(tail_position) OVER (PARTITION BY page_index ORDER BY position) = position THEN 0 ELSE 1 END AS fresh FROM au_first WHERE kind = 'hyphen_join'))""",
+    "au_joins": "SELECT * FROM au_chain WHERE place % 2 = 1",
+    "au_done": "SELECT page_index, position, tail_position, nth, replacement FROM au_joins UNION ALL SELECT page_index, position, NULL, nth, replacement FROM au_first WHERE kind <> 'hyphen_join' AND NOT EXISTS (SELECT 1 FROM au_joins WHERE au_joins.page_index = au_first.page_index AND au_joins.tail_position = au_first.position)",
+}
+
+
+def _proposed(v):
+    """Words with anchors, and their proposals: joins at three of every seven places, so that they touch, some stale, low or over a page break; then the table's own."""
+    spans = review.anchored(v.spans).select("page_index", F.col("seq").alias("position"), "text", "trailing", "origin", "confidence", "revision", "protected", "anchors")
+    p = F.col("position")
+    joins = spans.where((p % 7).isin(2, 3, 4)).select(
+        "page_index", "position", (p + 1).alias("tail_position"), F.lit(0).cast("long").alias("nth"), (F.col("revision") + (p % 5 == 0).cast("long")).alias("span_revision"), F.lit("hyphen_join").alias("kind"), F.when(p % 11 == 0, 80).otherwise(96).cast("long").alias("score"),
+        F.concat("text", F.lit("+")).alias("replacement"), (p % 13 == 0).alias("cross_page"), F.lit(False).alias("auto_applied"),
+    )
+    own = v.proposals.select("page_index", F.col("seq").alias("position"), F.lit(None).cast("long").alias("tail_position"), F.col("nth") + 1, "revision", "kind", "score", "replacement", F.lit(False), F.col("status") == "applied_auto")
+    return spans, joins.union(own)
 
 
 @query(
     "op_auto_apply",
-    "SELECT page_index, CAST(row_number() OVER (PARTITION BY page_index ORDER BY position) - 1 AS BIGINT) AS position, CASE WHEN hit THEN text || '+' ELSE text END AS text FROM (SELECT sp.*, j.position IS NOT NULL AS hit FROM sp LEFT JOIN (SELECT * FROM jn WHERE position % 7 = 2) j ON sp.page_index = j.page_index AND sp.position = j.position WHERE NOT EXISTS (SELECT 1 FROM jn WHERE jn.position % 7 = 2 AND jn.page_index = sp.page_index AND jn.tail_position = sp.position)) x",
-    {"sp": _SP, "jn": "SELECT s.page_index, s.position, s.position + 1 AS tail_position FROM sp s JOIN (SELECT page_index, max(position) AS m FROM sp GROUP BY 1) q ON q.page_index = s.page_index WHERE s.position % 7 IN (2, 3) AND s.position + 1 < q.m"},
+    """SELECT s.page_index, CAST(row_number() OVER (PARTITION BY s.page_index ORDER BY s.position) - 1 AS BIGINT) AS position, coalesce(d.replacement, s.text) AS text, coalesce(t.trailing, s.trailing) AS trailing, CASE WHEN d.position IS NULL THEN s.origin ELSE 'auto_applied' END AS origin,
+      CASE WHEN d.position IS NULL THEN s.confidence END AS confidence, s.revision + CASE WHEN d.position IS NULL THEN 0 ELSE 1 END AS revision, CAST(CASE WHEN t.position IS NULL THEN 1 ELSE 2 END AS BIGINT) AS anchors
+    FROM au_words s LEFT JOIN au_done d ON d.page_index = s.page_index AND d.position = s.position LEFT JOIN au_words t ON t.page_index = d.page_index AND t.position = d.tail_position WHERE NOT EXISTS (SELECT 1 FROM au_joins WHERE au_joins.page_index = s.page_index AND au_joins.tail_position = s.position)""",
+    _AUTO,
 )
 def op_auto_apply(v):
-    """Joins at positions 2 and 3 of every seven touch: only the first of each pair applies."""
-    from pyspark.sql import Window
+    spans, _ = reconstruct.auto_apply(*_proposed(v))
+    return reconstruct.dense(spans).select("page_index", "position", "text", "trailing", "origin", "confidence", "revision", F.size("anchors").cast("long").alias("anchors"))
+
+
+@query("op_auto_apply_proposals", "SELECT p.page_index, p.position, p.nth, p.auto_applied OR d.position IS NOT NULL AS auto_applied FROM au_proposals p LEFT JOIN au_done d ON d.page_index = p.page_index AND d.position = p.position AND d.nth = p.nth", _AUTO)
+def op_auto_apply_proposals(v):
+    _, proposals = reconstruct.auto_apply(*_proposed(v))
+    return proposals.select("page_index", "position", "nth", "auto_applied")
+
+
+# ---- issues
+
+_META = """SELECT *, CASE WHEN starts_with(reason, '[') THEN regexp_extract(reason, '^\\[([^\\]]*)\\]', 1) WHEN contains(reason, 'no word score') THEN 'second engine' WHEN contains(reason, 'region OCR') THEN 'region OCR' ELSE 'text pass' END AS label, NOT starts_with(reason, '[') AND NOT contains(reason, 'no word score') AS scored
+    FROM (SELECT *, CASE WHEN source = 'ai:alpha' THEN '[AI alpha] reads otherwise' WHEN source = 'second_engine' THEN 'another engine, no word score' WHEN nth = 1 THEN 'region OCR reads otherwise' ELSE 'in the dictionary' END AS reason FROM proposals WHERE status = 'open')"""
+_BUILT = {
+    "bi_meta": _META,
+    "bi_ranked": "SELECT *, row_number() OVER (PARTITION BY page_index, seq ORDER BY score DESC, nth) AS rn FROM bi_meta",
+    "bi_listed": "SELECT page_index, seq, list({'text': replacement, 'score': CASE WHEN scored THEN score END, 'source': label, 'proposal': proposal_id} ORDER BY rn) AS shown FROM bi_ranked GROUP BY 1, 2",
+    "bi_built": r"""SELECT s.page_index, s.seq, s.span_id, s.revision, s.text AS original, s.confidence, CASE WHEN l.seq IS NULL THEN 'conflicting_readings' WHEN l.kind = 'hyphen_join' THEN 'questionable_join' WHEN l.scored THEN 'risky_substitution' ELSE 'conflicting_readings' END AS kind,
+      CASE WHEN l.seq IS NULL THEN s.confidence WHEN l.scored THEN l.score END AS score, coalesce(l.label, 'OCR') AS score_source, l.proposal_id, l.replacement, coalesce(l.reason, 'read with a confidence of ' || s.confidence || ', nothing better known') AS reason,
+      coalesce(c.shown, []) || [{'text': s.text, 'score': s.confidence, 'source': 'raw OCR', 'proposal': NULL}] AS candidates
+      FROM spans s LEFT JOIN (SELECT * FROM bi_ranked WHERE rn = 1) l ON l.page_index = s.page_index AND l.seq = s.seq LEFT JOIN bi_listed c ON c.page_index = s.page_index AND c.seq = s.seq
+      WHERE l.seq IS NOT NULL OR (s.confidence < 90 AND regexp_matches(s.text, '[\p{L}\p{N}]') AND s.origin = 'ocr' AND NOT s.protected)""".replace("\\\\p", "\\p"),
+}
+_LEN = r"least(12, length(regexp_replace(original, '[^\p{L}\p{N}]', '', 'g')))"
+_UNSURE = "greatest(0, 100 - coalesce(score, 50))"
 
-    spans = v.words.select("page_index", F.col("seq").alias("position"), "text", "confidence")
-    last = F.max("position").over(Window.partitionBy("page_index"))
-    joins = spans.withColumn("_last", last).where((F.col("position") % 7).isin(2, 3) & (F.col("position") + 1 < F.col("_last"))).select("page_index", "position", (F.col("position") + 1).alias("tail_position"), F.concat("text", F.lit("+")).alias("replacement"), F.lit(96).alias("score"))
-    return reconstruct.apply_joins(spans, joins, 95).select("page_index", "position", "text")
 
+def _offered(v):
+    """The proposals, with the reasons that their sources give."""
+    reason = F.when(F.col("source") == "ai:alpha", "[AI alpha] reads otherwise").when(F.col("source") == "second_engine", "another engine, no word score").when(F.col("nth") == 1, "region OCR reads otherwise").otherwise("in the dictionary")
+    return v.proposals.withColumn("reason", reason)
 
-_LEN = r"least(12, length(regexp_replace(s.text, '[^\p{L}\p{N}]', '', 'g')))"
-_LEAD = "SELECT span_id, kind, score, replacement, n FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY score DESC, nth) AS rn, count(*) OVER (PARTITION BY span_id) AS n FROM proposals WHERE status NOT IN ('applied_auto', 'stale')) WHERE rn = 1"
+
+def _shown(of="candidates"):
+    """Candidates as text: text|score|source|proposal, one after another."""
+    number = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.array_join(F.transform(of, lambda c: F.concat_ws("|", c["text"], number(c["score"]), c["source"], number(c["proposal"]))), ";")
 
 
 @query(
     "op_build_issues",
-    rf"""SELECT s.span_id, coalesce(l.kind, 'low_confidence') AS kind, coalesce(l.score, s.confidence) AS score, CAST(least(100, CASE WHEN l.kind IS NULL THEN 20 + (100 - s.confidence) // 3 WHEN l.kind = 'hyphen_join' THEN 55 + greatest(0, 100 - l.score) // 5 ELSE 45 + greatest(0, 100 - l.score) // 5 END + {_LEN}) AS BIGINT) AS priority, l.replacement, coalesce(l.n, 0) AS candidates
-    FROM spans s LEFT JOIN lead_proposals l ON s.span_id = l.span_id WHERE s.text <> '' AND (l.span_id IS NOT NULL OR (s.confidence < 90 AND regexp_matches(s.text, '[\p{{L}}\p{{N}}]') AND s.origin = 'ocr' AND NOT s.protected))""",
-    {"lead_proposals": _LEAD},
+    f"""SELECT span_id, kind, score, score_source, CAST(least(100, CASE kind WHEN 'questionable_join' THEN 55 + {_UNSURE} // 5 WHEN 'risky_substitution' THEN 45 + {_UNSURE} // 5 ELSE 20 + {_UNSURE} // 3 END + {_LEN}) AS BIGINT) AS priority, proposal_id, replacement, reason,
+      array_to_string(list_transform(candidates, lambda c: c.text || '|' || coalesce(CAST(c.score AS VARCHAR), '') || '|' || c.source || '|' || coalesce(CAST(c.proposal AS VARCHAR), '')), ';') AS candidates FROM bi_built""",
+    _BUILT,
 )
 def op_build_issues(v):
-    return issues.build(v.spans, v.proposals).select("span_id", "kind", "score", "priority", "replacement", "candidates")
+    built = issues.build(v.spans, _offered(v))
+    return built.select("span_id", "kind", "score", "score_source", "priority", "proposal_id", "replacement", "reason", _shown().alias("candidates"))
+
+
+_PLACED = {
+    "st_regions": "SELECT * REPLACE (CASE WHEN kind = 'header' AND page_index % 9 = 0 THEN 'uncertain' ELSE kind END AS kind) FROM regions",
+    "st_spans": "SELECT *, page_index * 10 + CASE region_kind WHEN 'header' THEN 0 WHEN 'body' THEN 2 ELSE 3 END AS region_id FROM spans",
+    "st_lost": "SELECT k.* FROM words k LEFT JOIN regions r ON r.page_index = k.page_index AND r.kind = 'body' WHERE r.page_index IS NULL OR greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y)) / (k.w * k.h) < 0.5",
+}
 
 
 @query(
     "op_structural_issues",
-    f"""SELECT page_index, 'clipping' AS kind, 'clipping@' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT) AS original, CAST(80 AS BIGINT) AS priority FROM regions r WHERE kind NOT IN ('ignore', 'illustration') AND EXISTS (SELECT 1 FROM spans s WHERE s.page_index = r.page_index AND s.region_kind = r.kind AND (s.x <= 2 OR s.y <= 2 OR s.x + s.w >= {PAGE_W} - 2 OR s.y + s.h >= 790))
-    UNION ALL SELECT page_index, 'missing_text', 'missing_text@' || CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), 90 FROM words k WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.page_index = k.page_index AND r.kind = 'body' AND greatest(0, least(k.x + k.w, r.x + r.w) - greatest(k.x, r.x)) * greatest(0, least(k.y + k.h, r.y + r.h) - greatest(k.y, r.y)) / (k.w * k.h) >= 0.5) AND h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788""",
+    f"""SELECT r.page_index, 'clipping' AS kind, 'clipping@' || CAST(round(r.x) AS BIGINT) || ',' || CAST(round(r.y) AS BIGINT) AS original, CAST(80 AS BIGINT) AS priority, r.region_id FROM st_regions r JOIN (SELECT page_index, region_id, bool_or(x <= 2 OR y <= 2 OR x + w >= {PAGE_W} - 2 OR y + h >= 790) AS cut FROM st_spans GROUP BY 1, 2) s USING (page_index, region_id) WHERE kind NOT IN ('ignore', 'illustration') AND cut
+    UNION ALL SELECT r.page_index, 'order_ambiguity', 'order_ambiguity@' || CAST(round(r.x) AS BIGINT) || ',' || CAST(round(r.y) AS BIGINT), 85, r.region_id FROM st_regions r WHERE kind = 'uncertain' AND (page_index, region_id) IN (SELECT (page_index, region_id) FROM st_spans)
+    UNION ALL SELECT page_index, 'missing_text', 'missing_text@' || CAST(round(x) AS BIGINT) || ',' || CAST(round(y) AS BIGINT), 90, NULL FROM st_lost WHERE h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788""",
+    _PLACED,
 )
 def op_structural_issues(v):
+    """Words outside the body stand for ink without words; the heads of each ninth page for regions of uncertain class."""
+    regions = v.regions.withColumn("kind", F.when((F.col("kind") == "header") & (F.col("page_index") % 9 == 0), "uncertain").otherwise(F.col("kind")))
+    of = F.when(F.col("region_kind") == "header", 0).when(F.col("region_kind") == "body", 2).otherwise(3)
     k, body = v.words.alias("k"), v.regions.where("kind = 'body'").alias("r")
     uncovered = k.join(body, (F.col("k.page_index") == F.col("r.page_index")) & (G.overlap_fraction(layout.box("k"), layout.box("r")) >= 0.5), "left_anti")
-    uncovered = uncovered.where(f"h BETWEEN 3 AND 40 AND w >= 12 AND x >= 4 AND y >= 4 AND x + w <= {PAGE_W} - 4 AND y + h <= 788")
-    at_edge = v.spans.where(f"x <= 2 OR y <= 2 OR x + w >= {PAGE_W} - 2 OR y + h >= 790").select("page_index", F.col("region_kind").alias("kind")).distinct()
-    clipped = v.regions.where(~F.col("kind").isin(*layout.NOT_TEXT)).join(at_edge, ["page_index", "kind"], "left_semi")
-    row = lambda df, kind: df.select("page_index", F.lit(kind).alias("kind"), F.concat(F.lit(f"{kind}@"), F.col("x").cast("long").cast("string"), F.lit(","), F.col("y").cast("long").cast("string")).alias("original"), F.lit(issues.FIXED_PRIORITY[kind]).cast("long").alias("priority"))
-    return row(clipped, "clipping").union(row(uncovered, "missing_text"))
+    return issues.structural(regions, uncovered, v.spans.withColumn("region_id", F.col("page_index") * 10 + of), PAGE_W, PAGE_H)
 
 
 _FRESH = "SELECT *, row_number() OVER (PARTITION BY page_index, kind, original ORDER BY seq, issue_id) AS n FROM issues WHERE seq % 5 <> 0"
@@ -106,24 +168,75 @@ def op_rebuild_issues(v):
 
 # ---- decisions
 
-_EV = "SELECT span_id * 2 + k AS event_id, span_id, CASE WHEN seq % 5 = 0 THEN revision + 1 ELSE revision END AS revision, CASE (seq + k) % 4 WHEN 0 THEN 'accept' WHEN 1 THEN 'edit' WHEN 2 THEN 'skip' ELSE 'later' END AS action, text || k AS new_text FROM spans, (SELECT unnest([0, 1]) AS k) WHERE seq % 6 = 0"
+_DECIDE = _BUILT | {
+    "de_issues": """SELECT span_id * 2 AS issue_id, page_index, seq, span_id, revision, original, (['open', 'open', 'deferred', 'resolved'])[seq % 4 + 1] AS status, proposal_id, list_transform(candidates, lambda c: {'text': c.text, 'proposal': CAST(c.proposal AS BIGINT)}) AS cs FROM bi_built
+      UNION ALL SELECT span_id * 2 + 1, page_index, seq, span_id, revision, text, 'open', NULL, [{'text': text, 'proposal': CAST(NULL AS BIGINT)}] FROM spans WHERE seq % 5 = 0""",
+    "de_events": """SELECT span_id * 4 + k * 2 + issue_id % 2 AS event_id, issue_id, page_index, seq, span_id, revision, original, status, proposal_id, cs, seq % 7 <> 0 AS fresh, (['accept', 'edit', 'skip', 'later'])[(seq + k + issue_id % 2) % 4 + 1] AS action,
+      CASE (seq + k + issue_id % 2) % 4 WHEN 0 THEN CASE WHEN seq % 3 = 0 THEN trim(original) ELSE trim(cs[1].text) END WHEN 1 THEN CASE WHEN seq % 11 = 0 THEN '' ELSE trim(original || k) END END AS typed FROM de_issues, (SELECT unnest([0, 1]) AS k)""",
+    "de_asked": "SELECT *, action IN ('accept', 'edit') AS takes, action IN ('accept', 'edit') AND typed <> original AS changes FROM de_events WHERE status IN ('open', 'deferred') AND fresh AND (action NOT IN ('accept', 'edit') OR typed <> '')",
+    "de_ends": "SELECT issue_id, span_id, min(event_id) AS ends, arg_min(changes, event_id) AS by_change FROM de_asked WHERE action <> 'later' GROUP BY 1, 2",
+    "de_turns": "SELECT span_id, min(ends) AS turn FROM de_ends WHERE by_change GROUP BY 1",
+    "de_held": """SELECT a.*, e.ends, t.turn, max(CASE WHEN action = 'later' THEN a.event_id END) OVER (PARTITION BY a.issue_id ORDER BY a.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT NULL AS put_off FROM de_asked a LEFT JOIN de_ends e ON e.issue_id = a.issue_id LEFT JOIN de_turns t ON t.span_id = a.span_id
+      WHERE (t.turn IS NULL OR a.event_id <= t.turn) AND (a.event_id = e.ends OR (a.action = 'later' AND (e.ends IS NULL OR a.event_id < e.ends)))""",
+    "de_turned": "SELECT span_id, issue_id, event_id, typed, CASE action WHEN 'edit' THEN 'manual' ELSE 'accepted' END AS origin, revision + 1 AS raised FROM de_held WHERE changes",
+    "de_last": "SELECT issue_id, arg_max(action, event_id) AS action, arg_max(typed, event_id) AS typed, arg_max(revision + CASE WHEN changes THEN 1 ELSE 0 END, event_id) AS now_at, bool_or(action = 'later') AS later FROM de_held GROUP BY 1",
+}
+
+
+def _deciding(v):
+    """Issues built from the proposals, and flags on each fifth word; two decisions on each."""
+    pick = views.pick
+    built = issues.build(v.spans, _offered(v))
+    columns = lambda issue, status, proposal, candidates: [issue.alias("issue_id"), "page_index", "seq", "span_id", "revision", "original", status.alias("status"), proposal.alias("proposal_id"), candidates.alias("candidates")]
+    own = built.select(*columns(F.col("span_id") * 2, pick(F.col("seq"), "open", "open", "deferred", "resolved"), F.col("proposal_id"), F.col("candidates")))
+    raw = F.array(F.struct(F.col("text").alias("text"), F.col("confidence").alias("score"), F.lit("raw OCR").alias("source"), F.lit(None).cast("long").alias("proposal")))
+    flags = v.spans.where("seq % 5 = 0").withColumn("original", F.col("text")).select(*columns(F.col("span_id") * 2 + 1, F.lit("open"), F.lit(None).cast("long"), raw))
+    every = storage.stored(own.union(flags), "deciding")
+    k, s = F.col("k"), F.col("seq")
+    turn = s + k + F.col("issue_id") % 2
+    text = F.when(turn % 4 == 0, F.when(s % 3 == 0, F.col("original")).otherwise(F.get("candidates", F.lit(0))["text"])).when(turn % 4 == 1, F.when(s % 11 == 0, " ").otherwise(F.concat("original", k.cast("string"))))
+    e = every.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    events = e.select((F.col("span_id") * 4 + k * 2 + F.col("issue_id") % 2).alias("event_id"), "issue_id", (F.col("revision") + (s % 7 == 0).cast("long")).alias("revision"), pick(turn, "accept", "edit", "skip", "later").alias("action"), text.alias("text"))
+    return review.decide(v.spans, every.select("issue_id", "page_index", "span_id", "status", "proposal_id", "candidates"), v.proposals, events)
+
+
+@query("op_decide", "SELECT s.span_id, coalesce(t.typed, s.text) AS text, coalesce(t.origin, s.origin) AS origin, coalesce(t.raised, s.revision) AS revision, CASE WHEN t.span_id IS NULL THEN s.confidence END AS confidence FROM spans s LEFT JOIN de_turned t ON s.span_id = t.span_id", _DECIDE)
+def op_decide(v):
+    return _deciding(v).spans.select("span_id", "text", "origin", "revision", "confidence")
 
 
-def _events(v):
-    k = F.explode(F.array(F.lit(0), F.lit(1)))
-    e = v.spans.where("seq % 6 = 0").select("*", k.alias("k"))
-    from quirewise.sources.views import pick
+@query(
+    "op_decide_issues",
+    """SELECT issue_id, CASE WHEN lost THEN 'resolved' ELSE now END AS status, CASE WHEN lost THEN 'superseded' WHEN action IN ('accept', 'edit') THEN action || ':' || typed ELSE action END AS decision, CASE WHEN lost THEN raised ELSE now_at END AS span_revision FROM (
+      SELECT *, turning IS NOT NULL AND turning <> issue_id AND now IN ('open', 'deferred') AS lost FROM (
+        SELECT d.issue_id, l.action, l.typed, l.now_at, t.issue_id AS turning, t.raised, CASE WHEN l.action IS NULL THEN d.status WHEN l.action = 'later' THEN 'deferred' ELSE 'resolved' END AS now FROM de_issues d LEFT JOIN de_last l ON l.issue_id = d.issue_id LEFT JOIN de_turned t ON t.span_id = d.span_id))""",
+    _DECIDE,
+)
+def op_decide_issues(v):
+    return _deciding(v).issues.select("issue_id", "status", "decision", "span_revision")
 
-    return e.select((F.col("span_id") * 2 + F.col("k")).alias("event_id"), "span_id", F.when(F.col("seq") % 5 == 0, F.col("revision") + 1).otherwise(F.col("revision")).alias("revision"), pick(F.col("seq") + F.col("k"), "accept", "edit", "skip", "later").alias("action"), F.concat("text", F.col("k").cast("string")).alias("new_text"))
+
+@query(
+    "op_decide_proposals",
+    """SELECT p.proposal_id, CASE WHEN l.issue_id IS NULL OR NOT coalesce(c, FALSE) THEN p.status WHEN l.action = 'skip' THEN 'rejected' WHEN l.action = 'later' THEN 'deferred' WHEN p.proposal_id IS NOT DISTINCT FROM list_filter(d.cs, lambda x: x.text = l.typed)[1].proposal THEN 'accepted' ELSE 'rejected' END AS status
+    FROM proposals p LEFT JOIN de_issues d ON d.issue_id = p.span_id * 2 LEFT JOIN de_last l ON l.issue_id = d.issue_id,
+    LATERAL (SELECT CASE WHEN l.action IN ('accept', 'edit') THEN list_contains(list_transform(d.cs, lambda x: x.proposal), p.proposal_id) AND (p.status IN ('open', 'deferred') OR (l.later AND p.proposal_id = d.proposal_id)) ELSE p.proposal_id = d.proposal_id END AS c)""",
+    _DECIDE,
+)
+def op_decide_proposals(v):
+    return _deciding(v).proposals.select("proposal_id", "status")
 
 
 @query(
-    "op_decide",
-    "SELECT s.span_id, coalesce(e.new_text, s.text) AS text, s.revision + CASE WHEN e.event_id IS NULL THEN 0 ELSE 1 END AS revision, CASE WHEN e.event_id IS NULL THEN s.confidence END AS confidence FROM spans s LEFT JOIN (SELECT span_id, min(event_id) AS event_id, min_by(new_text, event_id) AS new_text FROM (SELECT e.* FROM ev e JOIN spans s ON e.span_id = s.span_id AND e.revision = s.revision WHERE action IN ('accept', 'edit')) GROUP BY 1) e ON s.span_id = e.span_id",
-    {"ev": _EV},
+    "op_decide_history",
+    """SELECT h.event_id AS history_id, CASE WHEN takes AND NOT changes THEN 'Confirmed “' || original || '”' WHEN takes THEN CASE action WHEN 'edit' THEN 'Edited “' ELSE 'Accepted “' END || original || '” → “' || typed || '”' WHEN action = 'skip' THEN 'Kept “' || original || '”' ELSE 'Deferred “' || original || '”' END || ' · page ' || (page_index + 1) AS label,
+      CASE WHEN put_off THEN 'deferred' ELSE status END AS old_status, revision + CASE WHEN changes THEN 1 ELSE 0 END AS new_revision, coalesce(n, 0) AS superseded
+    FROM de_held h LEFT JOIN (SELECT t.event_id, count(*) AS n FROM de_turned t JOIN de_issues d ON d.span_id = t.span_id AND d.issue_id <> t.issue_id AND d.status IN ('open', 'deferred') LEFT JOIN de_ends e ON e.issue_id = d.issue_id WHERE e.ends IS NULL OR e.ends > t.event_id GROUP BY 1) s ON s.event_id = h.event_id""",
+    _DECIDE,
 )
-def op_decide(v):
-    return review.decide(v.spans, _events(v)).select("span_id", "text", "revision", "confidence")
+def op_decide_history(v):
+    payload = F.from_json("payload", review.DECISION_PAYLOAD)
+    return _deciding(v).history.withColumn("p", payload).select("history_id", "label", "p.old_status", "p.new_revision", F.size("p.superseded").cast("long").alias("superseded"))
 
 
 _APPROVED = "SELECT page_index FROM book_pages WHERE approved_text = text_revision AND approved_layout = layout_revision"
@@ -153,13 +266,26 @@ def op_group_apply_stale(v):
     return review.group_apply(v.spans, chosen).select("span_id", "text", "revision")
 
 
-@query("op_edit_text", "SELECT page_index, count(*) AS words FROM words GROUP BY 1")
+def _typing(v):
+    """Every line is typed anew, without each fifth word and with each seventh changed; on each sixth line a word has changed since."""
+    w = F.col("word_no")
+    word = F.struct("word_no", "span_id", (F.col("revision") + ((F.col("line_no") % 6 == 5) & (w == 0)).cast("long")).alias("seen"), F.when(w % 5 != 2, F.when(w % 7 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("new"))
+    lines = v.spans.groupBy("page_index", "line_no").agg(F.array_sort(F.collect_list(word)).alias("ws"))  # a line's words
+    each = lambda name: F.transform("ws", lambda x: x[name])
+    edits_ = lines.select((F.col("page_index") * 100_000 + F.col("line_no")).alias("edit_id"), "page_index", each("span_id").alias("span_ids"), each("seen").alias("seen"), F.array_join(F.filter(each("new"), lambda x: x.isNotNull()), " ").alias("text"))
+    return edits.edit_text(review.anchored(v.spans), v.issues.withColumn("span_revision", F.col("revision")), v.proposals, edits_)
+
+
+@query("op_edit_text")
 def op_edit_text(v):
-    """Typed lines keep a slot for each old word."""
-    old = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda x: x["text"])
-    typed = v.words.groupBy("page_index", "line_no").agg(old.alias("old"))
-    typed = typed.withColumn("new", F.filter("old", lambda w, i: i % 5 != 2))
-    return edits.fit_words(typed).groupBy("page_index").agg(F.sum(F.size("fit")).alias("words"))
+    anchor = F.array_join(F.transform("anchors", lambda a: F.concat_ws(",", a["page"].cast("string"), a["x"].cast("string"), a["y"].cast("string"))), ";")
+    return _typing(v).spans.select("span_id", "text", "trailing", "origin", "confidence", "revision", anchor.alias("anchors"))
+
+
+@query("op_edit_text_history")
+def op_edit_text_history(v):
+    done = _typing(v)
+    return done.history.join(done.records.select(F.col("edit_id").alias("history_id"), "seq", "original", "replacement"), "history_id").select("history_id", "label", "seq", "original", "replacement", F.size(F.from_json("payload", review.UNDO_PAYLOAD)["items"]).alias("items"))
 
 
 @query("op_paragraph_set", "SELECT span_id, CASE WHEN seq % 13 = 0 THEN TRUE WHEN seq % 13 = 1 THEN FALSE ELSE paragraph_start END AS paragraph_start FROM spans")
@@ -186,24 +312,111 @@ def op_reapply_edits(v):
     return edits.reapply(v.words, runs.select("page_index", F.col("seq").alias("edit_id"), (F.col("seq") + 3).alias("at"), F.col("run").alias("old")))
 
 
-@query("op_undo", "SELECT span_id, CASE WHEN seq % 10 = 0 AND seq % 3 = 0 THEN 'before' ELSE text END AS text, seq % 10 = 0 AND seq % 3 = 0 AS undone FROM spans")
+_UNDO = {
+    "un_words": """SELECT *, seq % 40 AS u, CASE WHEN seq % 40 = 0 THEN span_id * 8 WHEN seq % 40 IN (8, 9) THEN 1000000000000000 + page_index * 1000000 + seq // 400 WHEN seq % 40 IN (16, 17, 18) THEN 2000000000000000 + page_index * 1000000 + seq // 40 WHEN seq % 40 = 24 THEN span_id * 8 + 1 END AS history_id,
+      page_index % 17 = 0 AS undone FROM spans WHERE seq % 40 IN (0, 8, 9, 16, 17, 18, 24)""",
+    "un_outcomes": """SELECT history_id, undone, CASE WHEN undone THEN 'already undone' WHEN bool_or(CASE WHEN u = 0 THEN seq % 3 = 1 AND seq % 80 = 0 WHEN u IN (8, 9) THEN seq % 400 = 8 AND seq // 400 % 2 = 1 WHEN u = 24 THEN seq % 3 = 2 ELSE u = 17 AND seq // 40 % 4 = 3 END) THEN 'changed since' ELSE 'undone' END AS outcome FROM un_words GROUP BY 1, 2""",
+    "un_ok": "SELECT h.*, CASE WHEN u = 0 THEN seq % 80 = 0 ELSE TRUE END AS changed FROM un_words h JOIN un_outcomes b USING (history_id) WHERE outcome = 'undone'",
+    "un_pages": "SELECT page_index, CASE WHEN page_index % 17 = 0 THEN 'already undone' WHEN page_index % 10 = 0 THEN 'cannot be undone' ELSE 'undone' END AS outcome FROM book_pages",
+}
+
+
+def _undoing(v):
+    """Entries of every kind: a decision at each fortieth word (each second without a new text), groups, typed edits, paragraph breaks, an approval a page. Some have
+    changed since, some are undone, on each tenth page one is of a kind that can't be."""
+    s, p = F.col("seq"), F.col("page_index")
+    none = lambda kind: F.lit(None).cast(kind)
+    word = v.spans.withColumn("u", s % 40)
+    stale = lambda when: F.col("revision") + F.when(when, 5).otherwise(0)
+    entry = lambda df, key, **fields: df.select(key.alias("history_id"), "page_index", F.to_json(F.struct(*(x.alias(n) for n, x in fields.items()))).alias("payload"))
+    where = lambda n: F.col("span_id") * n
+    decisions = entry(
+        word.where("u = 0"), where(8), kind=F.lit("decision"), issue=where(2) + 1, span=F.col("span_id"), page=p, old_text=F.when(s % 80 == 0, "before").otherwise(F.col("text")), new_text=F.col("text"), old_origin=F.lit("ocr"), old_confidence=F.lit(50.0), new_revision=stale(s % 3 == 1),
+        old_status=F.lit("open"), proposal=where(4), candidates=F.array(where(4), where(4) + 1), superseded=none("array<struct<issue:bigint,status:string>>"),
+    )
+    item = lambda text, bad: F.struct(F.col("span_id").alias("span"), p.alias("page"), F.lit(text).alias("old_text"), F.col("text").alias("new_text"), F.lit("  ").alias("old_trailing"), F.lit("ocr").alias("old_origin"), F.lit(40.0).alias("old_confidence"), stale(bad).alias("new_revision"), F.array(F.struct((where(2) + 1).alias("issue"), F.lit("deferred").alias("status"))).alias("issues"), F.array(F.struct(where(4).alias("proposal"), F.lit("deferred").alias("status"))).alias("proposals"))
+    groups = word.where("u IN (8, 9)").groupBy("page_index", F.floor(s / 400).alias("g")).agg(F.collect_list(item("grouped", (s % 400 == 8) & (F.floor(s / 400) % 2 == 1))).alias("items"))
+    groups = entry(groups, F.lit(10**15) + p * 1_000_000 + F.col("g"), kind=F.lit("group"), items=F.col("items"))
+    typed = word.where("u IN (16, 17, 18)").groupBy("page_index", F.floor(s / 40).alias("g")).agg(F.collect_list(item("typed", (F.col("u") == 17) & (F.floor(s / 40) % 4 == 3))).alias("items"))
+    typed = entry(typed, F.lit(2 * 10**15) + p * 1_000_000 + F.col("g"), kind=F.lit("edit"), page=p, items=F.col("items"))
+    start = F.when(s % 3 == 2, ~F.col("paragraph_start")).otherwise(F.col("paragraph_start"))
+    breaks = entry(word.where("u = 24"), where(8) + 1, kind=F.lit("paragraph"), page=p, span=F.col("span_id"), start=start, was=~start, prev=F.col("span_id") - 1, prev_trailing=F.lit("|"))
+    approvals = entry(v.pages, 3 * F.lit(10**15) + p, kind=F.when(p % 10 == 0, "note").otherwise("approve"), page=p, prev_revision=F.when(p % 2 == 1, F.lit(1)), prev_outstanding=F.when(p % 2 == 1, p % 7))
+    history = decisions.union(groups).union(typed).union(breaks).union(approvals).withColumn("undone", p % 17 == 0)
+    return review.undo(v.spans, v.issues.withColumn("span_revision", F.col("revision")), v.proposals, v.pages, history)
+
+
+@query(
+    "op_undo",
+    """SELECT s.span_id, CASE WHEN o.changed AND o.u < 24 THEN CASE WHEN o.u = 0 THEN 'before' WHEN o.u < 10 THEN 'grouped' ELSE 'typed' END ELSE s.text END AS text, CASE WHEN o.changed AND o.u < 24 THEN 'ocr' ELSE s.origin END AS origin, CASE WHEN o.changed AND o.u < 24 THEN CASE WHEN o.u = 0 THEN 50 ELSE 40 END ELSE s.confidence END AS confidence,
+      s.revision + CASE WHEN o.changed AND o.u < 24 THEN 1 ELSE 0 END AS revision, CASE WHEN o.u = 24 THEN NOT s.paragraph_start ELSE s.paragraph_start END AS paragraph_start, CASE WHEN n.seq IS NOT NULL THEN '|' WHEN o.u IN (16, 17, 18) THEN '  ' ELSE s.trailing END AS trailing
+    FROM spans s LEFT JOIN un_ok o ON o.page_index = s.page_index AND o.seq = s.seq LEFT JOIN (SELECT * FROM un_ok WHERE u = 24) n ON n.page_index = s.page_index AND n.seq = s.seq + 1""",
+    _UNDO,
+)
 def op_undo(v):
-    entries = v.spans.where("seq % 10 = 0").select("span_id", F.lit("edit").alias("kind"), F.lit("before").alias("old_text"), F.when(F.col("seq") % 3 == 0, F.col("revision")).otherwise(F.col("revision") + 5).alias("new_revision"), F.lit(None).cast("boolean").alias("old_start"))
-    return review.undo(v.spans, entries).select("span_id", "text", "undone")
+    return _undoing(v).spans.select("span_id", "text", "origin", "confidence", "revision", "paragraph_start", "trailing")
+
+
+@query(
+    "op_undo_issues",
+    """SELECT i.issue_id, CASE WHEN o.u = 0 THEN 'open' WHEN o.u < 24 THEN 'deferred' ELSE i.status END AS status, CASE WHEN o.u < 24 THEN NULL ELSE i.decision END AS decision, i.revision + CASE WHEN o.u < 24 AND o.changed THEN 1 ELSE 0 END AS span_revision FROM issues i LEFT JOIN un_ok o ON o.page_index = i.page_index AND o.seq = i.seq""".replace("i.revision + CASE WHEN o.u < 24 AND o.changed THEN 1 ELSE 0 END", "CASE WHEN o.u = 0 AND o.seq % 3 = 1 THEN i.revision + 5 WHEN o.u < 24 AND o.changed THEN i.revision + 1 ELSE i.revision END"),
+    _UNDO,
+)
+def op_undo_issues(v):
+    return _undoing(v).issues.select("issue_id", "status", "decision", "span_revision")
+
+
+@query(
+    "op_undo_proposals",
+    """SELECT p.proposal_id, CASE WHEN o.u = 0 AND p.nth < 2 AND p.status IN ('accepted', 'rejected', 'deferred') THEN 'open' WHEN o.u IN (8, 9) AND p.status IN ('accepted', 'rejected') THEN 'open' WHEN o.u IN (16, 17, 18) AND p.nth = 0 THEN 'deferred' ELSE p.status END AS status FROM proposals p LEFT JOIN un_ok o ON o.page_index = p.page_index AND o.seq = p.seq""",
+    _UNDO,
+)
+def op_undo_proposals(v):
+    return _undoing(v).proposals.select("proposal_id", "status")
+
+
+@query(
+    "op_undo_pages",
+    """SELECT p.page_index, p.text_revision + coalesce(n.n, 0) AS text_revision, CASE WHEN a.outcome <> 'undone' THEN p.approved_text WHEN p.page_index % 2 = 1 THEN 1 END AS approved_text, CASE WHEN a.outcome <> 'undone' OR p.page_index % 2 = 1 THEN p.approved_layout END AS approved_layout
+    FROM book_pages p JOIN un_pages a ON a.page_index = p.page_index LEFT JOIN (SELECT page_index, count(*) FILTER (u < 10 AND changed) + count(DISTINCT history_id) FILTER (u BETWEEN 16 AND 18) + count(*) FILTER (u = 24) AS n FROM un_ok GROUP BY 1) n ON n.page_index = p.page_index""",
+    _UNDO,
+)
+def op_undo_pages(v):
+    return _undoing(v).pages.select("page_index", "text_revision", "approved_text", "approved_layout")
+
+
+@query("op_undo_outcomes", "SELECT history_id, outcome FROM un_outcomes UNION ALL SELECT 3000000000000000 + page_index, outcome FROM un_pages", _UNDO)
+def op_undo_outcomes(v):
+    return _undoing(v).outcomes.select("history_id", "outcome")
 
 
 _ENDS = "SELECT page_index, max(span_id) AS last_id, min(span_id) AS first_id FROM spans WHERE region_kind = 'body' AND text <> '' GROUP BY 1"
-_FREE = "SELECT * FROM spans WHERE NOT protected AND origin IN ('ocr', 'auto_applied') AND text <> '' AND page_index NOT IN (SELECT page_index FROM approved)"
-_CJ = "SELECT a.last_id AS head_id, b.first_id AS tail_id FROM ends a JOIN ends b ON b.page_index = a.page_index + 1 WHERE a.last_id IN (SELECT span_id FROM free_spans) AND b.first_id IN (SELECT span_id FROM free_spans)"
+_CROSS = {
+    "approved": _APPROVED,
+    "ends": _ENDS,
+    "free_spans": "SELECT * FROM spans WHERE NOT protected AND origin IN ('ocr', 'auto_applied') AND page_index NOT IN (SELECT page_index FROM approved)",
+    "cr_rivals": "SELECT DISTINCT span_id FROM proposals WHERE status IN ('open', 'deferred')",
+    "cr_ok": "SELECT a.last_id AS head_id, b.first_id AS tail_id, f.text || t.text AS whole, t.trailing FROM ends a JOIN ends b ON b.page_index = a.page_index + 1 JOIN free_spans f ON f.span_id = a.last_id JOIN free_spans t ON t.span_id = b.first_id WHERE a.last_id NOT IN (SELECT span_id FROM cr_rivals) AND a.page_index % 5 <> 4",
+    "cr_joins": "SELECT * FROM cr_ok WHERE head_id NOT IN (SELECT tail_id FROM cr_ok)",
+}
 
 
-@query("op_cross_page_join", "SELECT span_id, CASE WHEN span_id IN (SELECT head_id FROM cj) THEN 'joined' WHEN span_id IN (SELECT tail_id FROM cj) THEN '' ELSE text END AS text FROM spans WHERE region_kind = 'body'", {"approved": _APPROVED, "ends": _ENDS, "free_spans": _FREE, "cj": _CJ})
+@query(
+    "op_cross_page_join",
+    """SELECT s.span_id, CASE WHEN h.head_id IS NOT NULL THEN h.whole WHEN t.tail_id IS NOT NULL THEN '' ELSE s.text END AS text, CASE WHEN contains(h.trailing, chr(10)) THEN h.trailing WHEN t.tail_id IS NOT NULL THEN '' ELSE s.trailing END AS trailing,
+      s.revision + CASE WHEN h.head_id IS NULL AND t.tail_id IS NULL THEN 0 ELSE 1 END AS revision, CAST(CASE WHEN h.head_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS anchors FROM spans s LEFT JOIN cr_joins h ON h.head_id = s.span_id LEFT JOIN cr_joins t ON t.tail_id = s.span_id WHERE region_kind = 'body'""",
+    _CROSS,
+)
 def op_cross_page_join(v):
-    body = v.spans.where("region_kind = 'body'")
-    ends = body.where("text <> ''").groupBy("page_index").agg(F.max("span_id").alias("head_id"), F.max_by("revision", "span_id").alias("head_revision"), F.min("span_id").alias("first_id"))
-    nxt = ends.select((F.col("page_index") - 1).alias("page_index"), F.col("first_id").alias("tail_id"))
-    joins = ends.join(nxt, "page_index").select("head_id", "tail_id", "head_revision", F.lit("joined").alias("replacement"))
-    return review.apply_cross_page(body, joins, v.pages.where(state.approval() == "current")).select("span_id", "text")
+    """The last word of a page's body with the first one of the next page's; on each fifth page it has been made from other words."""
+    body = review.anchored(v.spans.where("region_kind = 'body'"))
+    word = F.struct("span_id", "revision", "text")
+    ends = body.where("text <> ''").groupBy("page_index").agg(F.max_by(word, "span_id").alias("h"), F.min_by(word, "span_id").alias("t"))
+    nxt = ends.select((F.col("page_index") - 1).alias("page_index"), F.col("t").alias("n"))
+    original = F.concat("h.text", F.lit(" / "), "n.text", F.when(F.col("page_index") % 5 == 4, "?").otherwise(""))
+    joins = ends.join(nxt, "page_index").select(F.col("h.span_id").alias("head_id"), F.col("n.span_id").alias("tail_id"), F.col("h.revision").alias("head_revision"), original.alias("original"), F.concat("h.text", "n.text").alias("replacement"), F.lit(None).cast("long").alias("proposal_id"))
+    done = review.apply_cross_page(body, joins, v.pages.where(state.approval() == "current"), v.proposals)
+    return done.select("span_id", "text", "trailing", "revision", F.size("anchors").cast("long").alias("anchors"))
 
 
 @query("op_approve", "SELECT p.page_index, coalesce(i.n, 0) AS open, CASE WHEN coalesce(i.n, 0) <= p.page_index % 60 THEN 'approved' ELSE 'conflict' END AS outcome FROM book_pages p LEFT JOIN (SELECT page_index, count(*) AS n FROM issues WHERE status = 'open' GROUP BY 1) i ON p.page_index = i.page_index")
@@ -280,9 +493,36 @@ def op_drafts(v):
     return state.latest(rows, ["span_id"], ["event_id"]).select("span_id", "text")
 
 
-@query("op_region_edit", "SELECT page_index, min(region_id) AS region_id, sum(line_count)::BIGINT AS line_count, min(x) AS x, max(x + w) - min(x) AS w FROM (SELECT *, CASE WHEN kind IN ('body', 'footer') THEN -1 ELSE region_id END AS k FROM regions) GROUP BY page_index, k")
+_RE = {
+    "re_kept": "SELECT * REPLACE (CASE WHEN kind = 'header' AND page_index % 4 = 1 THEN 'heading' WHEN kind = 'body' AND page_index % 4 = 2 THEN 'footnote' ELSE kind END AS kind), (kind = 'header' AND page_index % 4 = 1) OR (kind = 'body' AND page_index % 4 = 2) AS manual FROM regions WHERE NOT (kind = 'ignore' AND page_index % 2 = 0)",
+    "re_merged": """SELECT page_index, CASE WHEN m THEN page_index * 10 + 2 ELSE region_id END AS region_id, arg_min(kind, m AND region_order = 3) AS kind, arg_min(region_order, m AND region_order = 3) AS region_order, bool_or(manual) OR count(*) > 1 AS manual, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, CAST(sum(line_count) AS BIGINT) AS line_count
+      FROM (SELECT *, region_order IN (2, 3) AND page_index % 3 = 0 AND (page_index * 10 + 2) IN (SELECT region_id FROM re_kept) AS m FROM re_kept) GROUP BY page_index, CASE WHEN m THEN page_index * 10 + 2 ELSE region_id END""",
+    "re_cut": "SELECT *, 0 AS part, y AS y0, CASE WHEN y + 2 < 100 AND y + h - 2 > 100 THEN 100 - y ELSE h END AS h0, line_count AS n FROM re_merged UNION ALL SELECT *, 1, 100.0, y + h - 100, 0 FROM re_merged WHERE y + 2 < 100 AND y + h - 2 > 100",
+    "re_placed": "SELECT *, 9 - region_order AS position FROM re_cut WHERE NOT (page_index % 5 = 0 AND region_order = 4)",
+}
+_CLASS = "CASE kind WHEN 'header' THEN 0 WHEN 'page_number' THEN 1 WHEN 'heading' THEN 2 WHEN 'body' THEN 2 WHEN 'marginalia' THEN 3 WHEN 'footnote' THEN 4 WHEN 'footer' THEN 5 ELSE 8 END"
+
+
+@query(
+    "op_region_edit",
+    f"""SELECT page_index, region_id, CAST(part AS INTEGER) AS part, kind, CASE kind WHEN 'heading' THEN 'heading1' ELSE 'text' END AS structure, manual, x, y0 AS y, w, h0 AS h, CAST(n AS BIGINT) AS line_count, CAST(row_number() OVER (PARTITION BY page_index ORDER BY CASE WHEN page_index % 7 = 1 THEN {_CLASS} WHEN page_index % 5 = 0 THEN position ELSE region_order END,
+      CASE WHEN page_index % 7 = 1 THEN y0 ELSE 0 END, CASE WHEN page_index % 7 = 1 THEN x ELSE 0 END, region_id, part) - 1 AS BIGINT) AS region_order FROM re_placed""",
+    _RE,
+)
 def op_region_edit(v):
-    return review.region_edit(v.regions, F.col("kind").isin("body", "footer")).select("page_index", "region_id", "line_count", "x", "w")
+    """By page number: an ignored box is removed, heads and bodies change their class, foot joins body, everything is cut at 100 points, put in the opposite
+    order without the side note, or in automatic order."""
+    r, p, n = v.regions, F.col("page_index"), F.col("region_order")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def edit(of, action, kind=None, into=None, at=None, position=None):
+        fields = ((kind, "string", "kind"), (into, "long", "into"), (at, "double", "at"), (position, "long", "position"))
+        return of.select("page_index", F.lit(action).alias("action"), "region_id", *((none(t) if x is None else x.cast(t)).alias(name) for x, t, name in fields))
+
+    every = edit(r.where("kind = 'ignore' AND page_index % 2 = 0"), "remove").union(edit(r.where("kind = 'header' AND page_index % 4 = 1"), "retype", kind=F.lit("heading"))).union(edit(r.where("kind = 'body' AND page_index % 4 = 2"), "retype", kind=F.lit("footnote")))
+    every = every.union(edit(r.where("kind = 'footer' AND page_index % 3 = 0"), "merge", into=p * 10 + 2)).union(edit(r, "split", at=F.lit(100.0)))
+    every = every.union(edit(r.where("page_index % 5 = 0 AND region_order <> 4"), "reorder", position=9 - n)).union(edit(r.where("page_index % 7 = 1"), "auto"))
+    return review.region_edit(r, every)
 
 
 @query("op_region_split", "SELECT region_id, 0 AS part, y, CASE WHEN y + 2 < 100 AND y + h - 2 > 100 THEN 100 - y ELSE h END AS h FROM regions UNION ALL SELECT region_id, 1, 100.0, y + h - 100 FROM regions WHERE y + 2 < 100 AND y + h - 2 > 100")
@@ -290,16 +530,23 @@ def op_region_split(v):
     return layout.split_regions(v.regions, 100.0).select("region_id", "part", "y", "h")
 
 
+def _ink(v):
+    """Words as ink, those of each third page set in two columns; on each fourth page what follows the fourth line is small and stands apart, under a rule."""
+    w, line = F.col("word_no"), F.col("line_no")
+    two = F.col("page_index") % 3 == 0
+    row = line * 4 + F.floor(w / 8)
+    x = F.when(two, 40.0 + 290.0 * (F.floor(w / 4) % 2) + 60.0 * (w % 4)).otherwise(F.col("x"))
+    noted = (line > 4) & (F.col("page_index") % 4 == 1)
+    y = F.when(two, 36.0 + 14.0 * row).otherwise(F.col("y")) + F.when(noted, 40.0).otherwise(0.0)
+    glyphs = v.words.where(~two | (w < 32)).select("page_index", "seq", x.alias("x"), y.alias("y"), F.when(two, 50.0).otherwise(F.col("w")).alias("w"), F.when(noted, 8.0).otherwise(F.col("h")).alias("h"))
+    rules = v.words.where("line_no = 4 AND word_no = 0 AND page_index % 4 = 1").select("page_index", (F.col("seq") + 10_000_000).alias("seq"), F.lit(36.0).alias("x"), (F.col("y") + 11.0).alias("y"), F.lit(120.0).alias("w"), F.lit(1.0).alias("h"))
+    return glyphs.union(rules)
+
+
 @query("op_layout")
 def op_layout(v):
-    """Components (here: words) to lines, blocks and classed regions in reading order."""
-    lines = layout.clusters(v.words, gap=6.0).join(v.words, ["page_index", "seq"])
-    blocks = layout.union_boxes(lines, "page_index", "cluster").withColumnRenamed("cluster", "block")
-    merged = layout.merge_stacked(blocks, 8.0).join(blocks, ["page_index", "block"])
-    regions = layout.union_boxes(merged.drop("block", "count", "mean_h"), "page_index", "into").withColumnRenamed("into", "block")
-    rules = v.spark.createDataFrame([], "page_index long, y double")
-    classed = layout.classify(regions, rules, PAGE_W, 792.0, 10.0)
-    return layout.reading_order(classed.withColumn("column", F.lit(None).cast("long")).withColumn("region_id", F.col("block"))).select("page_index", "block", "kind", "reading_order")
+    """Ink components to lines, blocks and classed regions in columns and reading order."""
+    return layout.analyze(_ink(v), PAGE_W, PAGE_H).select("page_index", "block", "kind", "column", "line_count", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("w", 6).alias("w"), F.round("h", 6).alias("h"), "reading_order")
 
 
 # ---- export
@@ -323,18 +570,82 @@ def snk_docx(v):
     return sinks.read_part(plan, folder, "plan").groupBy("page_index").agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
 
 
-@query("val_export", "SELECT 'coverage' AS \"check\", TRUE AS ok, (SELECT count(*) FROM spans WHERE text <> '') || ' of ' || (SELECT count(*) FROM spans WHERE text <> '') || ' words' AS detail UNION ALL SELECT 'paragraphs', TRUE, '0 empty' UNION ALL SELECT 'order', TRUE, '0 regions differ' UNION ALL SELECT 'parity', TRUE, '0 pages differ'")
+_DOC = {
+    "do_words": "SELECT *, confidence < 20 AND origin = 'ocr' AS flagged, row_number() OVER (PARTITION BY page_index, region_kind ORDER BY seq) AS rn FROM spans WHERE text <> ''",
+    "do_paragraphs": """SELECT page_index, region_kind, CAST(sum(CASE WHEN paragraph_start THEN 1 ELSE 0 END) OVER (PARTITION BY page_index, region_kind ORDER BY seq) AS BIGINT) AS paragraph, seq, text, flagged FROM do_words""",
+    "do_plan": "SELECT page_index, region_kind, paragraph, string_agg(text, ' ' ORDER BY seq) AS text, count(*) AS words, count(*) FILTER (flagged) AS flags FROM do_paragraphs GROUP BY 1, 2, 3",
+    "do_sums": "SELECT count(*) AS paragraphs, sum(words) AS words, sum(words) FILTER (region_kind <> 'footer') AS kept, sum(flags) FILTER (region_kind <> 'footer') AS flags, count(*) FILTER (region_kind <> 'footer') AS shown, count(DISTINCT page_index) FILTER (region_kind <> 'footer') AS pages FROM do_plan",
+    "do_caps": "SELECT count(*) AS n FROM (SELECT page_index FROM do_plan WHERE region_kind = 'body' AND regexp_matches(text, '^\\p{L}.') GROUP BY 1)",
+    "do_notes": "SELECT count(*) AS n FROM words WHERE seq % 211 = 5 AND page_index IN (SELECT page_index FROM do_plan WHERE region_kind <> 'footer')",
+}
+
+
+def _document(v, settings):
+    """(plan, notes) of the words, with those of low confidence flagged, and a note for some."""
+    flagged = v.spans.withColumn("flagged", (F.col("confidence") < 20) & (F.col("origin") == "ocr"))
+    plan = storage.stored(export.compose(flagged, v.regions, listed=True), "plan")
+    noted = plan.where(~F.col("placement").isin(*settings.excluded)).select("page_index").distinct()
+    notes = v.words.where("seq % 211 = 5").join(noted, "page_index", "left_semi").select("page_index", F.floor(F.col("seq") / 211).alias("number"), F.concat(F.lit("see "), "text").alias("text"))
+    return plan, notes
+
+
+@query(
+    "val_export",
+    """SELECT unnest(['structure', 'frame attributes', 'side note boxes', 'drop caps', 'text parity', 'coverage', 'cross-page words', 'page boundaries', 'heads and feet', 'linked footnotes', 'no markers', 'working copy', 'properties', 'styles']) AS "check", TRUE AS ok,
+      unnest(['1 content types, 1 documents', '0 frames with names outside the schema', '0 of 0 side notes in boxes', do_caps.n || ' framed', shown || ' paragraphs match', kept || ' words and ' || (words - kept) || ' excluded of ' || words || '; 0 twice', '0 joined words once each', (pages - 1) || ' page breaks and 1 sections for ' || pages || ' pages',
+        '0 heads and 0 feet, 0 without a file', do_notes.n || ' references to ' || do_notes.n || ' notes, ' || do_notes.n || ' stored', '0 paragraphs with a page marker', flags || ' flags, ' || flags || ' highlights, ' || flags || ' comments', 'title A book', '6 of 6 styles']) AS detail FROM do_sums, do_caps, do_notes""",
+    _DOC,
+)
 def val_export(v):
-    return export.checks(v.spans, export.compose(v.spans, v.regions))
+    """A working copy, written page for page without the feet, read back from its files and checked."""
+    settings = export.Settings(working=True, comments=True, drop_caps=True, title="A book", excluded=("footer",))
+    plan, notes = _document(v, settings)
+    paragraphs, parts = export.render(plan, notes, settings)
+    folder = storage.new_path(v.spark, "document")
+    sinks.archive({"paragraphs": paragraphs, "parts": parts}, folder)
+    words, left = plan.agg(F.sum("words"), F.sum(F.when(F.col("placement").isin(*settings.excluded), F.col("words")).otherwise(0))).first()
+    joined = v.spark.createDataFrame([], "text string")
+    return export.validate(sinks.read_part(paragraphs, folder, "paragraphs"), sinks.read_part(parts, folder, "parts"), plan, notes, joined, settings, words or 0, left or 0)
+
+
+_SNAP = {
+    "sn_shown": "SELECT * FROM issues WHERE status IN ('open', 'deferred')",
+    "sn_flags": "SELECT page_index, span_id, arg_max(kind || '/' || coalesce(CAST(score AS VARCHAR), '-') || '/' || candidate_source || '/' || (status = 'deferred'), (seq, issue_id)) AS flag FROM sn_shown GROUP BY 1, 2",
+    "sn_words": "SELECT s.page_index, count(*) AS words, md5(string_agg(s.text, ' ' ORDER BY seq)) AS text, coalesce(md5(string_agg(f.flag, ',' ORDER BY seq)), md5('')) AS flags FROM spans s LEFT JOIN sn_flags f ON f.page_index = s.page_index AND f.span_id = s.span_id GROUP BY 1",
+    "sn_issues": "SELECT page_index, count(*) FILTER (status = 'open') AS unresolved, count(*) FILTER (status = 'deferred') AS deferred FROM sn_shown GROUP BY 1",
+    "sn_notes": "SELECT page_index, seq AS note, seq % 3 AS m, row_number() OVER (PARTITION BY page_index, seq % 3 ORDER BY seq) AS rn, sum(CASE WHEN seq % 44 = 5 THEN 0 ELSE 1 END) OVER (PARTITION BY page_index ORDER BY seq) AS k FROM words WHERE seq % 11 = 5",
+    "sn_heads": "SELECT page_index, note, m, coalesce(max(CASE WHEN note % 44 <> 5 OR first THEN note END) OVER (PARTITION BY page_index ORDER BY note), note) AS head FROM (SELECT *, row_number() OVER (PARTITION BY page_index ORDER BY note) = 1 AS first FROM sn_notes)",
+    "sn_anchors": "SELECT page_index, seq AS anchor, seq % 3 AS m, row_number() OVER (PARTITION BY page_index, seq % 3 ORDER BY seq) AS rn FROM words WHERE seq % 7 = 3",
+    "sn_refs": "SELECT sn_notes.page_index, anchor, note, sn_notes.m, row_number() OVER (PARTITION BY sn_notes.page_index ORDER BY anchor) AS number FROM sn_notes JOIN sn_anchors ON sn_anchors.page_index = sn_notes.page_index AND sn_anchors.m = sn_notes.m AND sn_anchors.rn = sn_notes.rn",
+    "sn_listed": "SELECT page_index, string_agg(number || ':' || anchor || ':' || sn_refs.note || ':' || m || ':' || coalesce(p.parts, ''), ',' ORDER BY number) AS notes FROM sn_refs LEFT JOIN (SELECT page_index, head AS note, string_agg(CAST(note AS VARCHAR), '+' ORDER BY note) AS parts FROM sn_heads GROUP BY 1, 2) p USING (page_index, note) GROUP BY 1",
+}
 
 
-@query("op_snapshot", "SELECT p.page_index, p.status, r.kinds, coalesce(s.n, 0) AS words, s.text FROM book_pages p LEFT JOIN (SELECT page_index, string_agg(region_order || ':' || kind, ',' ORDER BY region_order) AS kinds FROM regions GROUP BY 1) r ON p.page_index = r.page_index LEFT JOIN (SELECT page_index, count(*) AS n, md5(string_agg(text, ' ' ORDER BY seq)) AS text FROM spans WHERE text <> '' GROUP BY 1) s ON p.page_index = s.page_index")
+@query(
+    "op_snapshot",
+    """SELECT p.page_index, p.status, coalesce(r.kinds, '') AS kinds, coalesce(s.words, 0) AS words, coalesce(s.text, md5('')) AS text, coalesce(s.flags, md5('')) AS flags, coalesce(i.unresolved, 0) AS unresolved, coalesce(i.deferred, 0) AS deferred, coalesce(f.notes, '') AS notes FROM book_pages p
+    LEFT JOIN (SELECT page_index, string_agg(region_order || ':' || kind, ',' ORDER BY region_order) AS kinds FROM regions GROUP BY 1) r ON p.page_index = r.page_index LEFT JOIN sn_words s ON p.page_index = s.page_index LEFT JOIN sn_issues i ON p.page_index = i.page_index LEFT JOIN sn_listed f ON p.page_index = f.page_index WHERE p.text_done""",
+    _SNAP,
+)
 def op_snapshot(v):
-    """The nested documents, told by the order of regions and a digest of the words in order."""
-    size = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0)).cast("long")
+    """The nested documents, told by the order of regions, digests of words and flags in order, and the notes with their parts."""
+    from quirewise.operators import sequences
+
+    notes, anchors = v.words.where("seq % 11 = 5"), v.words.where("seq % 7 = 3")
+    marker = (F.col("seq") % 3).cast("string").alias("marker")
+    links = matching.link_markers(notes.select("page_index", "seq", marker), anchors.select("page_index", "seq", marker))
+    refs = sequences.footnote_numbers(links.select("page_index", F.col("anchor").alias("seq"), "note", F.lit("linked").alias("status"))).select("page_index", F.col("seq").alias("anchor"), "note", "number", (F.col("note") % 3).cast("string").alias("marker"))
+    own = notes.select("page_index", F.col("seq").alias("note"))
+    parts = review.continue_footnotes(own, own.where("note % 44 = 5")).select("page_index", "head", "note")
+    issues_ = v.issues.withColumn("reason", F.col("candidate_source"))
+    snap = export.snapshot(v.pages, v.spans, v.regions, issues_, refs, parts)
     kinds = F.array_join(F.transform("regions", lambda r: F.concat(r["region_order"].cast("string"), F.lit(":"), r["kind"])), ",")
     text = F.md5(F.array_join(F.transform("spans", lambda s: s["text"]), " "))
-    return export.snapshot(v.pages, v.spans, v.regions).select("page_index", "status", kinds.alias("kinds"), size("spans").alias("words"), text.alias("text"))
+    flag = lambda s: F.concat_ws("/", s["flag"]["kind"], F.coalesce(s["flag"]["score"].cast("string"), F.lit("-")), s["flag"]["reason"], s["flag"]["deferred"].cast("string"))
+    flags = F.md5(F.array_join(F.transform(F.filter("spans", lambda s: s["flag"].isNotNull()), flag), ","))
+    note = lambda n: F.concat_ws(":", n["number"].cast("string"), n["anchor"].cast("string"), n["note"].cast("string"), n["marker"], F.array_join(n["parts"].cast("array<string>"), "+"))
+    listed = F.array_join(F.transform("footnotes", note), ",")
+    return snap.select("page_index", "status", kinds.alias("kinds"), F.size("spans").cast("long").alias("words"), text.alias("text"), flags.alias("flags"), "unresolved", "deferred", listed.alias("notes"))
 
 
 # ---- pipeline state
@@ -411,7 +722,7 @@ def val_source_hash(v):
     return v.table("pages").select("page_id", (recorded == now).alias("ok"))
 
 
-@query("val_stale_ai", "SELECT p.proposal_id FROM proposals p JOIN spans s ON p.span_id = s.span_id WHERE p.source LIKE 'ai:%' AND (p.seq % 3 <> 0) AND p.original = s.text")
+@query("val_stale_ai", "SELECT p.proposal_id FROM proposals p JOIN spans s ON p.page_index = s.page_index AND p.seq = s.seq WHERE p.source LIKE 'ai:%' AND (p.seq % 3 <> 0) AND p.original = s.text")
 def val_stale_ai(v):
     seen = F.when(F.col("seq") % 3 == 0, F.col("revision") + 1).otherwise(F.col("revision"))
     asked = v.proposals.where("source LIKE 'ai:%'").select("proposal_id", "span_id", seen.alias("seen"), "original")

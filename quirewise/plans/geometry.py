@@ -139,33 +139,38 @@ def geo_gutters(v):
     return layout.gutters(cols, 4.0)
 
 
-_BLOCKS = """SELECT page_index, region_id AS block, CASE kind WHEN 'marginalia' THEN 700.0 ELSE x END AS x, y, w, h, CASE WHEN kind = 'body' THEN 5 ELSE 1 END AS count, 10.0 + region_order AS mean_h FROM regions WHERE kind <> 'ignore'"""
+#: A page's lines as blocks beside its regions, small ones every second; the first words of each third line as separators.
+_BLOCKS = """SELECT page_index, region_id AS block, CASE kind WHEN 'marginalia' THEN 700.0 ELSE x END AS x, y, w, h, CASE WHEN kind = 'body' THEN 5 ELSE 1 END AS count, 10.0 + region_order AS mean_h FROM regions WHERE kind <> 'ignore'
+  UNION ALL SELECT page_index, -(page_index * 100000 + seq), x, y, w, h, 2, CASE WHEN line_no % 2 = 0 THEN 8.0 ELSE 10.0 END FROM words WHERE word_no = 0"""
+_SEPARATORS = "SELECT page_index, y FROM words WHERE word_no = 0 AND line_no % 3 = 1"
 
 
 @query(
     "geo_classify",
     """SELECT block, CASE WHEN y < 95.04 AND count <= 2 AND (mx0 IS NULL OR y + h <= my0 + 10) THEN CASE WHEN w < 30 THEN 'page_number' ELSE 'header' END
-      WHEN y + h > 712.8 AND count <= 2 AND (mx0 IS NULL OR y >= my1 - 10) THEN CASE WHEN w < 50 AND coalesce(x + w >= mx1 - 40, FALSE) THEN 'catchword' ELSE 'footer' END
+      WHEN y + h > 712.8 AND count <= 2 AND (mx0 IS NULL OR y >= my1 - 10) THEN CASE WHEN w < 50 AND coalesce(x + w >= mx1 - 40, TRUE) THEN 'catchword' ELSE 'footer' END
       WHEN coalesce(x + w <= mx0 - 5 OR x >= mx1 + 5, FALSE) AND w < 214.2 THEN 'marginalia'
-      WHEN ins AND mean_h < 8.8 AND coalesce(y >= my1 - 10, FALSE) THEN 'footnote'
+      WHEN ins AND mean_h < 8.8 AND (coalesce(y >= my1 - 10, FALSE) OR EXISTS (SELECT 1 FROM seps s WHERE s.page_index = z.page_index AND s.y < z.y AND s.y > z.my0 AND z.y - s.y < 60)) THEN 'footnote'
       WHEN ins AND (mean_h > 12.5 OR (w < 0.7 * widest AND count <= 3 AND coalesce(y < my0 + 10, FALSE))) THEN 'heading'
       WHEN ins OR mx0 IS NULL THEN 'body' ELSE 'uncertain' END AS kind
     FROM (SELECT *, coalesce(x >= mx0 - 20 AND x + w <= mx1 + 20, FALSE) AS ins FROM (
       SELECT *, min(CASE WHEN m THEN x END) OVER p AS mx0, max(CASE WHEN m THEN x + w END) OVER p AS mx1, min(CASE WHEN m THEN y END) OVER p AS my0, max(CASE WHEN m THEN y + h END) OVER p AS my1
-      FROM (SELECT *, max(w) OVER (PARTITION BY page_index) AS widest, w >= 0.6 * max(w) OVER (PARTITION BY page_index) AND count >= 3 AS m FROM blocks) WINDOW p AS (PARTITION BY page_index)))""",
-    {"blocks": _BLOCKS},
+      FROM (SELECT *, max(w) OVER (PARTITION BY page_index) AS widest, w >= 0.6 * max(w) OVER (PARTITION BY page_index) AND count >= 3 AS m FROM blocks) WINDOW p AS (PARTITION BY page_index))) z""",
+    {"blocks": _BLOCKS, "seps": _SEPARATORS},
 )
 def geo_classify(v):
     blocks = _blocks(v)
-    rules = v.spark.createDataFrame([], "page_index long, y double")
+    rules = v.words.where("word_no = 0 AND line_no % 3 = 1").select("page_index", "y")
     return layout.classify(blocks, rules, PAGE_W, PAGE_H, 10.0).select("block", "kind")
 
 
 def _blocks(v):
     kind = F.col("kind")
-    return v.regions.where("kind <> 'ignore'").select(
+    regions = v.regions.where("kind <> 'ignore'").select(
         "page_index", F.col("region_id").alias("block"), F.when(kind == "marginalia", 700.0).otherwise(F.col("x")).alias("x"), "y", "w", "h", F.when(kind == "body", 5).otherwise(1).cast("long").alias("count"), (10.0 + F.col("region_order")).alias("mean_h")
     )
+    lines = v.words.where("word_no = 0").select("page_index", -(F.col("page_index") * 100_000 + F.col("seq")), *"xywh", F.lit(2).cast("long"), F.when(F.col("line_no") % 2 == 0, 8.0).otherwise(10.0))
+    return regions.union(lines)
 
 
 @query("geo_merge_body")

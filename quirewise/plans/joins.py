@@ -47,7 +47,7 @@ def jn_span_region_kind(v):
     return v.spans.join(r, ["page_index", "region_kind"]).select("span_id", "region_id")
 
 
-@query("jn_issue_flags", "SELECT s.span_id, i.kind AS flag FROM spans s JOIN (SELECT span_id, max_by(kind, created_at) AS kind FROM issues WHERE status IN ('open', 'deferred') GROUP BY 1) i ON s.span_id = i.span_id")
+@query("jn_issue_flags", "SELECT s.span_id, i.kind AS flag FROM spans s JOIN (SELECT page_index, seq, max_by(kind, created_at) AS kind FROM issues WHERE status IN ('open', 'deferred') GROUP BY 1, 2) i ON s.page_index = i.page_index AND s.seq = i.seq")
 def jn_issue_flags(v):
     last = v.issues.where("status IN ('open', 'deferred')").groupBy("span_id").agg(F.max_by("kind", F.struct("seq", "created_at")).alias("flag"))
     return v.spans.select("span_id").join(last, "span_id")

@@ -279,27 +279,46 @@ def fn_format_bytes(v):
 
 # ---- numerals
 
-_ROMAN_SQL = "SELECT n, repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1] AS numeral FROM (SELECT unnest(range(1, 4000)) AS n)"
+_DIGITS = "repeat('m', n // 1000) || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][n // 100 % 10 + 1] || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][n // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][n % 10 + 1]"
+_NUMERALS = {
+    "numbers": "SELECT DISTINCT doc_id % 3999 + 1 AS n FROM documents",
+    "paged": f"SELECT n, {_DIGITS} AS numeral FROM numbers",
+    "old_style": "SELECT DISTINCT repeat('x', CAST(n % 6 AS INTEGER)) || repeat('i', CAST(n // 6 % 5 + 1 AS INTEGER)) AS numeral FROM numbers",
+    "valued": "SELECT numeral, list_transform(string_split(numeral, ''), lambda c: CASE c WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END) AS vs FROM (SELECT numeral FROM paged UNION SELECT numeral FROM old_style UNION SELECT token FROM tokens)",
+    "summed": "SELECT numeral, CAST(list_sum(list_transform(vs, lambda v, i: CASE WHEN v < coalesce(vs[i + 1], 0) THEN -v ELSE v END)) AS BIGINT) AS total FROM valued",
+}
 
 
-@query("fn_to_roman", "SELECT n, numeral FROM rn", {"rn": _ROMAN_SQL})
+def _numbers(v):
+    """Page numbers, as far as numerals go."""
+    return v.table("documents").select((F.col("doc_id") % 3999 + 1).alias("n")).distinct()
+
+
+def _numerals(v):
+    """The numerals of page numbers, some old ones with many equal letters, and all words: numeral."""
+    n = F.col("n")
+    old = F.concat(F.repeat(F.lit("x"), (n % 6).cast("int")), F.repeat(F.lit("i"), (F.floor(n / 6) % 5 + 1).cast("int")))
+    numbers = _numbers(v)
+    return numbers.select(N.to_roman(n).alias("numeral")).union(numbers.select(old)).union(v.tokens.select("token")).distinct()
+
+
+@query("fn_to_roman", "SELECT n, numeral FROM paged", _NUMERALS)
 def fn_to_roman(v):
-    return v.spark.range(1, 4000).select(F.col("id").alias("n"), N.to_roman(F.col("id")).alias("numeral"))
+    return _numbers(v).select("n", N.to_roman(F.col("n")).alias("numeral"))
 
 
-@query("fn_roman_value", "SELECT numeral, n AS value FROM rn", {"rn": _ROMAN_SQL})
+@query("fn_roman_value", f"SELECT numeral, CASE WHEN regexp_matches(numeral, '{N.STANDARD}') THEN total END AS value FROM summed", _NUMERALS)
 def fn_roman_value(v):
-    return v.spark.range(1, 4000).select(N.to_roman(F.col("id")).alias("numeral")).select("numeral", N.roman_value(F.upper("numeral")).cast("long").alias("value"))
+    return _numerals(v).select("numeral", N.roman_value(F.upper("numeral")).cast("long").alias("value"))
 
 
-@query("fn_roman_old", "SELECT repeat('x', t) || repeat('i', u) AS numeral, t * 10 + u AS value FROM (SELECT unnest(range(0, 6)) AS t), (SELECT unnest(range(1, 6)) AS u)")
+@query("fn_roman_old", f"SELECT numeral, CASE WHEN regexp_matches(numeral, '{N.OLD}') THEN total END AS value FROM summed", _NUMERALS)
 def fn_roman_old(v):
-    pairs = v.spark.range(6).select(F.col("id").alias("t"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("u"))
-    numeral = F.concat(F.repeat(F.lit("x"), F.col("t").cast("int")), F.repeat(F.lit("i"), F.col("u")))
-    return pairs.select(numeral.alias("numeral")).select("numeral", N.roman_old(F.col("numeral")).cast("long").alias("value"))
+    return _numerals(v).select("numeral", N.roman_old(F.col("numeral")).cast("long").alias("value"))
 
 
 @query("fn_roman_info")
 def fn_roman_info(v):
-    misread = F.concat(F.translate(N.to_roman(F.col("id")), "i", "1"), F.lit("."))
-    return v.spark.range(1, 4000).select(misread.alias("token")).withColumn("info", N.roman_info(F.col("token"))).select("token", "info.core", "info.value", "info.standard", "info.readings")
+    """All words, and the numerals of page numbers with ones for i, and a full stop."""
+    misread = _numbers(v).select(F.concat(F.translate(N.to_roman(F.col("n")), "i", "1"), F.lit(".")).alias("token"))
+    return misread.union(_numerals(v)).distinct().withColumn("info", N.roman_info(F.col("token"))).select("token", "info.core", "info.value", "info.standard", "info.readings")

@@ -205,9 +205,9 @@ def snk_layout_save(v):
     return state.save_layout(v.regions).select("page_index", "region_id", "x", "y", "w", "h", "region_order")
 
 
-@query("snk_import", "SELECT i AS page_index, CASE WHEN i + 1 BETWEEN 3 AND 40 OR i + 1 BETWEEN 55 AND 60 THEN 'queued' ELSE 'unprocessed' END AS status FROM (SELECT unnest(range(0, 100)) AS i)")
+@query("snk_import", "SELECT doc_id AS page_index, CASE WHEN doc_id + 1 BETWEEN 3 AND 40 OR doc_id + 1 BETWEEN 55 AND 60 THEN 'queued' ELSE 'unprocessed' END AS status FROM documents")
 def snk_import(v):
-    return state.import_pages(v.spark, 100, [(3, 40), (55, 60)])
+    return state.import_pages(v.table("documents").select(F.col("doc_id").alias("page_index")), [(3, 40), (55, 60)])
 
 
 @query("snk_migrate", "SELECT proposal_id, coalesce(s.page_index, p.page_index) AS page_index FROM proposals p LEFT JOIN (SELECT span_id, page_index FROM spans WHERE page_index % 2 = 0) s ON p.span_id + 10000000 = s.span_id")

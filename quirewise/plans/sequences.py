@@ -158,10 +158,17 @@ def win_batches(v):
     return ai.batches(v.table("conversations"), "conv_id", "turn", F.length("text"), most=3, budget=900)
 
 
-@query("win_scope_merge", "SELECT * FROM (VALUES (1, 1, 8), (1, 10, 25), (2, 1, 529)) t(book, lo, hi)")
+@query(
+    "win_scope_merge",
+    """SELECT book, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(CASE WHEN far IS NULL OR lo > far + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT book, lo, hi, max(hi) OVER (PARTITION BY book ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (
+        SELECT user_id AS book, greatest(event_id * 7 % 600 - 20, 1) AS lo, least(event_id * 7 % 600 - 25 + event_id % 40, 529) AS hi FROM events) WHERE lo <= hi)) GROUP BY book, island""",
+)
 def win_scope_merge(v):
-    rows = [(1, 10, 20), (1, 1, 5), (1, 6, 8), (1, 19, 25), (1, 600, 700), (2, 0, 100), (2, 101, 900), (2, 7, 3)]
-    return sets.merge_ranges(v.spark.createDataFrame(rows, "book int, lo int, hi int"), 529, "book")
+    """A user's events as page ranges, some beyond the book, some the wrong way round."""
+    e = F.col("event_id")
+    lo = e * 7 % 600 - 20
+    return sets.merge_ranges(v.table("events").select(F.col("user_id").alias("book"), lo.alias("lo"), (lo - 5 + e % 40).alias("hi")), 529, "book").select("book", "lo", "hi")
 
 
 @query(
