@@ -17,7 +17,7 @@ _MARKS = "'*', '†', '1', '(2)', '3.', '¹', '||', '!', '?', ')', ',†', '12',
 
 
 def tokens(v):
-    return v.words.select(F.col("text").alias("token")).distinct()
+    return v.texts.select(F.col("text").alias("token")).distinct()
 
 
 def marked(v, suffix=True):
@@ -143,7 +143,7 @@ _CORES = f"SELECT DISTINCT {_STRIP.format('text')} AS token FROM words WHERE {_S
 )
 def fn_spell_score(v):
     """By confusion, else by suggestion, for every unknown word."""
-    cores = v.words.select(T.strip(F.col("text")).alias("token")).distinct().where("token <> ''")
+    cores = v.texts.select(T.strip(F.col("text")).alias("token")).distinct().where("token <> ''")
     unknown = spelling.known(cores, v.lexicon).where("NOT known").select("token")
     return spelling.spell_scores(unknown, v.lexicon).select("token", F.col("score").cast("int").alias("score"))
 
