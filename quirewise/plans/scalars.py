@@ -273,8 +273,8 @@ def fn_scope_label(v):
     "SELECT event_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(floor(n / 1024.0::DOUBLE + 0.5) AS BIGINT) || ' KB' WHEN n < 1073741824 THEN CAST(floor(n / 1048576.0::DOUBLE + 0.5) AS BIGINT) || ' MB' ELSE CAST(floor(n / 1073741824.0::DOUBLE * 10 + 0.5) AS BIGINT) // 10 || '.' || CAST(floor(n / 1073741824.0::DOUBLE * 10 + 0.5) AS BIGINT) % 10 || ' GB' END AS size FROM (SELECT event_id, event_id * event_id * event_id * 37 AS n FROM events)",
 )
 def fn_format_bytes(v):
-    e = F.col("event_id")
-    return v.table("events").select("event_id", T.format_bytes(e * e * e * 37).alias("size"))
+    e = F.col("event_id").cast("decimal(38,0)")  # cubes of ids beyond 600,000 leave 64 bits
+    return v.table("events").select("event_id", T.format_bytes((e * e * e * 37).cast("decimal(38,0)")).alias("size"))
 
 
 # ---- numerals

@@ -43,3 +43,23 @@ def test_stored_leaves_no_shuffles(spark):
     out = storage.stored(spark.range(1000).repartition(7, "id").groupBy("id").count(), "tidy")
     assert shuffle_files(spark) <= before
     assert out.count() == 1000
+
+
+def test_bytes_beyond_64_bits(spark, tmp_path):
+    """Ids whose cubes leave 64 bits are formatted like the others."""
+    import __spark_entry__ as entry
+
+    ids = [0, 5, 600_000, 700_000, 6_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = dict(entry.queries()["fn_format_bytes"](spark, str(tmp_path)).collect())
+    tenths = {i: (i**3 * 37 * 20 + (1 << 30)) // (1 << 31) for i in ids}
+    assert got == {0: "0 B", 5: "5 KB"} | {i: f"{tenths[i] // 10}.{tenths[i] % 10} GB" for i in ids[2:]}
+
+
+def test_every_numeral(spark):
+    """All numbers that have a numeral, not only those that a small table's pages bear."""
+    import __spark_entry__ as entry
+
+    rows = {r.n: r for r in entry.queries()["fn_to_roman"](spark, DATA).collect()}
+    assert sorted(rows) == list(range(1, 4000)) and rows[3999].numeral == "mmmcmxcix"
+    assert sum(r.pages for r in rows.values()) == spark.read.parquet(f"{DATA}/documents.parquet").count()
