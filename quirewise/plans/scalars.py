@@ -302,9 +302,15 @@ def _numerals(v):
     return numbers.select(N.to_roman(n).alias("numeral")).union(numbers.select(old)).union(v.tokens.select("token")).distinct()
 
 
-@query("fn_to_roman", "SELECT n, numeral FROM paged", _NUMERALS)
+#: Every number that has a numeral, and how many pages bear it.
+_EVERY = {"every": f"SELECT n, count(d.doc_id) AS pages, {_DIGITS} AS numeral FROM (SELECT unnest(generate_series(1, 3999)) AS n) LEFT JOIN documents d ON d.doc_id % 3999 + 1 = n GROUP BY n"}
+
+
+@query("fn_to_roman", "SELECT n, numeral, pages FROM every", _EVERY)
 def fn_to_roman(v):
-    return _numbers(v).select("n", N.to_roman(F.col("n")).alias("numeral"))
+    borne = v.table("documents").groupBy((F.col("doc_id") % 3999 + 1).alias("n")).agg(F.count("*").alias("pages"))
+    every = v.spark.range(1, 4000).select(F.col("id").alias("n")).join(borne, "n", "left")
+    return every.select("n", N.to_roman(F.col("n")).alias("numeral"), F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))
 
 
 @query("fn_roman_value", f"SELECT numeral, CASE WHEN regexp_matches(numeral, '{N.STANDARD}') THEN total END AS value FROM summed", _NUMERALS)
