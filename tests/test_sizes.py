@@ -63,3 +63,13 @@ def test_every_numeral(spark):
     rows = {r.n: r for r in entry.queries()["fn_to_roman"](spark, DATA).collect()}
     assert sorted(rows) == list(range(1, 4000)) and rows[3999].numeral == "mmmcmxcix"
     assert sum(r.pages for r in rows.values()) == spark.read.parquet(f"{DATA}/documents.parquet").count()
+
+
+def test_equal_ranges_merge(spark):
+    """Many equal ranges a book give the plain union, in whatever order they come."""
+    from quirewise.operators import sets
+
+    ranges = [(b, lo, lo + lo % 7) for b in range(3) for lo in range(-5, 300, 9 + b) for _ in range(40)]
+    got = {tuple(r) for r in sets.merge_ranges(spark.createDataFrame(ranges, "book long, lo long, hi long").repartition(16), 250, "book").select("book", "lo", "hi").collect()}
+    pages = {b: {p for c, lo, hi in ranges if c == b for p in range(max(lo, 1), min(hi, 250) + 1)} for b in range(3)}
+    assert got == {(b, lo, min(p for p in range(lo, 252) if p + 1 not in own)) for b, own in pages.items() for lo in own if lo - 1 not in own}
