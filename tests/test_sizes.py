@@ -98,3 +98,12 @@ def test_refused_anchors():
     began = time.perf_counter()
     assert len(first_free([(n, {n}) for n in range(200_000)], list(range(200_000)))) >= 199_999
     assert time.perf_counter() - began < 5
+
+
+def test_lines_that_tie_have_one_order(spark):
+    """Lines at one place rank by their number, however the rows are dealt."""
+    from quirewise.operators.sequences import lines_of
+
+    rows = [(1, "body", n, 36.0, 50.0, 12.0, 10.0, f"w{n}") for n in range(40)]
+    words = spark.createDataFrame(rows[::-1], "page_index long, region_kind string, line_no long, x double, y double, w double, h double, text string")
+    assert [r.line_no for r in lines_of(words.repartition(7, "line_no")).orderBy("rank").collect()] == list(range(40))
