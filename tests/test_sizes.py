@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 
+import pytest
+
+import quirewise.plans
 from quirewise.operators import spelling
+from quirewise.plans import registry
 from quirewise.sources import storage
 
 DATA = "/root/testdata/sf0.001"
@@ -107,3 +111,21 @@ def test_lines_that_tie_have_one_order(spark):
     rows = [(1, "body", n, 36.0, 50.0, 12.0, 10.0, f"w{n}") for n in range(40)]
     words = spark.createDataFrame(rows[::-1], "page_index long, region_kind string, line_no long, x double, y double, w double, h double, text string")
     assert [r.line_no for r in lines_of(words.repartition(7, "line_no")).orderBy("rank").collect()] == list(range(40))
+
+
+def moved(df):
+    """What is shuffled by hash in a plan, but documents dealt by page."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "REPARTITION_BY_NUM" not in line]
+
+
+@pytest.mark.parametrize("name", ["op_region_merge"])
+def test_words_are_joined_where_their_page_is(spark, name):
+    """Texts are shuffled by page, not the words made of them, which take some five times as much."""
+    quirewise.plans.load()
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(registry.QUERIES[name](spark, DATA)) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
