@@ -114,12 +114,17 @@ def test_lines_that_tie_have_one_order(spark):
 
 
 def moved(df):
-    """What is shuffled by hash in a plan, but documents dealt by page."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "REPARTITION_BY_NUM" not in line]
+    """Hash shuffles of a plan that have words below them, which are exploded from documents."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    out = []
+    for i, line in enumerate(lines):
+        if (at := line.find("Exchange hashpartitioning(")) >= 0:
+            inside = next((k for k in range(i + 1, len(lines)) if not lines[k][:at].strip(" :+-") == ""), len(lines))
+            out += [line] * any("Generate posexplode" in x for x in lines[i + 1 : inside])
+    return out
 
 
-@pytest.mark.parametrize("name", ["op_region_merge"])
+@pytest.mark.parametrize("name", ["op_region_merge", "op_auto_apply", "op_auto_apply_proposals", "val_ai_reply", "jn_best_overlap"])
 def test_words_are_joined_where_their_page_is(spark, name):
     """Texts are shuffled by page, not the words made of them, which take some five times as much."""
     quirewise.plans.load()
@@ -129,3 +134,13 @@ def test_words_are_joined_where_their_page_is(spark, name):
         assert moved(registry.QUERIES[name](spark, DATA)) == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_words_with_their_anchors_stay_where_their_page_is(spark):
+    """Joins over page breaks are sought and applied without shuffling the words; of the joins themselves there is one a page."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved(registry.QUERIES["op_cross_page_join"](spark, DATA)) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
