@@ -161,3 +161,13 @@ def test_fit_compares_few_words():
     assert edits.fit(old, [w + "x" for w in old]) == [w + "x" for w in old]
     asked = edits.distance.cache_info()
     assert asked.hits + asked.misses <= len(old)
+
+
+def test_decisions_move_no_words(spark):
+    """Words, issues and decisions stay dealt by page as they are stored: decisions shuffle nothing after the documents."""
+    import __spark_entry__ as entry
+
+    for name in ("op_decide", "op_decide_issues", "op_decide_proposals", "op_decide_history"):
+        df = entry.queries()[name](spark, DATA)
+        assert df._jdf.queryExecution().sparkPlan().toString().count("Join") > 0
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString(), name
