@@ -171,3 +171,14 @@ def test_decisions_move_no_words(spark):
         df = entry.queries()[name](spark, DATA)
         assert df._jdf.queryExecution().sparkPlan().toString().count("Join") > 0
         assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_layout_moves_no_ink(spark):
+    """Components are clustered and united where they are stored: the rows shuffled to unite them are lines."""
+    from quirewise.operators import layout
+
+    boxes = spark.range(40).selectExpr("id % 4 AS page_index", "id AS seq", "CAST(id AS DOUBLE) AS x", "0.0D AS y", "1.0D AS w", "10.0D AS h")
+    dealt = storage.stored(boxes.repartition(3, "page_index"), "boxes", 3)
+    grouped = layout.clusters(dealt, 6.0, boxed=True)
+    assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in layout.union_boxes(grouped, "page_index", "cluster").select("page_index", "cluster", "count", "x", "w").collect()} == {(p, p, 10, float(p), 37.0) for p in range(4)}
