@@ -107,9 +107,8 @@ def jn_nearest_text(v):
     {"g": "SELECT page_index, seq, text || ' ' || lead(text) OVER o || ' ' || lead(text, 2) OVER o AS run FROM words WINDOW o AS (PARTITION BY page_index ORDER BY seq)"},
 )
 def jn_nearest_run(v):
-    runs = matching.word_runs(v.words, 3)
-    edits = runs.select("page_index", "seq", F.col("run").alias("text"), (F.col("seq") + 5).alias("at"))
-    return matching.nearest_equal(edits, runs.select("page_index", F.col("run").alias("text"), F.col("seq").alias("start"))).select("page_index", "seq", "start")
+    runs = matching.word_runs(v.page_words, 3).withColumn("at", F.col("seq") + 5)
+    return matching.nearest_runs(v.page_words, runs).select("page_index", "seq", "start")
 
 
 _BODY_LINES = "SELECT page_index, line_no, min(y) + 5 AS cy FROM spans WHERE region_kind = 'body' GROUP BY 1, 2"

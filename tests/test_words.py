@@ -1,6 +1,9 @@
 """Words made inside their page's row, and what is read from them once."""
 
+import random
+
 import quirewise.plans
+from quirewise.operators import matching
 from quirewise.plans.registry import QUERIES
 from quirewise.sources.views import Views
 
@@ -32,3 +35,30 @@ def test_recognition_rows_are_split_once(spark):
     """A row's fields are split once, words need no window."""
     text = plan(QUERIES["src_tsv"](spark, SF))
     assert text.count("split(") == 1 and "Window" not in text
+
+
+def test_runs_are_sought_in_their_page(spark):
+    """Nearest equal runs, the lower of equals, places beyond the page too; hot runs on one page."""
+    rng = random.Random(3)
+    pages = {p: [rng.choice("abc"[: 1 + p % 3]) for _ in range(rng.choice([0, 1, 2, 9, 40]))] for p in range(30)} | {99: ["w"] * 20_000}
+    wanted = [(p, 100 * p + k, rng.randrange(-5, 50), " ".join(rng.choice("abcd") for _ in range(1 + k % 4))) for p in range(31) for k in range(40)] + [(99, 10_000 + k, 19_990 + k, "w w w") for k in range(20)]
+    expected = set()
+    for p, seq, at, run in wanted:
+        own, run = pages.get(p, []), run.split()
+        if places := [i for i in range(len(own) - len(run) + 1) if own[i : i + len(run)] == run]:
+            expected.add((p, seq, min(places, key=lambda i: (abs(i - at), i)), len(run)))
+    df = spark.createDataFrame(list(pages.items()), "page_index long, words array<string>")
+    got = matching.nearest_runs(df, spark.createDataFrame(wanted, "page_index long, seq long, at long, run string")).collect()
+    assert len(got) == len(expected) > 200 and {tuple(r) for r in got} == expected
+
+
+def test_runs_need_no_windows(spark):
+    """Words and runs stay where their page is, unsorted."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("jn_nearest_run", "op_reapply_edits"):
+            text = plan(QUERIES[name](spark, SF))
+            assert "Window" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM"), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
