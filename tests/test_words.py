@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import quirewise.plans
-from quirewise.operators import matching
+from quirewise.operators import layout, matching
 from quirewise.plans.registry import QUERIES
 from quirewise.sources.views import Views
 
@@ -62,3 +64,28 @@ def test_runs_need_no_windows(spark):
             assert "Window" not in text and text.count("Exchange") == text.count("REPARTITION_BY_NUM"), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_boxes_join_as_by_all_pairs(monkeypatch):
+    """Boxes of several pages swept at once, few pairs at a time, against every box with every other."""
+    monkeypatch.setattr(layout, "PAIRS", 50)
+    rng = np.random.default_rng(1)
+    for t in range(60):
+        n = int(rng.integers(1, 60))
+        page, seq, side = rng.integers(0, 3, n), rng.permutation(n) + 5, rng.integers(0, 2, n)
+        x, y, w, h = (np.round(rng.uniform(lo, hi, n)) for lo, hi in ((-50, 300), (-20, 60 if t % 2 else 300), (0, 40), (0, 12)))
+        if t % 5 == 0:
+            h[0], w[-1] = 500, 900
+        far = np.array([6.0, 3.0, 250.0])[page]
+        group = layout.Groups(n)
+        for i in range(n):
+            for j in range(n):
+                reached = page[i] == page[j] and side[i] == side[j] and (x[i], seq[i]) < (x[j], seq[j]) and x[j] <= x[i] + w[i] + min(200, far[i])
+                if reached and min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]) >= 0.5 * min(h[i], h[j]):
+                    group.tie(i, j)
+        tops = [group.top(i) for i in range(n)]
+        assert list(layout.joined_boxes(page, side, far, seq, x, y, w, h, 0.5, 200.0)) == [min(seq[k] for k in range(n) if tops[k] == tops[i]) for i in range(n)]
+
+
+def test_clusters_take_many_pages_at_once(spark):
+    assert "FlatMapGroupsInPandas" not in plan(QUERIES["geo_cluster"](spark, SF))
