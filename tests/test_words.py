@@ -5,9 +5,11 @@ import random
 import numpy as np
 
 import quirewise.plans
-from quirewise.operators import layout, matching
+from pyspark.sql import functions as F
+from quirewise.operators import export, layout, matching
 from quirewise.plans.registry import QUERIES
 from quirewise.sources.views import Views
+from tests.test_sizes import moved
 
 SF = "/root/testdata/sf0.001"
 quirewise.plans.load()
@@ -29,8 +31,10 @@ def test_words_of_odd_texts(spark, tmp_path):
             for k, w in enumerate(words):
                 expected.add((page, n, k, seq, w, lines[0][0], lines[-1][0], len(words) - 1, 36.0 + 6.0 * sum(len(x) + 1 for x in words[:k])))
                 seq += 1
-    got = Views(spark, str(folder))._words.select("page_index", "line_no", "word_no", "seq", "text", "first_line", "last_line", "last_word", "x").collect()
-    assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+    v = Views(spark, str(folder))
+    for words in (v._words, v._loose):
+        got = words.select("page_index", "line_no", "word_no", "seq", "text", "first_line", "last_line", "last_word", "x").collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
 
 
 def test_recognition_rows_are_split_once(spark):
@@ -89,3 +93,24 @@ def test_boxes_join_as_by_all_pairs(monkeypatch):
 
 def test_clusters_take_many_pages_at_once(spark):
     assert "FlatMapGroupsInPandas" not in plan(QUERIES["geo_cluster"](spark, SF))
+
+
+def test_ids_are_covered_as_counted(spark):
+    """Runs of ids that overlap, repeat, cross blocks or are out of order, against counting each id."""
+    rng = random.Random(8)
+    lists = [[], [5, 5, 7], [9_999, 10_000, 10_001], list(range(9_990, 30_010)), [3, 9, 1]] + [[rng.randrange(60) for _ in range(rng.randrange(9))] for _ in range(40)]
+    ids = [i for x in lists for i in x]
+    df = spark.createDataFrame(list(enumerate(lists)), "page_index long, span_ids array<long>")
+    assert [tuple(r) for r in export.covered_ids(df).collect()] == [(len(ids), len(ids) - len(set(ids)))]
+    assert [tuple(r) for r in export.covered_ids(df.where("false")).collect()] == [(0, 0)]
+
+
+def test_composing_moves_no_words(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        v = Views(spark, SF)
+        df = export.compose(v.spans.withColumn("flagged", F.col("seq") > 5), v.dealt_regions, listed=True)
+        assert moved(df) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
