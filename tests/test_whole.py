@@ -4,7 +4,7 @@ import random
 from collections import defaultdict
 
 import quirewise.plans
-from quirewise.operators import edits
+from quirewise.operators import edits, reconstruct
 from quirewise.plans.registry import QUERIES
 from quirewise.sources.views import Views
 
@@ -82,3 +82,17 @@ def test_long_texts_are_split_at_common_words():
     new = ["lead", *old[:100], "put", "in", *old[100:150], "w150x", *old[152:]]
     out = edits.fit(old, new)
     assert out == ["lead w0", *old[1:99], "w99 put in", *old[100:150], "w150x", "", *old[152:]]
+
+
+def test_every_unknown_word_is_searched(spark):
+    """A page of 60 unknown words gets 60 proposals; one that stands for several words of the page gets its own at each."""
+    vowels = "aeiou"
+    known = [f"{a}{b}{c}lmst" for a in "bdfgk" for b in vowels for c in "nprt"][:55]
+    asked = [w[:-1] + "q" for w in known] + [known[0][:-1] + "q"] * 5
+    lexicon = spark.createDataFrame([(w,) for w in known], "token string")
+    rows = [(1, i, 1, 7, False, w) for i, w in enumerate(asked)]
+    spans = spark.createDataFrame(rows, "page_index long, position long, revision long, region_id long, protected boolean, text string")
+    fragments = spark.createDataFrame([], "page_index long, position long")
+    got = reconstruct.proposals_of(spans, lexicon, fragments).collect()
+    assert sorted((r.position, r.replacement) for r in got) == [(i, (known + known[:1] * 5)[i]) for i in range(60)]
+    assert {(r.kind, r.score) for r in got} == {("spelling", 72)}
