@@ -7,7 +7,7 @@ import os
 import pytest
 
 import quirewise.plans
-from quirewise.operators import spelling
+from quirewise.operators import reconstruct, spelling
 from quirewise.plans import registry
 from quirewise.sources import storage
 
@@ -182,3 +182,38 @@ def test_layout_moves_no_ink(spark):
     grouped = layout.clusters(dealt, 6.0, boxed=True)
     assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in layout.union_boxes(grouped, "page_index", "cluster").select("page_index", "cluster", "count", "x", "w").collect()} == {(p, p, 10, float(p), 37.0) for p in range(4)}
+
+
+def test_discarded_tables_are_gone(spark):
+    """Of two tables of one name the one that is given goes, with its files; the other stays readable."""
+    where = lambda df: df._stored_at.removeprefix("file:")
+    a, b = (storage.stored(spark.range(n).withColumnRenamed("id", "page_index"), "twice", 2) for n in (3, 5))
+    storage.discard(a)
+    assert not os.path.exists(where(a)) and os.path.exists(where(b))
+    assert b.count() == 5
+    storage.release(spark)
+    assert not os.path.exists(where(b))
+
+
+def test_reconstruct_holds_few_words(spark, monkeypatch):
+    """Of the tables of words at most two are held at once, and each is dealt by page."""
+    held, most = {}, []
+    keep, drop = storage.stored, storage.discard
+
+    def stored(df, label, parts=None):
+        out = keep(df, label, parts)
+        if label in ("words", "placed", "spans", "joined"):
+            assert parts, label
+            held[out._stored_at] = label
+            most.append(len(held))
+        return out
+
+    def discard(table):
+        held.pop(table._stored_at, None)
+        drop(table)
+
+    monkeypatch.setattr(reconstruct, "stored", stored)
+    monkeypatch.setattr(reconstruct, "discard", discard)
+    quirewise.plans.load()
+    registry.QUERIES["op_reconstruct"](spark, DATA).count()
+    assert max(most) == 2 and list(held.values()) == ["joined"]
