@@ -217,3 +217,20 @@ def test_reconstruct_holds_few_words(spark, monkeypatch):
     quirewise.plans.load()
     registry.QUERIES["op_reconstruct"](spark, DATA).count()
     assert max(most) == 2 and list(held.values()) == ["joined"]
+
+
+def test_layout_keeps_one_table_of_ink(spark, monkeypatch):
+    """Text heights and gutters are found where the words are stored: no shuffle, and no second table of all components."""
+    from quirewise.operators import layout
+    from quirewise.plans import composites
+    from quirewise.sources.views import Views
+
+    v = Views(spark, DATA)
+    ink = composites._ink(v.settled(places=True))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan(layout.text_height(ink))
+    assert "Exchange hashpartitioning" not in plan(layout.gutters(ink, 5.0))
+    labels = []
+    monkeypatch.setattr(layout, "stored", lambda df, label, parts=None: labels.append(label) or storage.stored(df, label, parts))
+    layout.analyze(ink.where("page_index < 9"), 612.0, 792.0, v.parts)
+    assert labels == ["heights", "rules", "gutters", "lines", "classed"]
