@@ -234,3 +234,18 @@ def test_layout_keeps_one_table_of_ink(spark, monkeypatch):
     monkeypatch.setattr(layout, "stored", lambda df, label, parts=None: labels.append(label) or storage.stored(df, label, parts))
     layout.analyze(ink.where("page_index < 9"), 612.0, 792.0, v.parts)
     assert labels == ["heights", "rules", "gutters", "lines", "classed"]
+
+
+def test_undo_moves_no_words(spark):
+    """All joins with words have the page among their keys: the only shuffle of words is the dealing of their texts."""
+    import re
+
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["op_undo"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" in plan
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*span_id#", plan)
